@@ -3,15 +3,21 @@
 ``(count, sum x, sum x*x)`` per class can be added up over batches, streams and rounds. The
 discriminant needs nothing else: w = (mean1 - mean0) / pooled variance per dimension,
 b = ln(n1/n0) - w.(mean1 + mean0)/2, margin = w.x + b, p = 1/(1 + exp(-margin)).
+
+The sums are aggregated by Spark; what reaches the driver are two rows of d numbers per model,
+as with the coefficients of any Spark ML model.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterable, Sequence
+from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from labelpool.functions.vectors import dot
@@ -30,86 +36,76 @@ def class_moments(df: DataFrame, by: Sequence[str] = (), x: str = "x", y: str =
     )
 
 
-def add_moments(*parts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Moments of the union of disjoint row sets."""
-    rows = parts[0]
-    for part in parts[1:]:
-        rows = rows.unionByName(part)
-    rows = rows.select(
-        *by, "y", "n", array_to_vector("s1").alias("v1"), array_to_vector("s2").alias("v2")
-    )
-    return rows.groupBy(*by, "y").agg(
-        F.sum("n").alias("n"),
-        vector_to_array(Summarizer.sum(F.col("v1"))).alias("s1"),
-        vector_to_array(Summarizer.sum(F.col("v2"))).alias("s2"),
-    )
-
-
-def discriminant(moments: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """``(*by, n0, n1, w, b)``: one row per group; ``w`` and ``b`` are NULL without both classes."""
-
-    def of(cls: int, column: str) -> Column:
-        return F.max(F.when(F.col("y") == cls, F.col(column)))
-
-    wide = moments.groupBy(*by).agg(
-        *[of(c, col).alias(f"{col}_{c}") for c in (0, 1) for col in ("n", "s1", "s2")]
-    )
-
-    def element(array: str, i: Column) -> Column:
-        return F.get(F.col(array), i)
-
-    def means(cls: int) -> Column:
-        return F.transform(f"s1_{cls}", lambda s: s / F.col(f"n_{cls}"))
-
-    def weight(i: Column) -> Column:
-        within = F.lit(0.0)
-        for c in (0, 1):
-            s1 = element(f"s1_{c}", i)
-            within = within + element(f"s2_{c}", i) - s1 * s1 / F.col(f"n_{c}")
-        variance = F.try_divide(within, F.col("n_0") + F.col("n_1") - 2)
-        gap = element("m_1", i) - element("m_0", i)
-        return F.coalesce(F.try_divide(gap, F.when(variance > 1e-300, variance)), F.lit(0.0))
-
-    both = F.col("n_0").isNotNull() & F.col("n_1").isNotNull()
-    dims = F.sequence(F.lit(0), F.size("m_0") - 1)
-    mid = F.zip_with("m_1", "m_0", lambda p, q: (p + q) / 2)
-    return (
-        wide.withColumns({"m_0": means(0), "m_1": means(1)})
-        .withColumn("w", F.when(both, F.transform(dims, weight)))
-        .withColumn("b", F.ln(F.col("n_1") / F.col("n_0")) - dot(F.col("w"), mid))
-        .select(
-            *by,
-            F.coalesce("n_0", F.lit(0)).alias("n0"),
-            F.coalesce("n_1", F.lit(0)).alias("n1"),
-            "w",
-            "b",
+@dataclass
+class Sums:
+    """Moments of one model: per class, the rows, the sum and the sum of squares."""
+
+    n: list[int]
+    s1: list[np.ndarray | float]
+    s2: list[np.ndarray | float]
+
+    @staticmethod
+    def of(rows: Iterable[Row]) -> "Sums":
+        out = Sums([0, 0], [0.0, 0.0], [0.0, 0.0])
+        for r in rows:
+            out.n[r["y"]] += r["n"]
+            out.s1[r["y"]] = out.s1[r["y"]] + np.array(r["s1"])
+            out.s2[r["y"]] = out.s2[r["y"]] + np.array(r["s2"])
+        return out
+
+    def __add__(self, other: "Sums") -> "Sums":
+        return Sums(
+            [a + b for a, b in zip(self.n, other.n)],
+            [a + b for a, b in zip(self.s1, other.s1)],
+            [a + b for a, b in zip(self.s2, other.s2)],
         )
-    )
+
+    def weights(self) -> tuple[list[float] | None, float | None]:
+        """``(w, b)``, or ``(None, None)`` without rows of both classes."""
+        n0, n1 = self.n
+        if not n0 or not n1:
+            return None, None
+        mean0, mean1 = self.s1[0] / n0, self.s1[1] / n1
+        within = self.s2[0] - self.s1[0] * mean0 + (self.s2[1] - self.s1[1] * mean1)
+        variance = within / max(n0 + n1 - 2, 1)
+        usable = variance > 1e-300 if n0 + n1 > 2 else np.zeros_like(variance, dtype=bool)
+        w = np.divide(mean1 - mean0, variance, out=np.zeros_like(variance), where=usable)
+        return w.tolist(), float(math.log(n1 / n0) - w @ (mean1 + mean0) / 2)
 
 
 def margin_and_prob(df: DataFrame, w: Column, b: Column, x: str = "x") -> DataFrame:
     """Add ``margin`` and ``prob`` = [p(y=0), p(y=1)]."""
+    margin = dot(F.col(x), w) + b
     p1 = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("margin")))
-    return df.withColumn("margin", dot(F.col(x), w) + b).withColumn("prob", F.array(1 - p1, p1))
+    return df.withColumn("margin", margin).withColumn("prob", F.array(1 - p1, p1))
+
+
+def array_literal(values: Sequence[float]) -> Column:
+    """A constant array, built in one step instead of one expression per element."""
+    return F.expr(f"array({', '.join(repr(float(v)) + 'D' for v in values)})")
 
 
 class DiscriminantModel:
-    """A fitted discriminant: a one-row frame, read as a scalar subquery when scoring."""
+    """A fitted discriminant."""
 
-    def __init__(self, moments: DataFrame, x: str = "x"):
-        self.moments = moments
-        self.x = x
+    def __init__(self, sums: Sums, x: str = "x"):
+        self.sums, self.x = sums, x
+        self.w, self.b = sums.weights()
 
     def transform(self, df: DataFrame) -> DataFrame:
-        row = discriminant(self.moments).select(F.struct("w", "b").alias("m"))
-        scored = margin_and_prob(
-            df.withColumn("_m", row.scalar()), F.col("_m.w"), F.col("_m.b"), self.x
-        )
-        return scored.drop("_m")
+        """Add ``margin`` and ``prob``; both NULL if the training rows had one class only."""
+        if self.w is None:
+            return df.withColumns(
+                {
+                    "margin": F.lit(None).cast("double"),
+                    "prob": F.lit(None).cast("array<double>"),
+                }
+            )
+        return margin_and_prob(df, array_literal(self.w), F.lit(self.b), self.x)
 
     def partial_fit(self, df: DataFrame) -> "DiscriminantModel":
         """The model of the rows seen so far and ``df`` together."""
-        return DiscriminantModel(add_moments(self.moments, class_moments(df, x=self.x)), self.x)
+        return DiscriminantModel(self.sums + Sums.of(class_moments(df, x=self.x).collect()), self.x)
 
 
 class Discriminant:
@@ -119,4 +115,4 @@ class Discriminant:
         self.x, self.y = x, y
 
     def fit(self, df: DataFrame) -> DiscriminantModel:
-        return DiscriminantModel(class_moments(df, x=self.x, y=self.y), self.x)
+        return DiscriminantModel(Sums.of(class_moments(df, x=self.x, y=self.y).collect()), self.x)

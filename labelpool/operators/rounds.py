@@ -18,13 +18,7 @@ from pyspark.sql import functions as F
 from labelpool.functions.hashing import hash_order
 from labelpool.functions.scores import entropy, least_confidence, top_two_gap
 from labelpool.operators.evaluate import auc
-from labelpool.operators.moments import (
-    Discriminant,
-    add_moments,
-    class_moments,
-    discriminant,
-    margin_and_prob,
-)
+from labelpool.operators.moments import Discriminant, Sums, class_moments, margin_and_prob
 from labelpool.operators.pool import with_draw
 from labelpool.operators.splits import split_u_l, test_rows, training_rows, unlabeled_size
 from labelpool.operators.strategies import TIE_DIGITS, PoolState, QueryStrategy, select_batch
@@ -208,62 +202,64 @@ def fold_rounds(
     split = train.withColumn("in_u", key <= last_u)
     pool = split.where("in_u").select("fold", "id", "x", "y")
 
-    # round -1 holds the class sums of the first L, round r those of the batch drawn in round r
-    moments_dir, picked_dir = new_table_dir(spark, "moments"), new_table_dir(spark, "picked")
-    first = class_moments(split.where(~F.col("in_u")), ["fold"]).withColumn("round", F.lit(-1))
-    first.coalesce(1).write.parquet(moments_dir)
-    moment_schema, picked_schema = first.schema, "fold int, round int, draw int, id long, y int, x array<double>"
-
+    picked_dir = new_table_dir(spark, "picked")
+    schema = "fold int, round int, draw int, id long, y int, x array<double>"
+    sums = _sums_by_fold(split.where(~F.col("in_u")), folds)
+    history: list[tuple[int, int, int, list[float] | None, float | None]] = []
     for r in range(rounds):
-        moments = spark.read.schema(moment_schema).parquet(moments_dir)
+        for f in range(folds):
+            history.append((f, r, sum(sums[f].n), *sums[f].weights()))
         left = pool
         if r:
-            picked = spark.read.schema(picked_schema).parquet(picked_dir)
+            picked = spark.read.schema(schema).parquet(picked_dir)
             left = pool.join(picked.select("fold", "id"), ["fold", "id"], "left_anti")
         if value is None:
             order = [hash_order("id", seed), F.col("id")]
-            scored = left
         else:
-            model = discriminant(add_moments(moments.drop("round"), by=["fold"]), ["fold"])
-            # one row per fold
-            scored = left.join(F.broadcast(model.select("fold", "w", "b")), "fold")
-            scored = margin_and_prob(scored, F.col("w"), F.col("b"))
-            rounded = F.round(value, TIE_DIGITS)
-            order = [
-                rounded.desc_nulls_last() if largest else rounded.asc_nulls_last(),
-                F.col("id"),
-            ]
+            left = _score_folds(left, history[-folds:], ["fold"])
+            key = F.round(value, TIE_DIGITS)
+            order = [key.desc_nulls_last() if largest else key.asc_nulls_last(), F.col("id")]
         rank = F.row_number().over(Window.partitionBy("fold").orderBy(*order))
-        batch = (
-            scored.withColumn("draw", rank)
+        (
+            left.withColumn("draw", rank)
             .where(F.col("draw") <= batch_size)
             .select(
                 "fold", F.lit(r).alias("round"), (F.col("draw") - 1).alias("draw"), "id", "y", "x"
             )
+            .write.partitionBy("round")
+            .mode("append")
+            .parquet(picked_dir)
         )
-        batch.coalesce(1).write.mode("append").parquet(picked_dir)
-        drawn = spark.read.schema(picked_schema).parquet(picked_dir).where(F.col("round") == r)
-        class_moments(drawn, ["fold"]).withColumn("round", F.lit(r)).coalesce(1).write.mode(
-            "append"
-        ).parquet(moments_dir)
-
-    moments = spark.read.schema(moment_schema).parquet(moments_dir)
-    picked = spark.read.schema(picked_schema).parquet(picked_dir)
-    # The model before round r has seen the batches of all rounds below r.
-    draws = F.explode(F.sequence(F.col("round") + 1, F.lit(rounds - 1)))
-    upto = (
-        moments.where(F.col("round") < rounds - 1)
-        .withColumn("draw", draws)
-        .drop("round")
-    )
-    models = discriminant(add_moments(upto, by=["fold", "draw"]), ["fold", "draw"])
+        if r + 1 < rounds:
+            drawn = spark.read.schema(schema).parquet(picked_dir).where(F.col("round") == r)
+            new = _sums_by_fold(drawn, folds)
+            sums = {f: sums[f] + new[f] for f in range(folds)}
+
+    # The test folds once, against the models of all rounds.
     tests = own.withColumnRenamed("home", "fold")
-    scored = margin_and_prob(tests.join(F.broadcast(models), "fold"), F.col("w"), F.col("b"))
-    curve = auc(
-        scored.select("fold", "draw", F.get("prob", F.lit(1)).alias("score"), "y"),
-        by=["fold", "draw"],
-    ).select("fold", "draw", "auc")
-    sizes = models.select("fold", "draw", (F.col("n0") + F.col("n1")).alias("labeled"))
-    curves = sizes.join(curve, ["fold", "draw"], "left").select("fold", "draw", "labeled", "auc")
-    order_in_run = (F.col("round") * batch_size + F.col("draw")).alias("draw")
-    return curves, picked.select("fold", order_in_run, "id", "y")
+    scored = _score_folds(tests, history, ["fold", "draw"])
+    curves = auc(
+        scored.select("fold", "draw", "labeled", F.get("prob", F.lit(1)).alias("score"), "y"),
+        by=["fold", "draw", "labeled"],
+    ).select("fold", "draw", "labeled", "auc")
+    picked = spark.read.schema(schema).parquet(picked_dir)
+    in_run = (F.col("round") * batch_size + F.col("draw")).alias("draw")
+    return curves, picked.select("fold", in_run, "id", "y")
+
+
+def _sums_by_fold(rows: DataFrame, folds: int) -> dict[int, Sums]:
+    found: dict[int, list] = {f: [] for f in range(folds)}
+    for row in class_moments(rows, ["fold"]).collect():
+        found[row["fold"]].append(row)
+    return {f: Sums.of(r) for f, r in found.items()}
+
+
+def _score_folds(rows: DataFrame, models: list[tuple], on: list[str]) -> DataFrame:
+    """Join each row to the model(s) of its fold: a handful of weight vectors, known in number."""
+    table = rows.sparkSession.createDataFrame(
+        models, "fold int, draw int, labeled long, w array<double>, b double"
+    )
+    if "draw" not in on:
+        table = table.drop("draw", "labeled")
+    joined = rows.join(F.broadcast(table), "fold")
+    return margin_and_prob(joined, F.col("w"), F.col("b")).drop("w", "b")

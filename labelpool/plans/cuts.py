@@ -33,7 +33,7 @@ def hash_cuts(
         "b", F.substring("h", 1, HASH_DIGITS)
     )
     counts: dict[object, list[tuple[str, int]]] = {}
-    for row in keyed.groupBy("g", "b").count().orderBy("g", "b").toLocalIterator():
+    for row in sorted(keyed.groupBy("g", "b").count().collect()):
         counts.setdefault(row["g"], []).append((row["b"], row["count"]))
 
     wanted: dict[object, list[tuple[str, int] | None]] = {}

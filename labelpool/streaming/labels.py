@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from labelpool.operators.moments import DiscriminantModel, add_moments, class_moments
+from labelpool.operators.moments import DiscriminantModel, Sums, class_moments
 
 MOMENTS = "y int, n bigint, s1 array<double>, s2 array<double>, batch bigint"
 
@@ -32,14 +34,16 @@ class StreamingFit:
         return writer.trigger(availableNow=True).start() if available_now else writer.start()
 
     def model(self, spark: SparkSession) -> DiscriminantModel:
-        parts = spark.read.schema(MOMENTS).parquet(self.path).drop("batch")
-        return DiscriminantModel(add_moments(parts))
-
-
-def score_stream(stream: DataFrame, w: list[float], b: float) -> DataFrame:
-    """Add ``margin`` and ``prob`` to a stream of ``(id, x)`` with fixed weights: no state, no
-    shuffle."""
-    from labelpool.operators.moments import margin_and_prob
-
-    weights = F.array(*[F.lit(float(v)) for v in w])
-    return margin_and_prob(stream, weights, F.lit(float(b)))
+        # Thousands of micro-batches may have been added up: sum them on the cluster first.
+        parts = spark.read.schema(MOMENTS).parquet(self.path)
+        total = parts.groupBy("y").agg(
+            F.sum("n").alias("n"),
+            vector_to_array(Summarizer.sum(array_to_vector("s1"))).alias("s1"),
+            vector_to_array(Summarizer.sum(array_to_vector("s2"))).alias("s2"),
+        )
+        return DiscriminantModel(Sums.of(total.collect()))
+
+
+def score_stream(stream: DataFrame, model: DiscriminantModel) -> DataFrame:
+    """Add ``margin`` and ``prob`` to a stream of ``(id, x)``: no state, no shuffle."""
+    return model.transform(stream)
