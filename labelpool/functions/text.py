@@ -32,20 +32,17 @@ def ngrams(words: Column, low: int = 1, high: int = 1) -> Column:
     """All runs of ``low`` to ``high`` neighbouring words, joined by a blank."""
     if not 1 <= low <= high:
         raise ValueError("need 1 <= low <= high")
-    parts = []
-    for n in range(low, high + 1):
-        if n == 1:
-            parts.append(words)
-        else:
-            starts = F.when(
-                F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))
-            ).otherwise(F.array().cast("array<int>"))
-            parts.append(
-                F.transform(starts, lambda i, n=n: F.array_join(F.slice(words, i, n), " "))
-            )
+    parts = [words if n == 1 else _runs(words, n) for n in range(low, high + 1)]
     return parts[0] if len(parts) == 1 else F.concat(*parts)
 
 
+def _runs(words: Column, n: int) -> Column:
+    starts = F.when(
+        F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))
+    ).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
+
+
 def key_value(name: str, value: Column) -> Column:
     """``NAME=value``; NULL stays NULL."""
     return F.when(value.isNotNull(), F.concat_ws("=", F.lit(name), value.cast("string")))

@@ -13,6 +13,8 @@ from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuil
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from labelpool.session import materialise
+
 # The grids searched.
 C_GRID = (0.75, 0.77, 0.8, 0.85, 0.87)
 ALPHA_GRID = (0.0001, 0.001, 0.01, 0.1, 1.0, 10.0)
@@ -110,7 +112,7 @@ def cross_validate(
 ) -> tuple[float, float]:
     """Mean AUC over the folds in column ``fold`` and twice its population deviation."""
     model = _search(estimator, ParamGridBuilder().build(), rows, k, parallelism)
-    return model.avgMetrics[0], 2 * model.stdMetrics[0]
+    return float(model.avgMetrics[0]), float(2 * model.stdMetrics[0])
 
 
 def grid_search(
@@ -120,10 +122,12 @@ def grid_search(
     """Best model by AUC and the mean AUC of every value."""
     grid = ParamGridBuilder().addGrid(estimator.getParam(param), list(values)).build()
     model = _search(estimator, grid, rows, k, parallelism)
-    return model.bestModel, list(zip(values, model.avgMetrics, strict=True))
+    return model.bestModel, [(v, float(m)) for v, m in zip(values, model.avgMetrics, strict=True)]
 
 
 def _search(estimator, grid, rows, k, parallelism) -> CrossValidatorModel:
+    """Every fit reads its rows many times: they are written once, with their folds."""
+    rows = materialise(rows.select("features", "y", F.col("fold").cast("int").alias("fold")), "cv")
     return CrossValidator(
         estimator=estimator, estimatorParamMaps=grid, evaluator=_evaluator(), numFolds=k,
         foldCol="fold", parallelism=parallelism,

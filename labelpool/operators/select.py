@@ -157,10 +157,14 @@ def combined_features(
     return select_features(both, labels, final_percent)
 
 
-@F.pandas_udf("double")
-def chi2_p_value(score: pd.Series) -> pd.Series:
+def chi2_p_value(score: Column) -> Column:
     """Upper tail of chi-square with one degree of freedom."""
-    return score.map(lambda x: math.erfc(math.sqrt(x / 2)) if pd.notna(x) else None)
+
+    @F.pandas_udf("double")
+    def tail(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: math.erfc(math.sqrt(v / 2)) if pd.notna(v) else None)
+
+    return tail(score)
 
 
 # Beyond this many degrees of freedom the normal approximation agrees to five digits.

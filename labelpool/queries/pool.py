@@ -492,13 +492,13 @@ def platt_probabilities(spark: SparkSession, sf: str) -> DataFrame:
 def cv_auc(spark: SparkSession, sf: str) -> DataFrame:
     rows = models.with_vector(stratified_folds(vectors(spark, sf), 5, 1)).select("y", "fold", "features")
     mean, spread = models.cross_validate(models.hinge(max_iter=10), rows, 5)
-    return spark.range(1).select(F.lit(mean).alias("auc"), F.lit(spread).alias("spread"))
+    return spark.createDataFrame([(mean, spread)], "auc double, spread double")
 
 
 def grid(spark: SparkSession, sf: str) -> DataFrame:
     rows = models.with_vector(stratified_folds(vectors(spark, sf), 3, 1)).select("y", "fold", "features")
     _, results = models.grid_search(models.hinge(max_iter=5), "regParam", models.ALPHA_GRID, rows, 3)
-    return spark.createDataFrame([(float(a), float(m)) for a, m in results], "alpha double, auc double")
+    return spark.createDataFrame(results, "alpha double, auc double")
 
 
 QUERIES = {

@@ -1 +1,298 @@
-QUERIES = {}
+"""Queries on text features: TF-IDF, feature scores, selection, combined features."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from labelpool.operators import models
+from labelpool.operators.features import (
+    TfIdf,
+    family_filter,
+    feature_index,
+    one_hot,
+    to_vectors,
+    union_features,
+)
+from labelpool.operators.select import (
+    anova_scores,
+    chi2_p_value,
+    chi2_scores,
+    combined_features,
+    f_p_value,
+    rank_features,
+    select_features,
+    top_percentile,
+)
+from labelpool.operators.splits import stratified_folds
+from labelpool.queries.pool import rounded
+from labelpool.session import materialise
+
+# A short list, passed to both engines. The pattern is one on which both regex engines agree;
+# the library's own default pattern has unit tests.
+STOP_WORDS = "a an and are as at be by for from in is it of on or that the this to was with".split()
+PATTERN = r"[\p{L}\p{N}_-]+"
+
+
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/documents.parquet").select(
+        F.col("doc_id").alias("id"), "text", "lang", "source", "n_chars"
+    )
+
+
+def labels(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/labels.parquet").select(
+        F.col("doc_id").alias("id"), F.col("quality").cast("int").alias("y")
+    )
+
+
+def weights(spark: SparkSession, sf: str, low: int = 1, high: int = 1, binary: bool = False):
+    docs = documents(spark, sf)
+    spec = TfIdf(STOP_WORDS, low, high, binary, PATTERN, min_length=2)
+    return spec.fit(docs).transform(docs)
+
+
+def records(spark: SparkSession, sf: str) -> DataFrame:
+    return one_hot(documents(spark, sf), ["lang", "source"], ["n_chars"])
+
+
+def stored_weights(spark: SparkSession, sf: str) -> DataFrame:
+    return materialise(weights(spark, sf), "tfidf")
+
+
+def tfidf(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(weights(spark, sf), "value")
+
+
+def tfidf_bigrams(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(weights(spark, sf, 1, 2, True), "value")
+
+
+def vocabulary(spark: SparkSession, sf: str) -> DataFrame:
+    return TfIdf(STOP_WORDS, pattern=PATTERN, min_length=2).fit(documents(spark, sf)).vocabulary
+
+
+def scores(scorer):
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        out = scorer(union_features({"t": weights(spark, sf), "r": records(spark, sf)}), labels(spark, sf))
+        return rounded(out, "score", digits=5)
+
+    return run
+
+
+def top_features(spark: SparkSession, sf: str) -> DataFrame:
+    found = materialise(anova_scores(weights(spark, sf), labels(spark, sf)), "scores")
+    return top_percentile(found, 12).select("feature")
+
+
+def selected(scorer: str, percent: float):
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        out = select_features(stored_weights(spark, sf), labels(spark, sf), percent, scorer)
+        return rounded(out, "value")
+
+    return run
+
+
+def ranked(spark: SparkSession, sf: str) -> DataFrame:
+    """Best ten percent of all terms with chi-square and its p-value, best first."""
+    found = materialise(chi2_scores(weights(spark, sf), labels(spark, sf)), "scores")
+    best = rank_features(top_percentile(found, 10))
+    return best.select("feature", "score", chi2_p_value(F.col("score")).alias("p"))
+
+
+def ranked_anova(spark: SparkSession, sf: str) -> DataFrame:
+    truth = labels(spark, sf)
+    found = materialise(anova_scores(weights(spark, sf), truth), "scores")
+    best = rank_features(top_percentile(found, 10))
+    return best.select("feature", "score", f_p_value(F.col("score"), truth.count()).alias("p"))
+
+
+def combined(spark: SparkSession, sf: str) -> DataFrame:
+    out = combined_features(
+        stored_weights(spark, sf),
+        records(spark, sf),
+        labels(spark, sf),
+        families=["source"],
+        text_percent=12,
+        record_percent=50,
+        final_percent=65,
+        patterns={"source": r"source=.*", "lang": r"lang=.*", "size": r"n_chars"},
+    )
+    return rounded(out, "value")
+
+
+def document_one_hot(spark: SparkSession, sf: str) -> DataFrame:
+    return records(spark, sf)
+
+
+def families(spark: SparkSession, sf: str) -> DataFrame:
+    return family_filter(
+        records(spark, sf), ["lang", "size"], {"source": r"source=.*", "lang": r"lang=.*", "size": r"n_chars"}
+    )
+
+
+def matrix_with_label(spark: SparkSession, sf: str) -> DataFrame:
+    both = union_features({"text": weights(spark, sf), "record": records(spark, sf)}, prefix=True)
+    return rounded(both.join(labels(spark, sf), "id"), "value")
+
+
+def text_model_cv(spark: SparkSession, sf: str) -> DataFrame:
+    """AUC over five folds of a linear classifier on selected text features."""
+    truth = labels(spark, sf)
+    kept = materialise(select_features(stored_weights(spark, sf), truth, 12), "kept")
+    rows = to_vectors(kept.join(truth.select("id"), "id"), feature_index(kept))
+    folded = stratified_folds(rows.join(truth, "id"), 5, 1).select("features", "y", "fold")
+    mean, spread = models.cross_validate(models.hinge(max_iter=10), folded, 5)
+    return spark.createDataFrame([(mean, spread)], "auc double, spread double")
+
+
+# ---- SQL --------------------------------------------------------------------------------------
+
+STOP_SQL = ", ".join(f"'{w}'" for w in STOP_WORDS)
+
+
+def tfidf_sql(bigrams: bool = False, binary: bool = False) -> str:
+    terms = "SELECT id, w AS feature FROM kept"
+    if bigrams:
+        terms += (
+            " UNION ALL SELECT id, w || ' ' || nxt FROM (SELECT id, w,"
+            " lead(w) OVER (PARTITION BY id ORDER BY pos) AS nxt FROM kept) WHERE nxt IS NOT NULL"
+        )
+    tf = "1.0::DOUBLE" if binary else "CAST(count(*) AS DOUBLE)"
+    return f"""
+words AS (
+  SELECT id, unnest(w) AS w, unnest(range(1, len(w) + 1)) AS pos
+  FROM (SELECT doc_id AS id, regexp_extract_all(lower(text), '{PATTERN}') AS w FROM documents)),
+kept AS (SELECT * FROM words WHERE length(w) >= 2 AND w NOT IN ({STOP_SQL})),
+tf AS (SELECT id, feature, {tf} AS tf FROM ({terms}) GROUP BY id, feature),
+idf AS (
+  SELECT feature, ln((1 + (SELECT count(*) FROM documents)) / (1 + count(*))) + 1 AS idf
+  FROM tf GROUP BY feature),
+w AS (SELECT id, feature, tf * idf AS w FROM tf JOIN idf USING (feature)),
+tfidf AS (SELECT id, feature, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS value FROM w)"""
+
+
+RECORDS_SQL = """
+records AS (
+  SELECT doc_id AS id, 'lang=' || lang AS feature, 1.0::DOUBLE AS value FROM documents UNION ALL
+  SELECT doc_id, 'source=' || source, 1.0::DOUBLE FROM documents UNION ALL
+  SELECT doc_id, 'n_chars', CAST(n_chars AS DOUBLE) FROM documents),
+lab AS (SELECT doc_id AS id, CAST(quality AS INTEGER) AS y FROM labels),
+size AS (SELECT count(*) FILTER (y = 0) AS n0, count(*) FILTER (y = 1) AS n1 FROM lab)"""
+
+
+def sums_sql(rows: str, out: str) -> str:
+    return f"""
+{out} AS (
+  SELECT feature, count(*) AS rows, coalesce(sum(value) FILTER (y = 0), 0) AS s0,
+    coalesce(sum(value) FILTER (y = 1), 0) AS s1, sum(value * value) AS ss
+  FROM {rows} JOIN lab USING (id) GROUP BY feature)"""
+
+
+def chi2_sql(rows: str, out: str) -> str:
+    e0, e1 = "((s0 + s1) * n0 / (n0 + n1))", "((s0 + s1) * n1 / (n0 + n1))"
+    return (
+        sums_sql(rows, f"{out}_s")
+        + f""",
+{out} AS (SELECT feature, rows, (s0 - {e0}) * (s0 - {e0}) / {e0} + (s1 - {e1}) * (s1 - {e1}) / {e1} AS score
+  FROM {out}_s, size)"""
+    )
+
+
+def anova_sql(rows: str, out: str) -> str:
+    by_class = "(s0 * s0 / n0 + s1 * s1 / n1)"
+    between = f"({by_class} - (s0 + s1) * (s0 + s1) / (n0 + n1))"
+    within = f"(ss - {by_class})"
+    return (
+        sums_sql(rows, f"{out}_s")
+        + f""",
+{out} AS (SELECT feature, rows, CASE WHEN {within} > ss * 1e-14 THEN {between} / ({within} / (n0 + n1 - 2)) END
+  AS score FROM {out}_s, size)"""
+    )
+
+
+def top_sql(scored: str, percent: float, out: str) -> str:
+    """The percentile rule: above the cut, then ties in name order up to floor(n * p / 100)."""
+    return f"""
+{out}_r AS (SELECT feature, coalesce(round(score, 9), -1.7e308) AS r FROM {scored}),
+{out}_cut AS (SELECT quantile_cont(r, {(100 - percent) / 100}) AS cut, count(*) AS n FROM {out}_r),
+{out}_t AS (
+  SELECT feature, r, cut, row_number() OVER (ORDER BY r DESC, feature) AS rn,
+    CAST(floor(n * {percent} / 100) AS BIGINT) AS room FROM {out}_r, {out}_cut),
+{out} AS (SELECT feature FROM {out}_t WHERE r > cut OR (r = cut AND rn <= room))"""
+
+
+WITH = "WITH" + tfidf_sql() + "," + RECORDS_SQL
+ALL = ", allf AS (SELECT * FROM tfidf UNION ALL SELECT * FROM records),"
+
+COMBINED_SQL = (
+    WITH
+    + ","
+    + chi2_sql("tfidf", "c1")
+    + ","
+    + top_sql("c1", 12, "k1")
+    + ", fam AS (SELECT * FROM records WHERE regexp_matches(feature, 'source=.*')),"
+    + chi2_sql("fam", "c2")
+    + ","
+    + top_sql("c2", 50, "k2")
+    + """, both_f AS (SELECT * FROM tfidf SEMI JOIN k1 USING (feature) UNION ALL
+  SELECT * FROM fam SEMI JOIN k2 USING (feature)),"""
+    + chi2_sql("both_f", "c3")
+    + ","
+    + top_sql("c3", 65, "k3")
+    + " SELECT id, feature, round(value, 6) AS value FROM both_f SEMI JOIN k3 USING (feature)"
+)
+
+
+def selected_sql(scorer, percent: float) -> str:
+    return (
+        WITH
+        + ","
+        + scorer("tfidf", "c")
+        + ","
+        + top_sql("c", percent, "k")
+        + " SELECT id, feature, round(value, 6) AS value FROM tfidf SEMI JOIN k USING (feature)"
+    )
+
+
+QUERIES = {
+    "tfidf": (tfidf, "WITH" + tfidf_sql() + " SELECT id, feature, round(value, 6) AS value FROM tfidf"),
+    "tfidf_bigrams_binary": (
+        tfidf_bigrams,
+        "WITH" + tfidf_sql(True, True) + " SELECT id, feature, round(value, 6) AS value FROM tfidf",
+    ),
+    "vocabulary": (vocabulary, "WITH" + tfidf_sql() + " SELECT feature FROM idf"),
+    "chi2_scores": (
+        scores(chi2_scores),
+        WITH + ALL + chi2_sql("allf", "c") + " SELECT feature, rows, round(score, 5) AS score FROM c",
+    ),
+    "anova_f": (
+        scores(anova_scores),
+        WITH + ALL + anova_sql("allf", "c") + " SELECT feature, rows, round(score, 5) AS score FROM c",
+    ),
+    "top_percentile_features": (
+        top_features,
+        WITH + "," + anova_sql("tfidf", "c") + "," + top_sql("c", 12, "k") + " SELECT feature FROM k",
+    ),
+    "select_anova": (selected("anova", 42), selected_sql(anova_sql, 42)),
+    "select_chi2": (selected("chi2", 12), selected_sql(chi2_sql, 12)),
+    "ranked_features": (ranked, None),
+    "ranked_features_anova": (ranked_anova, None),
+    "combined_features": (combined, COMBINED_SQL),
+    "onehot_documents": (document_one_hot, "WITH" + RECORDS_SQL + " SELECT id, feature, value FROM records"),
+    "family_filter": (
+        families,
+        "WITH"
+        + RECORDS_SQL
+        + " SELECT id, feature, value FROM records WHERE regexp_matches(feature, 'lang=.*')"
+        + " OR regexp_matches(feature, 'n_chars')",
+    ),
+    "matrix_with_label": (
+        matrix_with_label,
+        WITH
+        + """, m AS (SELECT id, 'text:' || feature AS feature, value FROM tfidf UNION ALL
+  SELECT id, 'record:' || feature, value FROM records)
+SELECT id, feature, round(value, 6) AS value, y FROM m JOIN lab USING (id)""",
+    ),
+    "text_model_cv": (text_model_cv, None),
+}
