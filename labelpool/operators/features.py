@@ -121,11 +121,15 @@ class TfIdf:
         words = without(
             tokens(F.col("text"), self.pattern, self.min_length), list(self.stop_words)
         )
+        # explode_outer: for explode, Spark would add a "has any token" filter below the shuffle
+        # and so find the tokens several times over.
+        found = F.explode_outer(ngrams(F.col("words"), self.low, self.high))
         terms = (
             docs.select(F.col(self.id_col).alias("id"), F.col(self.text_col).alias("text"))
             .repartition("id")
             .select("id", words.alias("words"))
-            .select("id", F.explode(ngrams(F.col("words"), self.low, self.high)).alias("feature"))
+            .select("id", found.alias("feature"))
+            .where(F.col("feature").isNotNull())
         )
         count = F.lit(1.0) if self.binary else F.count("*").cast("double")
         return terms.groupBy("id", "feature").agg(count.alias("tf"))

@@ -153,8 +153,15 @@ def combined_features(
     record = select_features(
         family_filter(record_features, families, patterns), labels, record_percent
     )
-    both = materialise(union_features({"text": text, "record": record}, prefix), "features")
-    return select_features(both, labels, final_percent)
+    # Tagged by part, so that equal names stay two features and ties keep the order of the parts.
+    parts = {"0": text, "1": record}
+    both = materialise(union_features(parts, prefix=True), "features")
+    kept = select_features(both, labels, final_percent)
+    bare = F.expr("substring(feature, 3)")
+    if prefix:
+        name = F.when(F.col("feature").startswith("0:"), "text:").otherwise("record:")
+        bare = F.concat(name, bare)
+    return kept.withColumn("feature", bare)
 
 
 def chi2_p_value(score: Column) -> Column:

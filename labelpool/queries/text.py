@@ -235,12 +235,12 @@ COMBINED_SQL = (
     + chi2_sql("fam", "c2")
     + ","
     + top_sql("c2", 50, "k2")
-    + """, both_f AS (SELECT * FROM tfidf SEMI JOIN k1 USING (feature) UNION ALL
-  SELECT * FROM fam SEMI JOIN k2 USING (feature)),"""
+    + """, both_f AS (SELECT id, '0:' || feature AS feature, value FROM tfidf SEMI JOIN k1 USING (feature)
+  UNION ALL SELECT id, '1:' || feature, value FROM fam SEMI JOIN k2 USING (feature)),"""
     + chi2_sql("both_f", "c3")
     + ","
     + top_sql("c3", 65, "k3")
-    + " SELECT id, feature, round(value, 6) AS value FROM both_f SEMI JOIN k3 USING (feature)"
+    + " SELECT id, feature[3:] AS feature, round(value, 6) AS value FROM both_f SEMI JOIN k3 USING (feature)"
 )
 
 
