@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from labelpool.plans.cuts import first_rows
+
 # The semantic types and predicates kept by default.
 SEMANTIC_TYPES = (
     "gngm", "aapp", "nnon", "phsu", "clnd", "orch", "vita", "opco", "horm", "strd", "antb", "inch",
@@ -61,7 +63,7 @@ def extract_predications(
     out = either_key_join(rows, concepts, "s_cui", "o_cui", "_cui").select(*EXTRACTED)
     if limit is None:
         return out
-    return out.orderBy(*order_by, *[c for c in EXTRACTED if c not in order_by]).limit(limit)
+    return first_rows(out, [*order_by, *[c for c in EXTRACTED if c not in order_by]], limit)
 
 
 def rename_schema_version(df: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from labelpool.operators.spaces import space
 from labelpool.plans.blocks import all_pairs
 from labelpool.plans.lookup import skew_lookup
+from labelpool.session import materialise
 
 
 def _nearest_kernel(k: int):
@@ -64,6 +65,7 @@ def local_density_scores(neighbours: DataFrame, hot_weight: int = 100_000) -> Da
     A row that is near to very many others is looked up that often; such hubs are joined by
     broadcast, see ``skew_lookup``.
     """
+    neighbours = materialise(neighbours.select("id", "nbr"), "neighbours")  # read three times
     lists = neighbours.groupBy("id").agg(F.sort_array(F.collect_list("nbr")).alias("nn"))
     popular = neighbours.groupBy(F.col("nbr").alias("id")).agg(F.count("*").alias("cited"))
     dim = lists.join(popular, "id").select(

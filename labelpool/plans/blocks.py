@@ -19,8 +19,9 @@ from pyspark.sql import types as T
 
 from labelpool.plans.kernels import block_distances
 
-BLOCK_BYTES = 8 << 20
-TILE_ROWS = 512
+# Two blocks and their copies fit in a worker; a larger block means fewer copies in the shuffle.
+BLOCK_BYTES = 32 << 20
+TILE_CELLS = 1 << 22
 BROADCAST_BYTES = 64 << 20
 
 # kernel(distances, ids of their rows, ids of their columns) -> columns of partial results
@@ -36,9 +37,11 @@ def _matrix(table: pa.Table, column: str = "x") -> np.ndarray:
 
 
 def _tiles(metric, kernel, ids_a, a, ids_b, b) -> list[dict[str, np.ndarray]]:
+    """Kernel results of one block pair, with at most ``TILE_CELLS`` distances in memory."""
+    step = max(1, TILE_CELLS // max(1, len(ids_b)))
     return [
-        kernel(block_distances(metric, a[s : s + TILE_ROWS], b), ids_a[s : s + TILE_ROWS], ids_b)
-        for s in range(0, len(ids_a), TILE_ROWS)
+        kernel(block_distances(metric, a[s : s + step], b), ids_a[s : s + step], ids_b)
+        for s in range(0, len(ids_a), step)
     ]
 
 

@@ -12,9 +12,14 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from labelpool.session import materialise
+
 # 16 ** 4 buckets: at 10 ** 11 rows one bucket holds about 1.5 million of them.
 HASH_DIGITS = 4
 
+# Rows per partition that one task may still merge for a sorted limit.
+SMALL_LIMIT = 10_000
+
 
 def hash_cuts(
     df: DataFrame,
@@ -26,11 +31,12 @@ def hash_cuts(
 
     ``key`` is a hash text (see ``hash_order``); ``ranks`` maps a group's row count to the ranks
     wanted, and rank 0 gives the empty text. The first job counts rows per hash prefix (at most
-    65,536 per group), the second ranks only the rows of the few buckets that hold a wanted rank.
+    65,536, or 4,096 per group), the second ranks only the rows of the few buckets that hold a wanted rank.
     ``by`` must have few values, such as folds.
     """
+    digits = HASH_DIGITS if by is None else HASH_DIGITS - 1
     keyed = df.select((F.lit(0) if by is None else by).alias("g"), key.alias("h")).withColumn(
-        "b", F.substring("h", 1, HASH_DIGITS)
+        "b", F.substring("h", 1, digits)
     )
     counts: dict[object, list[tuple[str, int]]] = {}
     for row in sorted(keyed.groupBy("g", "b").count().collect()):
@@ -72,6 +78,33 @@ def _locate(buckets: Sequence[tuple[str, int]], rank: int) -> tuple[str, int] |
     raise ValueError(f"rank {rank} is beyond the {seen} rows")
 
 
+def first_rows(df: DataFrame, order_by: Sequence[str], limit: int) -> DataFrame:
+    """The first ``limit`` rows in order, for limits too large for one task to merge.
+
+    ``orderBy().limit(n)`` sends n rows of every partition to a single task. Here the rows are
+    range-partitioned and sorted, written once with their position, and cut at the position that
+    the row counts per partition give.
+    """
+    if limit <= SMALL_LIMIT:
+        return df.orderBy(*order_by).limit(limit)
+    # The id counts up along partitions in range order and along rows within them.
+    placed = materialise(
+        df.repartitionByRange(*order_by)
+        .sortWithinPartitions(*order_by)
+        .withColumn("_at", F.monotonically_increasing_id()),
+        "sorted",
+    )
+    part = F.shiftright("_at", 33).alias("part")
+    left, cut = limit, None
+    for number, count in sorted(map(tuple, placed.groupBy(part).count().collect())):
+        if count >= left:
+            cut = (number << 33) + left
+            break
+        left -= count
+    kept = placed if cut is None else placed.where(F.col("_at") < cut)
+    return kept.drop("_at")
+
+
 def nth_text(df: DataFrame, column: str, rank: int, small: int = 10_000) -> str:
     """The ``rank``-th smallest distinct text of a column (1-based).
 

@@ -16,7 +16,7 @@ from labelpool.operators.splits import (
     stratified_folds,
     unlabeled_size,
 )
-from labelpool.plans.cuts import hash_cuts, nth_text, quantile
+from labelpool.plans.cuts import first_rows, hash_cuts, nth_text, quantile
 
 
 def hashed(i, seed):
@@ -132,3 +132,14 @@ def test_taking_and_moving_rows(spark):
     u, labeled = move_to_labeled(data.where("id > 0"), data.where("id = 0"), take_rows(data, 2))
     assert [r["id"] for r in u.collect()] == [1]
     assert sorted(r["id"] for r in labeled.collect()) == [0, 2]
+
+
+def test_first_rows_with_a_large_limit(spark, monkeypatch):
+    from labelpool.plans import cuts
+
+    df = spark.range(3000).select((F.col("id") * 7919 % 1000).alias("a"), F.col("id").alias("b"))
+    want = [tuple(r) for r in df.orderBy("a", "b").limit(1234).collect()]
+    monkeypatch.setattr(cuts, "SMALL_LIMIT", 10)
+    for limit, expected in ((1234, want), (5000, 3000)):
+        got = sorted(tuple(r) for r in first_rows(df.repartition(9), ["a", "b"], limit).collect())
+        assert got == expected if isinstance(expected, list) else len(got) == expected
