@@ -21,6 +21,7 @@ from labelpool.operators.evaluate import min_max
 from labelpool.operators.neighbours import lds_prune
 from labelpool.operators.spaces import Space, centre, space
 from labelpool.plans.blocks import all_pairs, cross_pairs
+from labelpool.plans.cuts import first_rows
 from labelpool.session import materialise
 
 # Scores are rounded before ordering, so that rows equal up to floating-point noise tie and the
@@ -64,7 +65,7 @@ def select_batch(scores: DataFrame, k: int, largest: bool = True) -> DataFrame:
     """The k best rows, smaller id first among equals; undefined scores come last."""
     key = F.round("score", TIE_DIGITS)
     order = key.desc_nulls_last() if largest else key.asc_nulls_last()
-    return scores.orderBy(order, "id").limit(k)
+    return first_rows(scores, [order, "id"], k)
 
 
 class Random(QueryStrategy):
@@ -81,8 +82,7 @@ class Random(QueryStrategy):
         return state.unlabeled.select("id", size.scalar().alias("score"))
 
     def query(self, state: PoolState, k: int = 1) -> DataFrame:
-        order = hash_order("id", self.seed)
-        return self.score(state).orderBy(order, "id").limit(k)
+        return first_rows(self.score(state), [hash_order("id", self.seed), "id"], k)
 
 
 class SimpleMargin(QueryStrategy):

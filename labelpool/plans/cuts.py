@@ -78,7 +78,7 @@ def _locate(buckets: Sequence[tuple[str, int]], rank: int) -> tuple[str, int] |
     raise ValueError(f"rank {rank} is beyond the {seen} rows")
 
 
-def first_rows(df: DataFrame, order_by: Sequence[str], limit: int) -> DataFrame:
+def first_rows(df: DataFrame, order_by: Sequence[str | Column], limit: int) -> DataFrame:
     """The first ``limit`` rows in order, for limits too large for one task to merge.
 
     ``orderBy().limit(n)`` sends n rows of every partition to a single task. Here the rows are

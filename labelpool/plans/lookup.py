@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Hot keys that are broadcast at most, with a few numbers or a short array each.
+MAX_HOT = 100_000
 
 def skew_lookup(
     facts: DataFrame,
@@ -16,17 +18,19 @@ def skew_lookup(
 ) -> DataFrame:
     """Inner join of ``facts`` to ``dim`` on ``key`` that holds for hot keys.
 
-    ``weight`` is a column of ``dim`` telling how many fact rows carry the key. Keys above
-    ``hot_weight`` number at most (fact rows / hot_weight), so they form a small broadcast table;
-    all other keys go through an ordinary shuffled join, where no key is large. Fact rows that
-    already found a hot key take a key of their own there, built from ``spread``, so that they
-    neither match nor pile up in one task. ``facts`` is read once.
+    ``weight`` is a column of ``dim`` telling how many fact rows carry the key. A key is hot above
+    ``hot_weight`` and above 1/MAX_HOT of all weight, so there are at most MAX_HOT hot keys, which
+    are broadcast; all other keys go through an ordinary join, where no key is large. Fact rows
+    that already found a hot key take a key of their own there, built from ``spread``, so that
+    they neither match nor pile up in one task. ``facts`` is read once.
     """
     values = [c for c in dim.columns if c != key]
-    hot = dim.where(weight > hot_weight).select(
+    share = dim.agg((F.sum(weight) / MAX_HOT).alias("w")).scalar()
+    is_hot = F.coalesce((weight > hot_weight) & (weight > share), F.lit(False))
+    hot = dim.where(is_hot).select(
         F.col(key), F.struct(*values).alias("_hot")
     )
-    cold = dim.where(weight <= hot_weight).select(
+    cold = dim.where(~is_hot).select(
         F.col(key).cast("string").alias("_k"), F.struct(*values).alias("_cold")
     )
     found = F.coalesce("_hot", "_cold")

@@ -428,7 +428,7 @@ def lds_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def lds(spark: SparkSession, sf: str) -> DataFrame:
-    return lds_prune(vectors(spark, sf), 10, "auto", "euclidean").select("id")
+    return lds_prune(vectors(spark, sf), 10, 0.5, "euclidean").select("id")
 
 
 def centroid(spark: SparkSession, sf: str) -> DataFrame:
@@ -631,7 +631,7 @@ QUERIES = {
         "WITH" + KNN_SQL.format(k=10) + " SELECT id, CAST(rank AS INTEGER) AS rank, nbr, round(d, 6) AS d FROM near",
     ),
     "lds_scores": (lds_scores, LDS_SQL + " SELECT id, round(lds, 6) AS lds FROM shared"),
-    "lds_prune": (lds, LDS_SQL + " SELECT id FROM shared WHERE lds >= 5"),
+    "lds_prune": (lds, LDS_SQL + " SELECT id FROM shared WHERE lds >= 0.5"),
     "svm_margins": (svm_margins, None),
     "log_loss_probabilities": (log_loss_probabilities, None),
     "platt_probabilities": (platt_probabilities, None),
