@@ -48,22 +48,28 @@ def extract_predications(
     order_by: Sequence[str] = ("PMID", "predicate", "SUBJECT_TEXT", "OBJECT_TEXT", "SENTENCE"),
 ) -> DataFrame:
     """The 17-column extraction: filters on the predication table, three equi-joins, and the
-    concept join on subject or object. ``limit`` takes the first rows of ``order_by``."""
+    concept join on subject or object, a row per matching concept and semantic type. ``limit``
+    takes the first rows of ``order_by``."""
     wanted = predication.where(
         F.col("s_type").isin(list(subject_types))
         & F.col("o_type").isin(list(object_types))
         & F.col("predicate").isin(list(predicates))
     )
-    concepts = concept.select("CONCEPT_ID", F.col("CUI").alias("_cui")).join(
-        concept_semtype.select("CONCEPT_ID"), "CONCEPT_ID"
-    ).select("_cui")
+    # The concept tables add no columns, only repetitions: count them per key before the join.
+    concepts = (
+        concept.select("CONCEPT_ID", F.col("CUI").alias("_cui"))
+        .join(concept_semtype.select("CONCEPT_ID"), "CONCEPT_ID")
+        .groupBy("_cui")
+        .agg(F.count("*").alias("_copies"))
+    )
     rows = sentence_predication.join(
         wanted.withColumnRenamed("PID", "PREDICATION_ID"), "PREDICATION_ID"
     ).join(sentence, "SENTENCE_ID")
-    out = either_key_join(rows, concepts, "s_cui", "o_cui", "_cui").select(*EXTRACTED)
-    if limit is None:
-        return out
-    return first_rows(out, [*order_by, *[c for c in EXTRACTED if c not in order_by]], limit)
+    out = either_key_join(rows, concepts, "s_cui", "o_cui", "_cui").select(*EXTRACTED, "_copies")
+    if limit is not None:
+        order = [*order_by, *[c for c in EXTRACTED if c not in order_by]]
+        out = first_rows(out, order, limit, "_copies")
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*EXTRACTED)
 
 
 def rename_schema_version(df: DataFrame) -> DataFrame:

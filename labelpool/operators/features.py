@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -165,16 +166,29 @@ def feature_index(features: DataFrame, limit: int = 5_000_000) -> DataFrame:
     return names.withColumn("idx", (order - 1).cast("int"))
 
 
-def to_vectors(features: DataFrame, index: DataFrame) -> DataFrame:
-    """``(id, features)`` with sparse vectors for Spark ML; unknown features are left out."""
+def to_vectors(
+    features: DataFrame, index: DataFrame, ids: DataFrame | None = None
+) -> DataFrame:
+    """``(id, features)`` with sparse vectors for Spark ML; unknown features are left out.
+
+    With ``ids`` the result has exactly those rows, an empty vector where nothing is stored.
+    """
     size = index.count()
     rows = (
         skew_lookup(features, index, "feature", F.col("rows"), "id")
         .groupBy("id")
         .agg(F.sort_array(F.collect_list(F.struct("idx", "value"))).alias("e"))
     )
+    if ids is not None:
+        rows = ids.select("id").join(rows, "id", "left")
     build = F.udf(
-        lambda e: Vectors.sparse(size, [i["idx"] for i in e], [i["value"] for i in e]),
-        VectorUDT(),
+        lambda e: Vectors.sparse(size, [(i["idx"], i["value"]) for i in e or []]), VectorUDT()
     )
     return rows.select("id", build("e").alias("features"))
+
+
+def to_arrays(features: DataFrame, index: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """``(id, x)`` with dense arrays, the form query strategies work on. For selected features:
+    a row holds one number per feature."""
+    vectors = to_vectors(features, index, ids)
+    return vectors.select("id", vector_to_array("features").alias("x"))

@@ -78,31 +78,49 @@ def _locate(buckets: Sequence[tuple[str, int]], rank: int) -> tuple[str, int] |
     raise ValueError(f"rank {rank} is beyond the {seen} rows")
 
 
-def first_rows(df: DataFrame, order_by: Sequence[str | Column], limit: int) -> DataFrame:
+def first_rows(
+    df: DataFrame, order_by: Sequence[str | Column], limit: int, copies: str | None = None
+) -> DataFrame:
     """The first ``limit`` rows in order, for limits too large for one task to merge.
 
     ``orderBy().limit(n)`` sends n rows of every partition to a single task. Here the rows are
-    range-partitioned and sorted, written once with their position, and cut at the position that
-    the row counts per partition give.
+    range-partitioned and sorted, written once with their position, and cut where the row counts
+    per partition say. ``copies`` names a column that says how many times a row counts; the last
+    row kept may then keep fewer copies.
     """
-    if limit <= SMALL_LIMIT:
+    if limit <= SMALL_LIMIT and copies is None:
         return df.orderBy(*order_by).limit(limit)
-    # The id counts up along partitions in range order and along rows within them.
+    # The position counts up along partitions in range order and along rows within them.
     placed = materialise(
         df.repartitionByRange(*order_by)
         .sortWithinPartitions(*order_by)
-        .withColumn("_at", F.monotonically_increasing_id()),
+        .withColumn("_at", F.monotonically_increasing_id())
+        .withColumn("_part", F.shiftright("_at", 33)),
         "sorted",
     )
-    part = F.shiftright("_at", 33).alias("part")
-    left, cut = limit, None
-    for number, count in sorted(map(tuple, placed.groupBy(part).count().collect())):
-        if count >= left:
-            cut = (number << 33) + left
+    weight = F.lit(1) if copies is None else F.col(copies)
+    totals = placed.groupBy("_part").agg(F.sum(weight).alias("n")).collect()
+    left, edge = limit, None
+    for number, n in sorted(map(tuple, totals)):
+        if n >= left:
+            edge = number
             break
-        left -= count
-    kept = placed if cut is None else placed.where(F.col("_at") < cut)
-    return kept.drop("_at")
+        left -= n
+    if edge is None:
+        return placed.drop("_at", "_part")
+    before = placed.where(F.col("_part") < edge)
+    last = placed.where(F.col("_part") == edge)
+    if copies is None:
+        last = last.where(F.col("_at") < (edge << 33) + left)
+    else:
+        upto = F.sum(copies).over(Window.partitionBy("_part").orderBy("_at"))
+        last = (
+            last.withColumn("_room", F.lit(left) - upto + F.col(copies))
+            .where(F.col("_room") > 0)
+            .withColumn(copies, F.least(F.col(copies), "_room"))
+            .drop("_room")
+        )
+    return before.unionByName(last).drop("_at", "_part")
 
 
 def nth_text(df: DataFrame, column: str, rank: int, small: int = 10_000) -> str:

@@ -99,7 +99,9 @@ FROM sp JOIN p ON PREDICATION_ID = PID JOIN s USING (SENTENCE_ID)
   JOIN (SELECT CUI FROM c JOIN cs USING (CONCEPT_ID)) k ON k.CUI = s_cui OR k.CUI = o_cui
 WHERE s_type IN ('F', 'P') AND o_type IN ('BUILDING', 'MACHINERY')
   AND predicate IN ('1-URGENT', '2-HIGH', '5-LOW')
-ORDER BY ALL LIMIT 1000000"""
+ORDER BY PMID, predicate, SUBJECT_TEXT, OBJECT_TEXT, SENTENCE, INDICATOR_TYPE, s_type, SUBJECT_SCORE,
+  SUBJECT_DIST, SUBJECT_MAXDIST, s_cui, o_type, OBJECT_SCORE, OBJECT_DIST, OBJECT_MAXDIST, o_cui, TYPE
+LIMIT 1000000"""
 
 
 def disjunctive_join(spark: SparkSession, sf: str) -> DataFrame:

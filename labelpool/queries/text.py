@@ -11,9 +11,12 @@ from labelpool.operators.features import (
     family_filter,
     feature_index,
     one_hot,
+    to_arrays,
     to_vectors,
     union_features,
 )
+from labelpool.operators.moments import Discriminant
+from labelpool.operators.pool import next_batch
 from labelpool.operators.select import (
     anova_scores,
     chi2_p_value,
@@ -25,6 +28,7 @@ from labelpool.operators.select import (
     top_percentile,
 )
 from labelpool.operators.splits import stratified_folds
+from labelpool.operators.strategies import get_strategy
 from labelpool.queries.pool import rounded
 from labelpool.session import materialise
 
@@ -146,6 +150,19 @@ def text_model_cv(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(mean, spread)], "auc double, spread double")
 
 
+def text_pool_pick(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole way from raw text to the next ten documents to label: TF-IDF, the best percent of
+    the terms by F, a model on the labeled documents, entropy on all others."""
+    truth = labels(spark, sf)
+    kept = materialise(select_features(stored_weights(spark, sf), truth, 1, "anova"), "kept")
+    docs = documents(spark, sf).select("id")
+    pool = materialise(to_arrays(kept, feature_index(kept), docs), "pool")
+    labeled = pool.join(truth, "id")
+    unlabeled = pool.join(truth, "id", "left_anti")
+    batch = next_batch(unlabeled, labeled, get_strategy("entropy"), 10, Discriminant())
+    return batch.select("id", F.col("draw").cast("int").alias("draw"))
+
+
 # ---- SQL --------------------------------------------------------------------------------------
 
 STOP_SQL = ", ".join(f"'{w}'" for w in STOP_WORDS)
@@ -255,7 +272,34 @@ def selected_sql(scorer, percent: float) -> str:
     )
 
 
+PICK_SQL = (
+    WITH
+    + ","
+    + anova_sql("tfidf", "c")
+    + ","
+    + top_sql("c", 1, "k")
+    + """,
+f AS (SELECT * FROM tfidf SEMI JOIN k USING (feature)),
+m AS (
+  SELECT feature, coalesce(sum(value) FILTER (y = 0), 0) AS s10, coalesce(sum(value) FILTER (y = 1), 0) AS s11,
+    sum(value * value) AS s2 FROM f JOIN lab USING (id) GROUP BY feature),
+x AS (
+  SELECT feature, s10 / n0 AS m0, s11 / n1 AS m1,
+    (s2 - s10 * s10 / n0 - s11 * s11 / n1) / (n0 + n1 - 2) AS var FROM m, size),
+wts AS (SELECT feature, CASE WHEN var > 1e-300 THEN (m1 - m0) / var ELSE 0 END AS w, (m0 + m1) / 2 AS mid FROM x),
+b AS (SELECT ln(max(n1) / max(n0)) - (SELECT sum(w * mid) FROM wts) AS b FROM size),
+dots AS (SELECT id, sum(value * w) AS dot FROM f JOIN wts USING (feature) GROUP BY id),
+p AS (
+  SELECT doc_id AS id, 1 / (1 + exp(-(coalesce(dot, 0) + b))) AS p1
+  FROM documents LEFT JOIN dots ON id = doc_id, b WHERE doc_id NOT IN (SELECT id FROM lab)),
+e AS (SELECT id, round(-(CASE WHEN p1 > 0 THEN p1 * log2(p1) ELSE 0 END
+  + CASE WHEN p1 < 1 THEN (1 - p1) * log2(1 - p1) ELSE 0 END), 9) AS e FROM p)
+SELECT id, CAST(row_number() OVER (ORDER BY e DESC, id) - 1 AS INTEGER) AS draw
+FROM e ORDER BY e DESC, id LIMIT 10"""
+)
+
 QUERIES = {
+    "text_pool_pick": (text_pool_pick, PICK_SQL),
     "tfidf": (tfidf, "WITH" + tfidf_sql() + " SELECT id, feature, round(value, 6) AS value FROM tfidf"),
     "tfidf_bigrams_binary": (
         tfidf_bigrams,

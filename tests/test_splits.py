@@ -143,3 +143,11 @@ def test_first_rows_with_a_large_limit(spark, monkeypatch):
     for limit, expected in ((1234, want), (5000, 3000)):
         got = sorted(tuple(r) for r in first_rows(df.repartition(9), ["a", "b"], limit).collect())
         assert got == expected if isinstance(expected, list) else len(got) == expected
+
+
+@pytest.mark.parametrize("limit", [1, 7, 100, 1233, 4000, 10_000])
+def test_first_rows_counting_copies(spark, limit):
+    df = spark.range(900).select((F.col("id") * 7919 % 1000).alias("a"), (F.col("id") % 4 + 1).alias("m"))
+    want = [r["a"] for r in df.orderBy("a").collect() for _ in range(r["m"])][:limit]
+    got = first_rows(df.repartition(5), ["a"], limit, "m")
+    assert sorted(r["a"] for r in got.collect() for _ in range(r["m"])) == want
