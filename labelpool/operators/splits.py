@@ -79,7 +79,8 @@ def assign_roles(
 def stratified_folds(
     df: DataFrame, k: int, seed: int = 0, id_col: str = "id", y_col: str = "y"
 ) -> DataFrame:
-    """Add ``fold`` in 0..k-1: sizes differ by at most one, overall and within each class.
+    """Add ``fold`` in 0..k-1: sizes differ by at most one, overall and within each class. Rows
+    without a label belong to no class and are left out.
 
     A row's position in (class, hash) order modulo ``k``. Positions come from row counts per
     (class, hash prefix), summed up over at most 65,536 prefixes per class, plus the rank inside
