@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from labelpool.llm import language_id
 from labelpool.llm.exact_dedup import exact_dedup
 
 
@@ -11,6 +13,18 @@ def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{table}.parquet")
 
 
+def _remainder(by: int) -> Column:
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(by))
+
+
+def op4_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    held = F.coalesce(_remainder(3) == 1, F.lit(False))
+    docs = _read(spark, sf, "documents").withColumn("held_out", held)
+    model = language_id.train(docs.where(~F.col("held_out")))
+    out = language_id.identify(docs, model, ["doc_id", "held_out"])
+    return out.select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op8_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact_dedup(_read(spark, sf, "documents"))
 
@@ -26,5 +40,6 @@ FROM d
 """
 
 QUERIES = {
+    "op4_language_id": (op4_language_id, None),
     "op8_exact_dedup": (op8_exact_dedup, EXACT_DEDUP_SQL),
 }
