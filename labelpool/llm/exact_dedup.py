@@ -9,8 +9,8 @@ equal when their recipes are, so long texts are never moved for the comparison:
    hash stands for one content only. Hashes that do not are given numbered identifiers by content,
    and the recipes that use them are rewritten. The identifiers are then proven, not assumed;
 3. recipes, a few numbers each, are grouped; a partial count before the shuffle makes a group that
-   holds a third of all rows as cheap as any other. Rows find their group by a join that Spark
-   splits where a group is large.
+   holds a third of all rows as cheap as any other. Rows find their group by a join
+   that deals out a large group's rows.
 
 Defined cases: NULL text counts as empty; all empty texts are one group. A repeated row counts
 each time and is returned each time. A NULL id takes part in its group, never as the row to keep
@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelpool.llm.bytescan import flat, groups_of
+from labelpool.llm.spread import join_by_part
 from labelpool.session import materialise
 
 #: Chunks have MIN to MAX bytes, about MIN + 2^BITS on average.
@@ -173,7 +174,7 @@ def exact_dedup(
     groups = proven.groupBy("recipe").agg(
         F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")
     )
-    return proven.join(groups, "recipe").select(
+    return join_by_part(proven, groups, ["recipe"], "id").select(
         F.col("id").alias(id_col),
         "keep_id",
         "group_size",
