@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from labelpool.llm import language_id
 from labelpool.llm.exact_dedup import exact_dedup
+from labelpool.llm.near_dedup import near_dedup
 
 
 def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
@@ -25,6 +26,10 @@ def op4_language_id(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op5_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return near_dedup(_read(spark, sf, "documents"), shingle=4, percent=80)
+
+
 def op8_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact_dedup(_read(spark, sf, "documents"))
 
@@ -41,5 +46,6 @@ FROM d
 
 QUERIES = {
     "op4_language_id": (op4_language_id, None),
+    "op5_minhash_near_dedup": (op5_minhash_near_dedup, None),
     "op8_exact_dedup": (op8_exact_dedup, EXACT_DEDUP_SQL),
 }
