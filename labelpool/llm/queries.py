@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from labelpool.llm import language_id
 from labelpool.llm.exact_dedup import exact_dedup
 from labelpool.llm.near_dedup import near_dedup
+from labelpool.llm.sentencepiece_bpe import digest_documents
 
 
 def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
@@ -34,6 +35,13 @@ def op8_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact_dedup(_read(spark, sf, "documents"))
 
 
+def op9_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
+    import public_tokenizers
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    return digest_documents(_read(spark, sf, "documents"), model, ["doc_id"])
+
+
 EXACT_DEDUP_SQL = """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
 SELECT doc_id,
@@ -47,5 +55,6 @@ FROM d
 QUERIES = {
     "op4_language_id": (op4_language_id, None),
     "op5_minhash_near_dedup": (op5_minhash_near_dedup, None),
+    "op9_sentencepiece": (op9_sentencepiece, None),
     "op8_exact_dedup": (op8_exact_dedup, EXACT_DEDUP_SQL),
 }
