@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelpool.llm import language_id
+from labelpool.llm import language_id, toxicity
 from labelpool.llm.exact_dedup import exact_dedup
 from labelpool.llm.near_dedup import near_dedup
 from labelpool.llm.sentencepiece_bpe import digest_documents
@@ -19,6 +19,16 @@ def _remainder(by: int) -> Column:
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(by))
 
 
+def op2_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _read(spark, sf, "documents").withColumn(
+        "held_out", F.coalesce(_remainder(5) == 0, F.lit(False))
+    )
+    labels = _read(spark, sf, "labels").where(_remainder(5) != 0)
+    model = toxicity.train(docs, labels)
+    out = toxicity.score(docs, model, ["doc_id", "held_out"])
+    return out.select("doc_id", "held_out", "score", "predicted")
+
+
 def op4_language_id(spark: SparkSession, sf: str) -> DataFrame:
     held = F.coalesce(_remainder(3) == 1, F.lit(False))
     docs = _read(spark, sf, "documents").withColumn("held_out", held)
@@ -53,6 +63,7 @@ FROM d
 """
 
 QUERIES = {
+    "op2_toxicity": (op2_toxicity, None),
     "op4_language_id": (op4_language_id, None),
     "op5_minhash_near_dedup": (op5_minhash_near_dedup, None),
     "op9_sentencepiece": (op9_sentencepiece, None),
