@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from labelpool.llm.spread import join_by_part
 from labelpool.session import materialise
 
 
@@ -13,8 +14,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternates two steps until nothing changes: every node links its larger neighbours to its
     smallest one, then its smaller ones. Both only shorten paths, so a chain of n nodes takes about
-    log n rounds, and edges never outnumber the first ones. A node with very many neighbours is
-    met by its smaller neighbour's minimum first, which is combined before the shuffle. Each
+    log n rounds, and edges never outnumber the first ones. The edges of a node
+    with very many neighbours are dealt out over tasks. Each
     round's edges are written, so a lost executor costs one round.
     """
     now = materialise(_tidy(edges.select("a", "b")), "edges")
@@ -26,7 +27,7 @@ def components(edges: DataFrame) -> DataFrame:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = _tidy(
-            both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+            join_by_part(both.where("b > a"), least, ["a"], "b").select(F.col("b").alias("a"), F.col("m").alias("b"))
         )
         # The smaller neighbours: in (a, b) with a > b, all b and a meet at the least b.
         least = large.groupBy("a").agg(F.min("b").alias("m"))
