@@ -72,15 +72,17 @@ def words(data: np.ndarray, offsets: np.ndarray, blank: np.ndarray, lower: bool
     """``(hash, start, end, doc)`` of every maximal run of non-blank bytes inside one text."""
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     edges = np.asarray(offsets[1:-1])
+    # What separates words is decided after lower-casing, also where a window is cut.
+    blank = blank[LOWER] if lower else blank
     at, n = 0, len(data)
     while at < n:
         stop = min(n, at + WINDOW)
         if stop < n:
             stop = _cut(data, offsets, blank, at, stop)
         part = data[at:stop]
+        solid = ~blank[part]
         if lower:
             part = LOWER[part]
-        solid = ~blank[part]
         first = solid.copy()
         first[1:] &= ~solid[:-1]
         last = solid.copy()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from labelpool.llm import language_id, toxicity
 from labelpool.llm.exact_dedup import exact_dedup
+from labelpool.llm.license_scan import scan_licenses
 from labelpool.llm.near_dedup import near_dedup
 from labelpool.llm.sentencepiece_bpe import digest_documents
 
@@ -52,6 +53,10 @@ def op9_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
     return digest_documents(_read(spark, sf, "documents"), model, ["doc_id"])
 
 
+def op10_license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return scan_licenses(_read(spark, sf, "documents"), ["doc_id"]).drop("places")
+
+
 EXACT_DEDUP_SQL = """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
 SELECT doc_id,
@@ -67,5 +72,6 @@ QUERIES = {
     "op4_language_id": (op4_language_id, None),
     "op5_minhash_near_dedup": (op5_minhash_near_dedup, None),
     "op9_sentencepiece": (op9_sentencepiece, None),
+    "op10_license_scan": (op10_license_scan, None),
     "op8_exact_dedup": (op8_exact_dedup, EXACT_DEDUP_SQL),
 }
