@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from labelpool.llm import language_id, toxicity
 from labelpool.llm.exact_dedup import exact_dedup
+from labelpool.llm.exact_topk import top_k
 from labelpool.llm.license_scan import scan_licenses
 from labelpool.llm.near_dedup import near_dedup
 from labelpool.llm.sentencepiece_bpe import digest_documents
@@ -30,6 +31,33 @@ def op2_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("doc_id", "held_out", "score", "predicted")
 
 
+def op3_exact_topk(spark: SparkSession, sf: str) -> DataFrame:
+    return top_k(_read(spark, sf, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+EXACT_TOPK_SQL = """
+WITH good AS (
+    SELECT vec_id, embedding FROM embeddings
+    WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), parts AS (
+    SELECT vec_id, unnest(range(len(embedding))) AS i,
+           floor(1024 * unnest(embedding)::DOUBLE)::BIGINT AS v
+    FROM good
+), scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id, sum(q.v * c.v)::BIGINT AS score
+    FROM parts q JOIN parts c ON q.i = c.i AND q.vec_id <> c.vec_id
+    WHERE q.vec_id % 100 = 0
+    GROUP BY q.vec_id, c.vec_id
+)
+SELECT query_id,
+       (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank,
+       vec_id, score
+FROM scored
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10
+"""
+
+
 def op4_language_id(spark: SparkSession, sf: str) -> DataFrame:
     held = F.coalesce(_remainder(3) == 1, F.lit(False))
     docs = _read(spark, sf, "documents").withColumn("held_out", held)
@@ -69,6 +97,7 @@ FROM d
 
 QUERIES = {
     "op2_toxicity": (op2_toxicity, None),
+    "op3_exact_topk": (op3_exact_topk, EXACT_TOPK_SQL),
     "op4_language_id": (op4_language_id, None),
     "op5_minhash_near_dedup": (op5_minhash_near_dedup, None),
     "op9_sentencepiece": (op9_sentencepiece, None),
