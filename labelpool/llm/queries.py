@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelpool.llm import language_id, toxicity
+from labelpool.llm import language_id, quality_lm, toxicity
+from labelpool.llm.best_fit_packing import pack
 from labelpool.llm.exact_dedup import exact_dedup
 from labelpool.llm.exact_topk import top_k
 from labelpool.llm.license_scan import scan_licenses
@@ -70,6 +71,15 @@ def op5_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return near_dedup(_read(spark, sf, "documents"), shingle=4, percent=80)
 
 
+def op6_quality_lm(spark: SparkSession, sf: str) -> DataFrame:
+    trusted = _read(spark, sf, "labels").where("quality = 1")
+    return quality_lm.classify(_read(spark, sf, "documents"), trusted)
+
+
+def op7_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return pack(_read(spark, sf, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact_dedup(_read(spark, sf, "documents"))
 
@@ -102,5 +112,7 @@ QUERIES = {
     "op5_minhash_near_dedup": (op5_minhash_near_dedup, None),
     "op9_sentencepiece": (op9_sentencepiece, None),
     "op10_license_scan": (op10_license_scan, None),
+    "op6_quality_lm": (op6_quality_lm, None),
+    "op7_best_fit_packing": (op7_best_fit_packing, None),
     "op8_exact_dedup": (op8_exact_dedup, EXACT_DEDUP_SQL),
 }
