@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from labelpool.llm.bytescan import BLANKS, flat, groups_of, mix, per_doc, words
 from labelpool.llm.components import components
-from labelpool.llm.spread import join_by_part
+from labelpool.llm.spread import join_by_part, maybe_ids
 from labelpool.session import materialise
 
 SLOTS, CHUNKS, ERRORS = 32, 8, 1
@@ -47,8 +47,6 @@ WIDTH = SLOTS // CHUNKS
 FAR = 20
 #: Documents in a block of a bucket; documents and shingles in a block of a family.
 BUCKET_BLOCK, SET_BLOCK, SET_WEIGHT = 1024, 512, 1 << 19
-#: Bits of the filter on document ids: 2^18 rows of two numbers at most.
-FILTER_BITS = 1 << 24
 _SLICE = 1 << 20
 _rng = np.random.default_rng(11)
 _PLACE = _rng.integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -361,28 +359,10 @@ def _families(classes: DataFrame) -> DataFrame:
     return components(near)
 
 
-def _perhaps(frame: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows of ``frame`` whose id may be in ``wanted``, found without moving their texts.
-
-    The filter is a bitmap of FILTER_BITS bits, 64 to a row, so its size does not grow with the
-    data. A full one lets all rows pass; the join that follows decides.
-    """
-    slot = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
-    word, bit = F.floor(slot / 64), (slot % 64).cast("int")
-    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)
-    bits = wanted.groupBy(word.alias("_word")).agg(F.bit_or(one).alias("_bits"))
-    return (
-        frame.withColumn("_word", word)
-        .join(F.broadcast(bits), "_word")
-        .where(F.col("_bits").bitwiseAND(one) != 0)
-        .drop("_word", "_bits")
-    )
-
-
 def _confirmed(frame: DataFrame, families: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Edges (a, b) that keep together exactly what links on full sets connect."""
     families = materialise(families, "families")
-    texts = _perhaps(frame, families).join(families, "id").select(
+    texts = maybe_ids(frame, families.select("id"), "id").join(families, "id").select(
         "root",
         "id",
         "text",

@@ -1,7 +1,7 @@
 """Quality by the perplexity of an interpolated modified Kneser-Ney n-gram model.
 
 The model reads characters; white space counts as one blank, and characters beyond the ALPHABET
-most frequent ones of the trusted text as one other character. Twelve bits a character make an
+most frequent ones of all texts as one other character. Twelve bits a character make an
 n-gram of ORDER characters one 64-bit number, whose context and suffix are shifts and masks, so
 all counts are ordinary grouped tables:
 
@@ -36,6 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelpool.llm.codepoints import pieces
+from labelpool.llm.spread import with_ids
 from labelpool.session import materialise
 
 ORDER, BITS = 5, 12
@@ -137,11 +138,13 @@ def _tag(order: int, g: Column) -> Column:
     return g.bitwiseOR(F.lit(order << (BITS * ORDER)))
 
 
-def train(texts: DataFrame, text_col: str = "text", shard: int = SHARD) -> Model | None:
-    """The model of the rows of ``texts``; None if they hold no window."""
-    rows = texts.select(F.col(text_col).alias("text")).dropna()
+def train(
+    docs: DataFrame, trusted: DataFrame, text_col: str = "text", shard: int = SHARD
+) -> Model | None:
+    """The model of the texts of ``trusted``, None if they hold no window; letters from ``docs``."""
+    rows = trusted.select(F.col(text_col).alias("text")).dropna()
     top = (
-        rows.mapInArrow(_character_counts, "point bigint, n bigint")
+        docs.select(F.col(text_col).alias("text")).dropna().mapInArrow(_character_counts, "point bigint, n bigint")
         .groupBy("point")
         .agg(F.sum("n").alias("n"))
         .orderBy(F.desc("n"), "point")
@@ -334,8 +337,8 @@ def classify(
     """
     ids = trusted.select(F.col(id_col).alias("_id")).where("_id IS NOT NULL").distinct()
     held = F.pmod(F.xxhash64(F.col("_id").cast("string")), F.lit(HELD)) == 0
-    learn = docs.join(ids.where(~held), F.col(id_col) == F.col("_id"), "left_semi")
-    model = train(learn, text_col, shard)
+    slim = docs.select(id_col, text_col)
+    model = train(slim, with_ids(slim, ids.where(~held), id_col), text_col, shard)
     scored = materialise(score(docs, model, [id_col, lang_col], text_col), "perplexities")
     limits = thresholds(
         scored.join(ids.where(held), F.col(id_col) == F.col("_id"), "left_semi"), lang_col, quantile
