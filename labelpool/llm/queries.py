@@ -11,6 +11,7 @@ from labelpool.llm.exact_dedup import exact_dedup
 from labelpool.llm.exact_topk import top_k
 from labelpool.llm.license_scan import scan_licenses
 from labelpool.llm.near_dedup import near_dedup
+from labelpool.llm.quotation_links import link_quotations
 from labelpool.llm.sentencepiece_bpe import digest_documents
 
 
@@ -22,6 +23,60 @@ def _remainder(by: int) -> Column:
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(by))
 
 
+def op1_quotation_links(spark: SparkSession, sf: str) -> DataFrame:
+    return link_quotations(_read(spark, sf, "conversations"))
+
+
+QUOTATION_SQL = r"""
+WITH RECURSIVE rows AS (
+    SELECT row_number() OVER () AS r, conv_id, turn, role, coalesce(text, '') AS text
+    FROM conversations
+), lines AS (
+    SELECT r, conv_id, turn, i, string_split(text, chr(10))[i] AS line
+    FROM rows, LATERAL (SELECT unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i)
+), levels AS (
+    SELECT *, len(regexp_replace(regexp_extract(line, '^((?:[ \t]*>)*)', 1), '[^>]', '', 'g')) AS level,
+           regexp_replace(line, '^(?:[ \t]*>)*[ \t]?', '') AS body
+    FROM lines
+), marked AS (
+    SELECT *, trim(regexp_replace(lower(body), '\s+', ' ', 'g')) AS norm,
+           level = 0 AND coalesce(lead(level) OVER (PARTITION BY r ORDER BY i), 0) > 0
+               AND regexp_matches(line, '(?i)\b(wrote|writes|schrieb|écrit|escribió)\b[^:]*:\s*$') AS credit
+    FROM levels
+), said AS (
+    SELECT DISTINCT conv_id, turn, norm FROM marked WHERE level = 0 AND norm <> '' AND NOT credit
+), quoted AS (
+    SELECT r, conv_id, turn, level, norm FROM marked WHERE level > 0 AND norm <> ''
+), first_said AS (
+    SELECT conv_id, norm, min(turn) AS origin FROM said GROUP BY ALL
+), found AS (
+    SELECT q.conv_id, q.turn, q.level, f.origin, count(*) AS n
+    FROM quoted q JOIN first_said f USING (conv_id, norm) WHERE f.origin < q.turn GROUP BY ALL
+), replies AS (
+    SELECT conv_id, turn, first(origin ORDER BY level, n DESC, origin DESC) AS reply_to, sum(n)::BIGINT AS n_linked
+    FROM found GROUP BY ALL
+), up AS (
+    SELECT conv_id, turn, reply_to AS root FROM replies
+    UNION
+    SELECT up.conv_id, up.turn, r.reply_to FROM up JOIN replies r ON r.conv_id = up.conv_id AND r.turn = up.root
+), roots AS (
+    SELECT conv_id, turn, min(root) AS root FROM up GROUP BY ALL
+), made AS (
+    SELECT w.r, w.conv_id, w.turn, w.role, p.reply_to, coalesce(t.root, w.turn) AS thread,
+           coalesce(p.n_linked, 0)::BIGINT AS n_linked,
+           (SELECT count(*) FROM quoted q WHERE q.r = w.r) AS n_quoted,
+           coalesce((SELECT max(level) FROM quoted q WHERE q.r = w.r), 0)::INTEGER AS max_level,
+           coalesce((SELECT trim(string_agg(line, chr(10) ORDER BY i), chr(10)) FROM marked m
+                     WHERE m.r = w.r AND level = 0 AND NOT credit), '') AS clean_text
+    FROM rows w LEFT JOIN replies p USING (conv_id, turn) LEFT JOIN roots t USING (conv_id, turn)
+)
+SELECT conv_id, turn, role, reply_to, thread,
+       row_number() OVER (PARTITION BY conv_id ORDER BY thread, turn, role) - 1 AS position,
+       n_quoted, n_linked, max_level, clean_text
+FROM made
+"""
+
+
 def op2_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     docs = _read(spark, sf, "documents").withColumn(
         "held_out", F.coalesce(_remainder(5) == 0, F.lit(False))
@@ -106,6 +161,7 @@ FROM d
 """
 
 QUERIES = {
+    "op1_quotation_links": (op1_quotation_links, QUOTATION_SQL),
     "op2_toxicity": (op2_toxicity, None),
     "op3_exact_topk": (op3_exact_topk, EXACT_TOPK_SQL),
     "op4_language_id": (op4_language_id, None),
