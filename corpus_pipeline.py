@@ -44,8 +44,10 @@ def _only(docs: DataFrame, verdict: DataFrame) -> DataFrame:
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a recognisable language go, those with a NULL text among them."""
     model = language_id.train(docs)
-    found = language_id.identify(docs, model, docs.columns)
-    return found.where("lang_pred <> 'und' AND score >= {}".format(SURE)).select(*docs.columns)
+    # A row travels as one column, so no column of the table can clash with the verdict's.
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    found = language_id.identify(rows, model, ["row"])
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= SURE)).select("row.*")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

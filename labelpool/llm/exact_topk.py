@@ -232,7 +232,7 @@ def top_k(
         integers(F.col(vector_col)).alias("v"),
         F.coalesce(is_query, F.lit(False)).alias("is_query"),
     )
-    width = ready.agg(F.max(F.size("v"))).first()[0] or 0
+    width = max(1, ready.agg(F.max(F.size("v"))).first()[0] or 0)
     index = build_index(ready, width)
 
     def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

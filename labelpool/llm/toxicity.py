@@ -327,10 +327,11 @@ def train(
         .limit(sample)
     )
     rows = materialise(
-        docs.where(F.col(text_col).isNotNull())
+        docs.select(id_col, F.col(text_col).alias("text"))
+        .where("text IS NOT NULL")
         # At most `sample` ids and labels.
         .join(F.broadcast(taken), F.col(id_col) == F.col("_id"))
-        .select(F.col(text_col).alias("text"), "y", F.pmod(order, F.lit(2)).alias("fold")),
+        .select("text", "y", F.pmod(order, F.lit(2)).alias("fold")),
         "labelled",
     )
     cells = rows.groupBy("fold", "y").agg(F.count(F.lit(1)).alias("n")).collect()
