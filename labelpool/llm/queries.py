@@ -9,7 +9,7 @@ from labelpool.llm import language_id, quality_lm, toxicity
 from labelpool.llm.best_fit_packing import pack
 from labelpool.llm.exact_dedup import exact_dedup
 from labelpool.llm.exact_topk import top_k
-from labelpool.llm.license_scan import scan_licenses
+from labelpool.llm.license_scan import AGREE, NOTICES, PHRASES, scan_licenses
 from labelpool.llm.near_dedup import near_dedup
 from labelpool.llm.quotation_links import link_quotations
 from labelpool.llm.sentencepiece_bpe import digest_documents
@@ -160,14 +160,88 @@ SELECT doc_id,
 FROM d
 """
 
+NEAR_DEDUP_SQL = r"""
+WITH RECURSIVE d AS (
+    SELECT doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x20\x09-\x0D]+') AS w
+    FROM documents
+), shingles AS (
+    SELECT DISTINCT doc_id, s FROM (
+        SELECT doc_id, unnest(CASE WHEN len(w) >= 4
+            THEN list_transform(range(1, len(w) - 2), lambda k: array_to_string(w[k:k + 3], ' '))
+            ELSE [array_to_string(w, ' ')] END) AS s
+        FROM d WHERE len(w) > 0)
+), sizes AS (
+    SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), links AS (
+    SELECT a.doc_id AS a, b.doc_id AS b
+    FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id
+    JOIN sizes x ON x.doc_id = a.doc_id JOIN sizes y ON y.doc_id = b.doc_id
+    GROUP BY a.doc_id, b.doc_id, x.n, y.n
+    HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))
+), reach AS (
+    SELECT doc_id, doc_id AS other FROM documents
+    UNION
+    SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other
+), named AS (
+    SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM d JOIN named USING (doc_id) LEFT JOIN sizes USING (doc_id)
+"""
+
+
+def _license_sql() -> str:
+    quote = lambda ws: "[" + ", ".join(f"'{w}'" for w in ws) + "]"
+    rows = [(label, True, p.split(), 0, p.split()) for p, label in PHRASES.items()]
+    for label, notice, key in NOTICES:
+        body, k = notice.split(), key.split()
+        at = next(i for i in range(len(body)) if body[i : i + len(k)] == k)
+        rows.append((label, False, body, at, k))
+    values = ",\n        ".join(
+        f"('{label}', {base}, {quote(body)}, {at}, {quote(k)})" for label, base, body, at, k in rows
+    )
+    return rf"""
+WITH d AS (
+    SELECT doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM documents
+), t(label, base, body, lead_in, key) AS (
+    VALUES {values}
+), starts AS (
+    SELECT doc_id, w, t.*, p - lead_in AS s
+    FROM d JOIN t ON list_contains(w, key[1]), LATERAL (SELECT unnest(range(1, len(w) + 1)) AS p)
+    WHERE w[p] = key[1] AND w[p:p + len(key) - 1] = key
+), hits AS (
+    SELECT doc_id, label, base, s - 1 AS start, len(body) AS size,
+           len(list_filter(range(1, len(body) + 1),
+                           lambda k: s + k - 1 >= 1 AND w[s + k - 1] = body[k])) AS agree
+    FROM starts
+), found AS (
+    SELECT doc_id, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word,
+           max(start) FILTER (base) AS last_word,
+           string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels,
+           string_agg(DISTINCT label, ',' ORDER BY label) AS labels,
+           max(agree / size * CASE WHEN base THEN 0.5::DOUBLE ELSE 1::DOUBLE END) AS score
+    FROM hits WHERE agree >= {AGREE} * size GROUP BY doc_id
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+       coalesce(score, 0)::DOUBLE AS score
+FROM d LEFT JOIN found USING (doc_id)
+"""
+
+
 QUERIES = {
     "op1_quotation_links": (op1_quotation_links, QUOTATION_SQL),
     "op2_toxicity": (op2_toxicity, None),
     "op3_exact_topk": (op3_exact_topk, EXACT_TOPK_SQL),
     "op4_language_id": (op4_language_id, None),
-    "op5_minhash_near_dedup": (op5_minhash_near_dedup, None),
+    "op5_minhash_near_dedup": (op5_minhash_near_dedup, NEAR_DEDUP_SQL),
     "op9_sentencepiece": (op9_sentencepiece, None),
-    "op10_license_scan": (op10_license_scan, None),
+    "op10_license_scan": (op10_license_scan, _license_sql()),
     "op6_quality_lm": (op6_quality_lm, None),
     "op7_best_fit_packing": (op7_best_fit_packing, None),
     "op8_exact_dedup": (op8_exact_dedup, EXACT_DEDUP_SQL),
