@@ -44,12 +44,12 @@ def extract_predications(
     subject_types: Sequence[str] = SEMANTIC_TYPES,
     object_types: Sequence[str] = SEMANTIC_TYPES,
     predicates: Sequence[str] = PREDICATES,
-    limit: int | None = 1_000_000,
+    limit: int | None = None,
     order_by: Sequence[str] = ("PMID", "predicate", "SUBJECT_TEXT", "OBJECT_TEXT", "SENTENCE"),
 ) -> DataFrame:
     """The 17-column extraction: filters on the predication table, three equi-joins, and the
-    concept join on subject or object, a row per matching concept and semantic type. ``limit``
-    takes the first rows of ``order_by``."""
+    concept join on subject or object, a row per matching concept and semantic type. ``limit``,
+    if given, takes the first rows of ``order_by``."""
     wanted = predication.where(
         F.col("s_type").isin(list(subject_types))
         & F.col("o_type").isin(list(object_types))

@@ -6,13 +6,15 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from labelpool.functions.text import TOKEN_PATTERN, key_value, ngrams, tokens, without
+from labelpool.plans.cuts import numbered
 from labelpool.plans.lookup import skew_lookup
-from labelpool.session import materialise
+from labelpool.session import materialise, new_table_dir
 
 
 def one_hot(
@@ -79,15 +81,18 @@ def family_filter(
 class TfIdfModel:
     """Inverse document frequencies as a table; ``transform`` gives L2-normalised weights."""
 
-    def __init__(self, spec: "TfIdf", idf: DataFrame):
-        self.spec, self.idf = spec, idf
+    def __init__(
+        self, spec: "TfIdf", idf: DataFrame, docs: DataFrame | None = None,
+        counts: DataFrame | None = None,
+    ):
+        self.spec, self.idf, self.docs, self.counts = spec, idf, docs, counts
 
     @property
     def vocabulary(self) -> DataFrame:
         return self.idf.select("feature").orderBy("feature")
 
     def transform(self, docs: DataFrame) -> DataFrame:
-        counts = self.spec.term_counts(docs)
+        counts = self.counts if docs is self.docs else self.spec.term_counts(docs)
         weighed = skew_lookup(counts, self.idf, "feature", F.col("df"), "id").withColumn(
             "w", F.col("tf") * F.col("idf")
         )
@@ -98,9 +103,10 @@ class TfIdfModel:
 class TfIdf:
     """TF-IDF over whole texts: raw counts (or 0/1), idf = ln((1+N)/(1+df)) + 1, L2 norm.
 
-    Documents are shuffled once by id, before tokens are made; counting terms and normalising then
-    need no further exchange. The vocabulary is a written table, so Spark knows its size and
-    broadcasts it only when it is small.
+    Tokens are made where the text is read and counted before the exchange, so the text itself is
+    not moved. The counts are written once and serve both the document frequencies and the
+    weights of the fitted documents. The vocabulary is a written table, so Spark knows its size
+    and broadcasts it only when it is small.
     """
 
     def __init__(
@@ -122,12 +128,11 @@ class TfIdf:
         words = without(
             tokens(F.col("text"), self.pattern, self.min_length), list(self.stop_words)
         )
-        # explode_outer: for explode, Spark would add a "has any token" filter below the shuffle
-        # and so find the tokens several times over.
+        # explode_outer: for explode, Spark would add a "has any token" filter at the scan and so
+        # find the tokens several times over.
         found = F.explode_outer(ngrams(F.col("words"), self.low, self.high))
         terms = (
             docs.select(F.col(self.id_col).alias("id"), F.col(self.text_col).alias("text"))
-            .repartition("id")
             .select("id", words.alias("words"))
             .select("id", found.alias("feature"))
             .where(F.col("feature").isNotNull())
@@ -137,13 +142,14 @@ class TfIdf:
 
     def fit(self, docs: DataFrame) -> TfIdfModel:
         n = docs.agg(F.count("*").alias("n")).scalar()
+        counts = materialise(self.term_counts(docs), "term-counts")
         idf = (
-            self.term_counts(docs)
+            counts
             .groupBy("feature")
             .agg(F.count("*").alias("df"))
             .withColumn("idf", F.ln((1 + n) / (1 + F.col("df"))) + 1)
         )
-        return TfIdfModel(self, materialise(idf, "idf"))
+        return TfIdfModel(self, materialise(idf, "idf"), docs, counts)
 
 
 def union_features(parts: dict[str, DataFrame], prefix: bool = False) -> DataFrame:
@@ -155,15 +161,10 @@ def union_features(parts: dict[str, DataFrame], prefix: bool = False) -> DataFra
     return reduce(lambda a, b: a.unionByName(b), [d.select("id", "feature", "value") for d in named])
 
 
-def feature_index(features: DataFrame, limit: int = 5_000_000) -> DataFrame:
-    """``(feature, idx)`` in feature order. Model weights live on the driver, so more than
-    ``limit`` features are refused; select features first."""
-    names = materialise(features.groupBy("feature").agg(F.count("*").alias("rows")), "vocab")
-    n = names.count()
-    if n > limit:
-        raise ValueError(f"{n} features for a model; the limit is {limit}")
-    order = F.row_number().over(Window.orderBy("feature"))
-    return names.withColumn("idx", (order - 1).cast("int"))
+def feature_index(features: DataFrame) -> DataFrame:
+    """``(feature, rows, idx)`` in feature order, numbered by ranges of the features."""
+    names = features.groupBy("feature").agg(F.count("*").alias("rows"))
+    return numbered(names, ["feature"], "idx").withColumn("idx", F.col("idx").cast("int"))
 
 
 def to_vectors(
@@ -171,20 +172,34 @@ def to_vectors(
 ) -> DataFrame:
     """``(id, features)`` with sparse vectors for Spark ML; unknown features are left out.
 
-    With ``ids`` the result has exactly those rows, an empty vector where nothing is stored.
+    With ``ids`` the result has exactly those rows, an empty vector where nothing is stored. The
+    vectors are put together by Spark itself: a Spark ML vector is stored as a struct.
     """
-    size = index.count()
+    index = materialise(index, "index")
+    size = index.agg(F.coalesce(F.max("idx") + 1, F.lit(0))).first()[0]
     rows = (
         skew_lookup(features, index, "feature", F.col("rows"), "id")
         .groupBy("id")
         .agg(F.sort_array(F.collect_list(F.struct("idx", "value"))).alias("e"))
     )
     if ids is not None:
-        rows = ids.select("id").join(rows, "id", "left")
-    build = F.udf(
-        lambda e: Vectors.sparse(size, [(i["idx"], i["value"]) for i in e or []]), VectorUDT()
+        rows = ids.select("id").join(rows, "id", "left").withColumn(
+            "e", F.coalesce("e", F.array().cast("array<struct<idx:int,value:double>>"))
+        )
+    stored = rows.select(
+        "id",
+        F.struct(
+            F.lit(0).cast("tinyint").alias("type"),
+            F.lit(size).cast("int").alias("size"),
+            F.col("e.idx").alias("indices"),
+            F.col("e.value").cast("array<double>").alias("values"),
+        ).alias("features"),
     )
-    return rows.select("id", build("e").alias("features"))
+    # Written and read back under the vector's schema, which only changes how a row is seen.
+    path = new_table_dir(features.sparkSession, "vectors")
+    stored.write.parquet(path)
+    seen = T.StructType([features.schema["id"], T.StructField("features", VectorUDT())])
+    return features.sparkSession.read.schema(seen).parquet(path)
 
 
 def to_arrays(features: DataFrame, index: DataFrame, ids: DataFrame | None = None) -> DataFrame:

@@ -48,6 +48,8 @@ class Sums:
     def of(rows: Iterable[Row]) -> "Sums":
         out = Sums([0, 0], [0.0, 0.0], [0.0, 0.0])
         for r in rows:
+            if r["y"] not in (0, 1):
+                raise ValueError(f"the model knows the classes 0 and 1, not {r['y']!r}")
             out.n[r["y"]] += r["n"]
             out.s1[r["y"]] = out.s1[r["y"]] + np.array(r["s1"])
             out.s2[r["y"]] = out.s2[r["y"]] + np.array(r["s2"])

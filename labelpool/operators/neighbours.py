@@ -18,19 +18,21 @@ def _nearest_kernel(k: int):
     def kernel(d: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> dict[str, np.ndarray]:
         order = np.argsort(cols, kind="stable")
         cols, d = cols[order], np.round(d[:, order], 12)
-        d = np.where(rows[:, None] == cols[None, :], np.inf, d)
-        if np.isnan(d).any():
+        itself = rows[:, None] == cols[None, :]
+        if np.isnan(np.where(itself, 0.0, d)).any():
             raise ValueError("undefined distance between two rows")
+        # The row itself comes after every other row, also after infinitely far ones.
+        d = np.where(itself, np.nan, d)
         take = min(k, d.shape[1])
         if take < d.shape[1]:
             # Everything up to the k-th smallest distance, then cut in (distance, id) order.
             limit = np.partition(d, take - 1, axis=1)[:, take - 1 : take]
-            near = np.where(d <= limit, d, np.inf)
+            near = np.where((d <= limit) | np.isnan(limit), d, np.nan)
         else:
             near = d
         best = np.argsort(near, axis=1, kind="stable")[:, :take]
         dist = np.take_along_axis(near, best, axis=1)
-        ok = np.isfinite(dist)
+        ok = ~np.isnan(dist)
         owner = np.broadcast_to(rows[:, None], dist.shape)
         return {"id": owner[ok], "nbr": cols[best][ok], "d": dist[ok]}
 

@@ -19,7 +19,7 @@ SCORE_DIGITS = 9
 
 
 def _class_sums(features: DataFrame, labels: DataFrame) -> DataFrame:
-    """Per feature: rows, and sum and sum of squares per class; plus class sizes ``_c``.
+    """Per feature: all its rows, its labeled rows, and sum and sum of squares per class; plus class sizes ``_c``.
 
     Rows without a stored value count as zero through the class sizes.
     """
@@ -35,20 +35,22 @@ def _class_sums(features: DataFrame, labels: DataFrame) -> DataFrame:
         return F.sum(F.when(F.col("y") == cls, value).otherwise(0.0))
 
     return (
-        features.join(labels.select("id", "y"), "id")
+        features.join(labels.select("id", "y"), "id", "left")
         .groupBy("feature")
         .agg(
-            F.count("*").alias("rows"),
+            F.count("*").alias("all_rows"),
+            F.count("y").alias("rows"),
             of(0, v).alias("s0"),
             of(1, v).alias("s1"),
-            F.sum(v * v).alias("ss"),
+            F.sum(F.when(F.col("y").isNotNull(), v * v).otherwise(0.0)).alias("ss"),
         )
+        .where("rows > 0")
         .withColumn("_c", sizes.scalar())
     )
 
 
 def chi2_scores(features: DataFrame, labels: DataFrame) -> DataFrame:
-    """``(feature, rows, score)``: chi-square of the class sums against the class shares."""
+    """``(feature, rows, all_rows, score)``: chi-square of the class sums against the class shares."""
     n0, n1 = F.col("_c.n0"), F.col("_c.n1")
     all_ = F.col("s0") + F.col("s1")
 
@@ -58,12 +60,12 @@ def chi2_scores(features: DataFrame, labels: DataFrame) -> DataFrame:
         return F.try_divide(gap * gap, expected)
 
     return _class_sums(features, labels).select(
-        "feature", "rows", (part("s0", n0) + part("s1", n1)).alias("score")
+        "feature", "rows", "all_rows", (part("s0", n0) + part("s1", n1)).alias("score")
     )
 
 
 def anova_scores(features: DataFrame, labels: DataFrame) -> DataFrame:
-    """``(feature, rows, score)``: one-way F. NULL for a constant feature."""
+    """``(feature, rows, all_rows, score)``: one-way F. NULL for a constant feature."""
     n0, n1 = F.col("_c.n0"), F.col("_c.n1")
     n = n0 + n1
     s0, s1 = F.col("s0"), F.col("s1")
@@ -76,7 +78,7 @@ def anova_scores(features: DataFrame, labels: DataFrame) -> DataFrame:
         F.col("within") > tiny,
         F.col("between") / F.try_divide(F.col("within"), F.lit(-2.0) + n),
     ).when(F.col("between") > tiny, F.lit(math.inf))
-    return sums.withColumn("score", score).select("feature", "rows", "score")
+    return sums.withColumn("score", score).select("feature", "rows", "all_rows", "score")
 
 
 SCORERS = {"chi2": chi2_scores, "anova": anova_scores}
@@ -120,8 +122,8 @@ def rank_features(scores: DataFrame) -> DataFrame:
 
 def keep_features(features: DataFrame, kept: DataFrame) -> DataFrame:
     """Rows of the kept features; very frequent features do not pile up in one task."""
-    wanted = kept.select("feature", "rows")
-    return skew_lookup(features, wanted, "feature", F.col("rows"), "id").select(*features.columns)
+    wanted = kept.select("feature", "all_rows")
+    return skew_lookup(features, wanted, "feature", F.col("all_rows"), "id").select(*features.columns)
 
 
 def select_features(
@@ -164,36 +166,86 @@ def combined_features(
     return kept.withColumn("feature", bare)
 
 
+def erfc(z: np.ndarray) -> np.ndarray:
+    """Complementary error function of non-negative numbers: series below 2, fraction above."""
+    out = np.full(z.shape, np.nan)
+    low, high = z < 2, z >= 2
+    x = z[low]
+    term = total = x * 2 / math.sqrt(math.pi)
+    for n in range(1, 60):
+        term = term * (-x * x) / n
+        total = total + term / (2 * n + 1)
+    out[low] = 1 - total
+    x = z[high]
+    tail = x.copy()
+    for n in range(120, 0, -1):
+        tail = x + n / 2 / tail
+    with np.errstate(under="ignore"):
+        out[high] = np.exp(-x * x) / (tail * math.sqrt(math.pi))
+    return out
+
+
 def chi2_p_value(score: Column) -> Column:
     """Upper tail of chi-square with one degree of freedom."""
 
     @F.pandas_udf("double")
     def tail(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: math.erfc(math.sqrt(v / 2)) if pd.notna(v) else None)
+        z = np.sqrt(values.to_numpy(dtype=float, na_value=np.nan) / 2)
+        return pd.Series(erfc(z)).where(values.notna())
 
     return tail(score)
 
 
-# Beyond this many degrees of freedom the normal approximation agrees to five digits.
-SERIES_DOF = 10_000
-
-
-def _t_tail(t: np.ndarray, dof: int) -> np.ndarray:
-    """Two-sided tail of Student's t: the finite trigonometric series for whole degrees of freedom."""
-    if dof > SERIES_DOF:
-        z = t * (1 - 1 / (4 * dof)) / np.sqrt(1 + t * t / (2 * dof))
-        return np.array([math.erfc(v / math.sqrt(2)) for v in z])
-    angle = np.arctan(t / math.sqrt(dof))
-    cos2 = np.cos(angle) ** 2
-    nested = np.ones_like(t)
-    if dof % 2 == 0:
-        for j in range(dof // 2 - 1, 0, -1):
-            nested = 1 + (2 * j - 1) / (2 * j) * cos2 * nested
-        return 1 - np.sin(angle) * nested
-    for j in range((dof - 3) // 2, 0, -1):
-        nested = 1 + 2 * j / (2 * j + 1) * cos2 * nested
-    body = np.sin(angle) * np.cos(angle) * nested if dof > 1 else 0.0
-    return 1 - 2 / math.pi * (angle + body)
+def _log_beta_half(a: float) -> float:
+    """ln B(a, 1/2). For large a by the expansion of the ratio of gammas, where they would cancel."""
+    if a < 1000:
+        return math.lgamma(a) + math.lgamma(0.5) - math.lgamma(a + 0.5)
+    return 0.5 * math.log(math.pi / a) + 1 / (8 * a) - 1 / (192 * a**3)
+
+
+def _beta_fraction(x: np.ndarray, a: float, b: float) -> np.ndarray:
+    """The continued fraction of the incomplete beta function, by Lentz's method, until it rests."""
+    tiny = 1e-300
+    c = np.ones_like(x)
+    d = 1 - (a + b) * x / (a + 1)
+    d = 1 / np.where(np.abs(d) < tiny, tiny, d)
+    h = d.copy()
+    m = 0
+    while True:
+        m += 1
+        for step in (
+            m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
+            -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)),
+        ):
+            d = 1 + step * d
+            d = 1 / np.where(np.abs(d) < tiny, tiny, d)
+            c = 1 + step / c
+            c = np.where(np.abs(c) < tiny, tiny, c)
+            h = h * d * c
+        if not np.any(np.abs(d * c - 1) > 1e-15) or m > 100 + 10 * math.sqrt(a + b):
+            return h
+
+
+def f_tail(f: np.ndarray, dof: int) -> np.ndarray:
+    """P(F > f) with (1, dof) degrees of freedom: the regularised incomplete beta function at
+    dof / (dof + f), in log space, for every number of degrees of freedom."""
+    out = np.full(f.shape, np.nan)
+    out[f <= 0] = 1.0
+    out[np.isposinf(f)] = 0.0
+    inner = (f > 0) & np.isfinite(f)
+    v = f[inner]
+    a, b = dof / 2, 0.5
+    x, y = dof / (dof + v), v / (dof + v)
+    log_front = -a * np.log1p(v / dof) + b * np.log(y) - _log_beta_half(a)
+    near_one = x >= (a + 1) / (a + b + 2)
+    with np.errstate(under="ignore"):
+        front = np.exp(log_front)
+        # Each branch is the same function; the fraction settles fast on its own side only.
+        tail = np.empty_like(v)
+        tail[~near_one] = front[~near_one] * _beta_fraction(x[~near_one], a, b) / a
+        tail[near_one] = 1 - front[near_one] * _beta_fraction(y[near_one], b, a) / b
+    out[inner] = tail
+    return out
 
 
 def f_p_value(score: Column, n: int) -> Column:
@@ -201,7 +253,6 @@ def f_p_value(score: Column, n: int) -> Column:
 
     @F.pandas_udf("double")
     def tail(values: pd.Series) -> pd.Series:
-        t = np.sqrt(values.to_numpy(dtype=float, na_value=np.nan))
-        return pd.Series(_t_tail(t, n - 2)).where(values.notna())
+        return pd.Series(f_tail(values.to_numpy(dtype=float, na_value=np.nan), n - 2)).where(values.notna())
 
     return tail(score)

@@ -10,8 +10,6 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A d x d matrix is solved on the driver and sent to the executors: 4,096 dimensions are 128 MB.
-MAX_DIM = 4096
 RANK_TOLERANCE = 1e-12
 
 
@@ -62,7 +60,7 @@ class _Whitened(Space):
     """Mahalanobis distance with the pseudo-inverse of the sample covariance.
 
     Spark's PCA gives the covariance's eigenvectors and the shares of its eigenvalues; the trace
-    gives their scale. Directions without variance are dropped, which is the pseudo-inverse.
+    gives their scale. The d x d matrix is solved on the driver; Spark raises where it cannot. Directions without variance are dropped, which is the pseudo-inverse.
     """
 
     def __init__(self, df: DataFrame):
@@ -70,8 +68,6 @@ class _Whitened(Space):
         vectors = df.select(array_to_vector("x").alias("v"))
         var = vectors.agg(Summarizer.variance(F.col("v")).alias("v")).first()["v"].toArray()
         dim = len(var)
-        if dim > MAX_DIM:
-            raise ValueError(f"mahalanobis over {dim} dimensions: the limit is {MAX_DIM}")
         if not var.any():
             shares = np.zeros(dim)
             self.rotate = None

@@ -81,7 +81,8 @@ def _locate(buckets: Sequence[tuple[str, int]], rank: int) -> tuple[str, int] |
 def first_rows(
     df: DataFrame, order_by: Sequence[str | Column], limit: int, copies: str | None = None
 ) -> DataFrame:
-    """The first ``limit`` rows in order, for limits too large for one task to merge.
+    """The first ``limit`` rows in order, for limits too large for one task to merge. Which rows
+    they are is exact; in what order they come is not said.
 
     ``orderBy().limit(n)`` sends n rows of every partition to a single task. Here the rows are
     range-partitioned and sorted, written once with their position, and cut where the row counts
@@ -123,6 +124,33 @@ def first_rows(
     return before.unionByName(last).drop("_at", "_part")
 
 
+def numbered(df: DataFrame, order_by: Sequence[str | Column], name: str) -> DataFrame:
+    """``df`` with the position, from 0, that each row has in order; the order must be total.
+
+    Rows are range-partitioned and sorted, written once, and numbered by their place in the range
+    plus the rows of the ranges before it, one number for each range.
+    """
+    placed = materialise(
+        df.repartitionByRange(*order_by)
+        .sortWithinPartitions(*order_by)
+        .withColumn("_at", F.monotonically_increasing_id())
+        .withColumn("_part", F.shiftright("_at", 33).cast("int")),
+        "sorted",
+    )
+    sizes = placed.groupBy("_part").count().orderBy("_part").collect()
+    offsets, total = [], 0
+    for row in sizes:
+        offsets.append((row["_part"], total))
+        total += row["count"]
+    # One row for each range.
+    known = df.sparkSession.createDataFrame(offsets, "_part int, _before bigint")
+    return (
+        placed.join(F.broadcast(known), "_part")
+        .withColumn(name, F.col("_at").bitwiseAND((1 << 33) - 1) + F.col("_before"))
+        .drop("_at", "_part", "_before")
+    )
+
+
 def nth_text(df: DataFrame, column: str, rank: int, small: int = 10_000) -> str:
     """The ``rank``-th smallest distinct text of a column (1-based).
 

@@ -110,7 +110,8 @@ BLOCK_DISTANCES: dict[str, Callable[[np.ndarray, np.ndarray], np.ndarray]] = {
     "russellrao": _counted(lambda tt, tf, ft, ff: (tf + ft + ff) / (tt + tf + ft + ff)),
     "sokalsneath": _counted(lambda tt, tf, ft, ff: 2 * (tf + ft) / (tt + 2 * (tf + ft))),
     "yule": _counted(_yule),
-    "kulczynski1": _counted(lambda tt, tf, ft, ff: tt / (tf + ft)),
+    # Without any mismatch it is undefined, as in the column form.
+    "kulczynski1": _counted(lambda tt, tf, ft, ff: np.where(tf + ft == 0, np.nan, tt / (tf + ft))),
     "kulsinski": _counted(
         lambda tt, tf, ft, ff: (2 * (tf + ft) + ff) / (2 * (tf + ft) + ff + tt)
     ),

@@ -474,30 +474,30 @@ def ml_rows(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 def svm_margins(spark: SparkSession, sf: str) -> DataFrame:
     train, test = ml_rows(spark, sf)
-    return models.LinearModel(models.hinge(max_iter=30)).fit(train).transform(test).select("id", "y", "margin")
+    return models.LinearModel(models.hinge()).fit(train).transform(test).select("id", "y", "margin")
 
 
 def log_loss_probabilities(spark: SparkSession, sf: str) -> DataFrame:
     train, test = ml_rows(spark, sf)
-    out = models.LinearModel(models.log_loss(max_iter=30)).fit(train).transform(test)
+    out = models.LinearModel(models.log_loss()).fit(train).transform(test)
     return out.select("id", "y", "margin", F.get("prob", F.lit(1)).alias("p1"))
 
 
 def platt_probabilities(spark: SparkSession, sf: str) -> DataFrame:
     train, test = ml_rows(spark, sf)
-    out = models.PlattScaled(models.hinge(max_iter=30)).fit(train).transform(test)
+    out = models.PlattScaled(models.hinge()).fit(train).transform(test)
     return out.select("id", "y", "margin", F.get("prob", F.lit(1)).alias("p1"))
 
 
 def cv_auc(spark: SparkSession, sf: str) -> DataFrame:
-    rows = models.with_vector(stratified_folds(vectors(spark, sf), 5, 1)).select("y", "fold", "features")
-    mean, spread = models.cross_validate(models.hinge(max_iter=10), rows, 5)
+    rows = models.with_vector(stratified_folds(vectors(spark, sf), 10, 1)).select("y", "fold", "features")
+    mean, spread = models.cross_validate(models.hinge(), rows, 10)
     return spark.createDataFrame([(mean, spread)], "auc double, spread double")
 
 
 def grid(spark: SparkSession, sf: str) -> DataFrame:
-    rows = models.with_vector(stratified_folds(vectors(spark, sf), 3, 1)).select("y", "fold", "features")
-    _, results = models.grid_search(models.hinge(max_iter=5), "regParam", models.ALPHA_GRID, rows, 3)
+    rows = models.with_vector(stratified_folds(vectors(spark, sf), 5, 1)).select("y", "fold", "features")
+    _, results = models.grid_search(models.hinge(), "regParam", models.ALPHA_GRID, rows, 5)
     return spark.createDataFrame(results, "alpha double, auc double")
 
 

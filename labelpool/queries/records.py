@@ -67,15 +67,21 @@ def source_tables(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     }
 
 
-def extract_predications(spark: SparkSession, sf: str) -> DataFrame:
+def extract_predications(spark: SparkSession, sf: str, limit: int = 1_000_000) -> DataFrame:
     return extract.extract_predications(
         **source_tables(spark, sf),
         subject_types=["F", "P"],
         object_types=["BUILDING", "MACHINERY"],
         predicates=["1-URGENT", "2-HIGH", "5-LOW"],
+        limit=limit,
     )
 
 
+def extract_first_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The same extraction with a limit that cuts at every size."""
+    return extract_predications(spark, sf, limit=2_000)
+
+
 EXTRACT_SQL = """
 WITH sp AS (
   SELECT l_orderkey AS PREDICATION_ID, l_partkey AS SENTENCE_ID, l_returnflag AS INDICATOR_TYPE,
@@ -338,6 +344,7 @@ def label_texts(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "extract_predications": (extract_predications, EXTRACT_SQL),
+    "extract_first_rows": (extract_first_rows, EXTRACT_SQL.replace("LIMIT 1000000", "LIMIT 2000")),
     "disjunctive_join": (
         disjunctive_join,
         """

@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from labelpool.operators.splits import binarise_sorted
+from labelpool.session import materialise
+
 ANNOTATED_ROW = T.StructType(
     [
         T.StructField(name, kind)
@@ -35,8 +38,11 @@ RESULT_CHOICES = "strategy string, iteration int, fold int, draw int, id bigint,
 def read_delimited(
     spark: SparkSession, path: str, schema: T.StructType | str, sep: str = "\t"
 ) -> DataFrame:
-    """A delimited file with a header line; .gz and .bz2 are unpacked by name."""
-    return spark.read.csv(path, schema=schema, sep=sep, header=True, enforceSchema=False)
+    """A delimited file with a header line; .gz and .bz2 are unpacked by name. A row that does not
+    fit the schema fails the job."""
+    return spark.read.csv(
+        path, schema=schema, sep=sep, header=True, enforceSchema=False, mode="FAILFAST"
+    )
 
 
 def header_of(spark: SparkSession, path: str, sep: str = ",") -> list[str]:
@@ -49,24 +55,31 @@ def read_feature_matrix(
 ) -> tuple[DataFrame, DataFrame]:
     """``(id, feature, value)`` and ``(id, y)`` from a wide matrix with a label column.
 
-    Without an id column rows are numbered in file order: file after file, line after line. Zeros
-    are not stored. Quotes around header names are dropped.
+    Without an id column rows are numbered in file order: file after file, line after line; the
+    numbered rows are written once, so that features and labels agree. Zeros are not stored.
+    Quotes around header names are dropped. Labels are 0 and 1, or two texts, of which the first
+    in order becomes 0. A cell that is no number fails the job.
     """
     names = header_of(spark, path)
     clean = [n.strip().strip('"') for n in names]
     fields = [
-        T.StructField(n, T.LongType() if c == id_col else T.DoubleType())
+        T.StructField(
+            n,
+            T.LongType() if c == id_col else T.StringType() if c == label else T.DoubleType(),
+        )
         for n, c in zip(names, clean, strict=True)
     ]
     # Positions, not names: names that differ in case only cannot both be Spark columns.
     positions = [f"c{i}" for i in range(len(names))]
-    raw = spark.read.csv(path, schema=T.StructType(fields), header=True, enforceSchema=True)
+    raw = spark.read.csv(
+        path, schema=T.StructType(fields), header=True, enforceSchema=True, mode="FAILFAST"
+    )
     wide = raw.toDF(*positions)
     at = dict(zip(clean, positions, strict=True))
     if label not in at:
         raise ValueError(f"no label column {label!r}")
     wide = (
-        wide.withColumn("_id", F.monotonically_increasing_id())
+        materialise(wide.withColumn("_id", F.monotonically_increasing_id()), "numbered")
         if id_col is None
         else wide.withColumn("_id", F.col(at[id_col]))
     )
@@ -78,8 +91,16 @@ def read_feature_matrix(
         ]
     )
     features = wide.select(F.col("_id").alias("id"), F.inline(entries)).where("value <> 0")
-    labels = wide.select(F.col("_id").alias("id"), F.col(at[label]).cast("int").alias("y"))
-    return features, labels
+    return features, _zero_one(wide.select(F.col("_id").alias("id"), F.trim(at[label]).alias("text")))
+
+
+def _zero_one(labels: DataFrame) -> DataFrame:
+    """``(id, y)`` from label texts: numbers 0 and 1 as they are, else two texts in their order."""
+    number = F.col("text").try_cast("double")
+    other = labels.agg(F.count_if(F.col("text").isNotNull() & ~F.coalesce(number.isin(0, 1), F.lit(False))))
+    if other.first()[0] == 0:
+        return labels.select("id", number.cast("int").alias("y"))
+    return binarise_sorted(labels, "text").select("id", "y")
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_WIDE = 10_000
-
 
 def write_new(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
     """Fail if the target exists."""
@@ -37,26 +38,45 @@ def append_annotations(annotations: DataFrame, path: str) -> None:
 def write_feature_matrix(
     features: DataFrame, labels: DataFrame, path: str, label: str = "T/F"
 ) -> None:
-    """Wide CSV with the label as last column, for matrices of moderate width.
+    """Wide CSV with the label as last column and a header in each file.
 
-    Wider ones stay in long form: write ``features`` and ``labels`` as Parquet.
+    A line is built from the entries of its row alone, in feature order, so there is no column for
+    each feature and no limit on their number; the header is the list of their names.
     """
-    names = [
-        r["feature"]
-        for r in features.select("feature").distinct().limit(MAX_WIDE + 1).orderBy("feature").collect()
-    ]
-    if len(names) > MAX_WIDE:
-        raise ValueError(f"more than {MAX_WIDE} features: write the long form instead")
-    positions = [f"c{i}" for i in range(len(names))]
-    wide = features.groupBy("id").pivot("feature", names).agg(F.first("value"))
-    out = (
-        labels.select("id", F.col("y").alias("_y"))
-        .join(wide.toDF("id", *positions), "id", "left")
-        .na.fill(0.0, positions)
+    named = features.select("feature").distinct().orderBy("feature").collect()
+    names = [r["feature"] for r in named]
+    header = ",".join(_quoted(n) for n in ["id", *names, label])
+    place = {n: i for i, n in enumerate(names)}
+    rows = (
+        labels.select("id", "y")
+        .join(
+            features.groupBy("id").agg(F.collect_list(F.struct("feature", "value")).alias("e")),
+            "id",
+            "left",
+        )
+        .select("id", "y", "e.feature", "e.value")
     )
-    out.select("id", *positions, "_y").toDF("id", *names, label).write.mode(
-        "errorifexists"
-    ).csv(path, header=True)
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh = True
+        for batch in batches:
+            out = [header] if fresh and batch.num_rows else []
+            fresh = fresh and not batch.num_rows
+            for i, y, own, values in zip(*(c.to_pylist() for c in batch.columns)):
+                cells = ["0.0"] * len(names)
+                for n, v in zip(own or [], values or []):
+                    cells[place[n]] = "" if v is None else repr(float(v))
+                out.append(",".join([str(i), *cells, "" if y is None else str(y)]))
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
+
+    rows.mapInArrow(lines, "value string").write.mode("errorifexists").text(path)
+
+
+def _quoted(name: str) -> str:
+    """A header cell; names that would break the line are put in quotes."""
+    if any(c in name for c in ',"\n\r'):
+        return '"' + name.replace("\\", "\\\\").replace('"', '\\"') + '"'
+    return name
 
 
 def ranked_lines(ranked: DataFrame) -> DataFrame:

@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -17,7 +19,9 @@ from labelpool.operators.select import (
     chi2_p_value,
     chi2_scores,
     combined_features,
+    erfc,
     f_p_value,
+    f_tail,
     select_features,
     top_percentile,
 )
@@ -145,6 +149,30 @@ def test_f_tail(spark, f, n, expected):
     assert got[0] == pytest.approx(expected, rel=1e-4) and (got[1] is None or np.isnan(got[1]))
 
 
+@pytest.mark.parametrize(
+    "f,dof,expected",
+    [(100, 397, 3.8e-21), (200, 397, 4.6e-37), (400, 397, 4.7e-62), (3.8419, 20_000, 0.0500), (1, 1, 0.5)],
+)
+def test_far_f_tail(f, dof, expected):
+    """One formula for all sizes; no cancellation for strong features."""
+    assert f_tail(np.array([float(f)]), dof)[0] == pytest.approx(expected, rel=2e-2)
+
+
+def test_tails_against_integration():
+    for dof in (3, 40, 397, 20_000):
+        t = np.linspace(0, 1, 2_000_001)[1:]
+        # Student's t density over [sqrt(f), infinity), with t = sqrt(f) / u.
+        for f in (0.3, 4.0, 30.0):
+            u = t
+            x = np.sqrt(f) / u
+            log_c = math.lgamma((dof + 1) / 2) - math.lgamma(dof / 2) - 0.5 * math.log(dof * math.pi)
+            density = np.exp(log_c - (dof + 1) / 2 * np.log1p(x * x / dof)) * np.sqrt(f) / u**2
+            want = 2 * float(np.sum((density[1:] + density[:-1]) / 2) * (t[1] - t[0]))
+            assert f_tail(np.array([f]), dof)[0] == pytest.approx(want, rel=1e-6)
+    z = np.linspace(0, 9, 500)
+    assert erfc(z) == pytest.approx(np.array([math.erfc(v) for v in z]), rel=1e-12)
+
+
 def reference_rule(scores, percent):
     """The percentile rule, written out over a list in feature order."""
     cut = np.percentile(scores, 100 - percent)
@@ -198,5 +226,4 @@ def test_vectors(spark, small):
     index = feature_index(features)
     got = {r["id"]: r["features"].toArray().tolist() for r in to_vectors(features, index).collect()}
     assert got == {0: [1.0, 0.0], 1: [2.0, 1.0], 2: [0.0, 3.0], 3: [1.0, 4.0]}
-    with pytest.raises(ValueError):
-        feature_index(features, limit=1)
+    assert [r['idx'] for r in index.orderBy('feature').collect()] == list(range(index.count()))

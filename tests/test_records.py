@@ -124,6 +124,26 @@ def test_feature_matrix_round_trip(spark, path):
         readers.read_feature_matrix(spark, path, label="nope")
 
 
+def test_matrix_with_text_labels_and_bad_cells(spark, path):
+    def wrote(name, *lines):
+        spark.createDataFrame([(x,) for x in lines], "v string").coalesce(1).write.text(f"{path}/{name}")
+        return f"{path}/{name}"
+
+    text = wrote("text", "a,b,T/F", "1,0,y", "0,2,n", "3,4, y")
+    features, y = readers.read_feature_matrix(spark, text)
+    assert [r["y"] for r in y.orderBy("id").collect()] == [1, 0, 1]
+    assert [(r["feature"], r["value"]) for r in features.orderBy("id", "feature").collect()] == [
+        ("a", 1.0), ("b", 2.0), ("a", 3.0), ("b", 4.0)
+    ]
+    assert set(features.join(y, "id").select("id").distinct().collect()) == set(y.select("id").collect())
+    with pytest.raises(Exception, match="(?i)malformed|more than two"):
+        readers.read_feature_matrix(spark, wrote("three", "a,T/F", "1,x", "2,y", "3,z"))[1].collect()
+    with pytest.raises(Exception, match="(?i)malformed"):
+        readers.read_feature_matrix(spark, wrote("bad", "a,T/F", "bad,0", "2,1"))[0].collect()
+    with pytest.raises(Exception, match="(?i)malformed"):
+        readers.read_delimited(spark, wrote("tsv", "id\tw", "x\ty"), "id long, w string").collect()
+
+
 def test_delimited_and_line_files(spark, path):
     spark.createDataFrame([("id\tw",), ("1\ta b",), ("2\tc",)], "v string").coalesce(1).write.text(path + "/tsv")
     got = readers.read_delimited(spark, path + "/tsv", "id long, w string")
