@@ -5,12 +5,46 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 
 PIECE = 1 << 18
+#: Merged counts wait until so many are together.
+PENDING = 400_000
 _LIMIT = 0x30000
 _tables: dict[str, np.ndarray] = {}
 
 
+def texts_of(column: pa.Array) -> Iterator[str | None]:
+    """The texts of a column, a few hundred at a time, so that few are held twice."""
+    for at in range(0, len(column), 256):
+        yield from column.slice(at, 256).to_pylist()
+
+
+class Counts:
+    """Counts of numbers that arrive in parts; merged as they come, so memory follows the
+    different ones."""
+
+    def __init__(self):
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.pending = 0
+
+    def add(self, numbers: np.ndarray) -> None:
+        self.parts.append(np.unique(numbers, return_counts=True))
+        self.pending += len(self.parts[-1][0])
+        if self.pending > PENDING:
+            merged = self.all()
+            self.parts, self.pending = [merged], 0
+
+    def all(self) -> tuple[np.ndarray, np.ndarray]:
+        """``(distinct numbers, counts)``."""
+        if len(self.parts) == 1:
+            return self.parts[0]
+        keys = np.concatenate([k for k, _ in self.parts])
+        distinct, inverse = np.unique(keys, return_inverse=True)
+        n = np.bincount(inverse, np.concatenate([c for _, c in self.parts])).astype(np.int64)
+        return distinct, n
+
+
 def tables() -> tuple[np.ndarray, np.ndarray]:
     """``(folded, letter)`` by code point: the lower-case letter, or a blank for anything else."""
     if not _tables:

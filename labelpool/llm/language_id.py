@@ -20,7 +20,7 @@ repeated rows count each time; every input row gives one output row.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelpool.llm.bytescan import mix
-from labelpool.llm.codepoints import pieces, tables
+from labelpool.llm.codepoints import Counts, pieces, tables, texts_of
 from labelpool.session import materialise
 
 SIZE = 4
@@ -74,17 +74,16 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs = batch.column(1).to_pylist()
         names = sorted(set(langs))
         code = np.array([names.index(x) for x in langs], np.int64)
-        held: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in names]
-        for points, owner in pieces(batch.column(0).to_pylist(), SIZE - 1):
+        held = [Counts() for _ in names]
+        for points, owner in pieces(texts_of(batch.column(0)), SIZE - 1):
             grams, owner = windows(points, owner)
             which = code[owner]
             for k in np.unique(which).tolist():
-                held[k].append(np.unique(grams[which == k], return_counts=True))
-        for k, parts in enumerate(held):
-            if not parts:
+                held[k].add(grams[which == k])
+        for k, counts in enumerate(held):
+            if not counts.parts:
                 continue
-            grams, inverse = np.unique(np.concatenate([g for g, _ in parts]), return_inverse=True)
-            n = np.bincount(inverse, np.concatenate([c for _, c in parts])).astype(np.int64)
+            grams, n = counts.all()
             yield pa.RecordBatch.from_arrays(
                 [pa.array([names[k]] * len(grams)), pa.array(grams.view(np.int64)), pa.array(n)],
                 ["lang", "gram", "n"],
@@ -161,9 +160,8 @@ def _places(grams: np.ndarray) -> list[np.ndarray]:
     ]
 
 
-def popcounts(texts: list[str | None], model: Filters) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(counts[text, language], windows[text], has a letter[text])``."""
-    n = len(texts)
+def popcounts(texts: Iterable[str | None], n: int, model: Filters) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(counts[text, language], windows[text], has a letter[text])`` of n texts."""
     found = np.zeros((n, len(model.languages)))
     total = np.zeros(n)
     letters = np.zeros(n, bool)
@@ -207,7 +205,8 @@ def identify(docs: DataFrame, model: Filters, keep: list[str], text_col: str = "
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, score = decide(*popcounts(batch.column(len(keep)).to_pylist(), shared.value), shared.value)
+            texts = texts_of(batch.column(len(keep)))
+            names, score = decide(*popcounts(texts, batch.num_rows, shared.value), shared.value)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[: len(keep)], pa.array(names, pa.string()), pa.array(score)],
                 [*keep, "lang_pred", "score"],

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelpool.llm.codepoints import pieces
+from labelpool.llm.codepoints import Counts, pieces, texts_of
 from labelpool.llm.spread import with_ids
 from labelpool.session import materialise
 
@@ -82,7 +82,7 @@ def grams(points: np.ndarray, owner: np.ndarray, code: np.ndarray) -> tuple[np.n
 def _character_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen = np.zeros(0x110000, np.int64)
     for batch in batches:
-        for points, _ in pieces(batch.column(0).to_pylist(), 0):
+        for points, _ in pieces(texts_of(batch.column(0)), 0):
             seen += np.bincount(points, minlength=len(seen))
     seen[_BLANKS] = 0
     some = np.flatnonzero(seen)
@@ -92,13 +92,12 @@ def _character_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 def _count_grams(code: np.ndarray):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = []
-            for points, owner in pieces(batch.column(0).to_pylist(), ORDER - 1):
-                parts.append(np.unique(grams(points, owner, code)[0], return_counts=True))
-            if not parts:
+            counts = Counts()
+            for points, owner in pieces(texts_of(batch.column(0)), ORDER - 1):
+                counts.add(grams(points, owner, code)[0])
+            if not counts.parts:
                 continue
-            g, inverse = np.unique(np.concatenate([x for x, _ in parts]), return_inverse=True)
-            n = np.bincount(inverse, np.concatenate([x for _, x in parts])).astype(np.int64)
+            g, n = counts.all()
             yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(n)], ["g", "c"])
 
     return scan
@@ -265,7 +264,7 @@ def _score_shard(docs: DataFrame, model: Model, shard: int) -> DataFrame:
         for batch in batches:
             n = batch.num_rows
             total, count = np.zeros(n), np.zeros(n, np.int64)
-            for points, owner in pieces(batch.column(1).to_pylist(), ORDER - 1):
+            for points, owner in pieces(texts_of(batch.column(1)), ORDER - 1):
                 g, owner = grams(points, owner, code)
                 if shards > 1:
                     own = _shard_of((g >> BITS) & mask(2), shards) == shard

@@ -82,7 +82,7 @@ def test_language_filters_hold_every_window(spark):
     """No false negatives: the counts are at least those of plain sets."""
     rows = [(i, EN, "en") for i in range(4)] + [(9 + i, DE, "de") for i in range(4)]
     model = language_id.train(docs_of(spark, rows))
-    found, total, _ = language_id.popcounts([EN, DE], model)
+    found, total, _ = language_id.popcounts([EN, DE], 2, model)
     assert found[0, model.languages.index("en")] == total[0] > 20
     assert found[1, model.languages.index("de")] == total[1]
 
