@@ -173,13 +173,22 @@ def _initial_size(state: PoolState) -> Column:
 
 
 class _SpatialStrategy(QueryStrategy):
-    """Keeps the space it scaled in: U and L together are the same rows in every round."""
+    """Keeps the space it scaled in: U and L together are the same rows in every round.
+
+    Only ``seuclidean`` takes its variances from the two sides that are compared, anew each time.
+    """
 
     def __init__(self, metric: str = "euclidean"):
         self.metric = metric
         self._space: Space | None = None
 
+    def sides(self, state: PoolState) -> DataFrame:
+        """The vectors of both sides of the distances, one side after the other."""
+        return state.unlabeled.select("x").unionByName(state.labeled.select("x"))
+
     def frame(self, state: PoolState) -> Space:
+        if self.metric == "seuclidean":
+            return space(self.metric, self.sides(state))
         if self._space is None:
             rows = state.unlabeled.select("id", "x").unionByName(state.labeled.select("id", "x"))
             self._space = space(self.metric, rows)
@@ -192,6 +201,10 @@ class DistanceToCenter(_SpatialStrategy):
     name = "d2c"
     pick_largest = False
 
+    def sides(self, state: PoolState) -> DataFrame:
+        middle = centre(state.labeled.select("id", "x")).select(F.col("c").alias("x"))
+        return state.unlabeled.select("x").unionByName(middle)
+
     def score(self, state: PoolState) -> DataFrame:
         frame = self.frame(state)
         middle = centre(frame.apply(state.labeled.select("id", "x")))
@@ -261,6 +274,9 @@ class Density(_SpatialStrategy):
     pick_largest = False
     pairwise = True
 
+    def sides(self, state: PoolState) -> DataFrame:
+        return state.unlabeled.select("x").unionByName(state.unlabeled.select("x"))
+
     def score(self, state: PoolState) -> DataFrame:
         frame = self.frame(state)
         sums = similarity_sums(frame, state.unlabeled)

@@ -216,6 +216,26 @@ def d2c_rounded() -> str:
     return PAIRS_SQL + head + f", result AS (SELECT{tail}) SELECT id, round(score, 6) AS score FROM result"
 
 
+# Standardised Euclidean distance: the variances come from the two sides, one stacked on the other.
+SCALED = """,
+sides AS ({sides}),
+factors AS (SELECT list(f ORDER BY i) AS f FROM (
+  SELECT i, 1 / sqrt(var_samp(v)) AS f FROM (
+    SELECT unnest(range(1, len(x) + 1)) AS i, unnest(x) AS v FROM sides) GROUP BY i)),
+su AS (SELECT id, list_transform(range(1, len(x) + 1), lambda i: x[i] * f[i]) AS x FROM u, factors)"""
+MIDDLE_SQL = D2C_SQL.rsplit("\nSELECT", 1)[0]
+D2C_SCALED_SQL = (
+    PAIRS_SQL + MIDDLE_SQL + SCALED.format(sides="SELECT x FROM u UNION ALL SELECT c FROM c") + """,
+result AS (SELECT id, 1 / (1 + list_distance(x, (
+  SELECT list_transform(range(1, len(c) + 1), lambda i: c[i] * f[i]) FROM c, factors))) AS score FROM su)
+SELECT id, round(score, 6) AS score FROM result"""
+)
+DENSITY_SCALED_SQL = wrap(
+    PAIRS_SQL + SCALED.format(sides="SELECT x FROM u UNION ALL SELECT x FROM u"),
+    DENSITY_SQL.replace("FROM u a JOIN u b", "FROM su a JOIN su b"),
+)
+
+
 COMBINED_HEAD = (
     SCORED_SQL + f", mm AS ({MINMAX_SQL}), {norm_sql('entropies', 'ne')}, {norm_sql('mm', 'nm')}"
 )
@@ -565,6 +585,12 @@ QUERIES = {
         score_query(lambda: get_strategy("minmax")),
         wrap("WITH" + POOL_SQL + ", u AS (SELECT * FROM pool WHERE role = 'U')", MINMAX_SQL),
     ),
+    "score_d2c_seuclidean": (
+        score_query(lambda: get_strategy("d2c", metric="seuclidean")), D2C_SCALED_SQL
+    ),
+    "score_density_seuclidean": (
+        score_query(lambda: get_strategy("density", metric="seuclidean")), DENSITY_SCALED_SQL
+    ),
     "score_density": (score_query(lambda: get_strategy("density")), wrap(PAIRS_SQL, DENSITY_SQL)),
     "score_minmax_cosine": (
         score_query(lambda: get_strategy("minmax", metric="cosine")),
