@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Hot keys that are broadcast at most, with a few numbers or a short array each.
 MAX_HOT = 100_000
 
+
 def skew_lookup(
     facts: DataFrame,
     dim: DataFrame,
@@ -20,18 +23,24 @@ def skew_lookup(
 
     ``weight`` is a column of ``dim`` telling how many fact rows carry the key. A key is hot above
     ``hot_weight`` and above 1/MAX_HOT of all weight, so there are at most MAX_HOT hot keys, which
-    are broadcast; all other keys go through an ordinary join, where no key is large. Fact rows
-    that already found a hot key take a key of their own there, built from ``spread``, so that
-    they neither match nor pile up in one task. ``facts`` is read once.
+    are broadcast. All other keys go through an ordinary join. Where 1/MAX_HOT of all weight is
+    more than ``hot_weight``, that join is dealt out further: fact rows get a salt from ``spread``
+    and each lookup row is repeated for every salt, so no key brings more than about
+    ``hot_weight`` rows to one place. Fact rows that already found a hot key take a key of their
+    own there, so that they neither match nor pile up in one task. ``facts`` is read once.
     """
     values = [c for c in dim.columns if c != key]
-    share = dim.agg((F.sum(weight) / MAX_HOT).alias("w")).scalar()
+    total = dim.agg(F.sum(weight)).first()[0] or 0
+    share = total / MAX_HOT
+    salts = max(1, math.ceil(share / max(hot_weight, 1)))
     is_hot = F.coalesce((weight > hot_weight) & (weight > share), F.lit(False))
     hot = dim.where(is_hot).select(
         F.col(key), F.struct(*values).alias("_hot")
     )
     cold = dim.where(~is_hot).select(
-        F.col(key).cast("string").alias("_k"), F.struct(*values).alias("_cold")
+        F.col(key).cast("string").alias("_k"),
+        F.struct(*values).alias("_cold"),
+        F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_s"),
     )
     found = F.coalesce("_hot", "_cold")
     return (
@@ -42,7 +51,8 @@ def skew_lookup(
                 F.concat(F.lit("\u0000"), F.col(spread).cast("string"))
             ),
         )
-        .join(cold, "_k", "left")
+        .withColumn("_s", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+        .join(cold, ["_k", "_s"], "left")
         .withColumn("_found", found)
         .where(F.col("_found").isNotNull())
         .select(*facts.columns, *[F.col(f"_found.{v}").alias(v) for v in values])

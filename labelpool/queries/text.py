@@ -186,7 +186,7 @@ idf AS (
   SELECT feature, ln((1 + (SELECT count(*) FROM documents)) / (1 + count(*))) + 1 AS idf
   FROM tf GROUP BY feature),
 w AS (SELECT id, feature, tf * idf AS w FROM tf JOIN idf USING (feature)),
-tfidf AS (SELECT id, feature, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS value FROM w)"""
+tfidf AS MATERIALIZED (SELECT id, feature, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS value FROM w)"""
 
 
 RECORDS_SQL = """
@@ -194,13 +194,13 @@ records AS (
   SELECT doc_id AS id, 'lang=' || lang AS feature, 1.0::DOUBLE AS value FROM documents UNION ALL
   SELECT doc_id, 'source=' || source, 1.0::DOUBLE FROM documents UNION ALL
   SELECT doc_id, 'n_chars', CAST(n_chars AS DOUBLE) FROM documents),
-lab AS (SELECT doc_id AS id, CAST(quality AS INTEGER) AS y FROM labels),
+lab AS MATERIALIZED (SELECT doc_id AS id, CAST(quality AS INTEGER) AS y FROM labels),
 size AS (SELECT count(*) FILTER (y = 0) AS n0, count(*) FILTER (y = 1) AS n1 FROM lab)"""
 
 
 def sums_sql(rows: str, out: str) -> str:
     return f"""
-{out} AS (
+{out} AS MATERIALIZED (
   SELECT feature, count(*) AS rows, coalesce(sum(value) FILTER (y = 0), 0) AS s0,
     coalesce(sum(value) FILTER (y = 1), 0) AS s1, sum(value * value) AS ss
   FROM {rows} JOIN lab USING (id) GROUP BY feature)"""
@@ -236,7 +236,7 @@ def top_sql(scored: str, percent: float, out: str) -> str:
 {out}_t AS (
   SELECT feature, r, cut, row_number() OVER (ORDER BY r DESC, feature) AS rn,
     CAST(floor(n * {percent} / 100) AS BIGINT) AS room FROM {out}_r, {out}_cut),
-{out} AS (SELECT feature FROM {out}_t WHERE r > cut OR (r = cut AND rn <= room))"""
+{out} AS MATERIALIZED (SELECT feature FROM {out}_t WHERE r > cut OR (r = cut AND rn <= room))"""
 
 
 WITH = "WITH" + tfidf_sql() + "," + RECORDS_SQL
@@ -248,11 +248,11 @@ COMBINED_SQL = (
     + chi2_sql("tfidf", "c1")
     + ","
     + top_sql("c1", 12, "k1")
-    + ", fam AS (SELECT * FROM records WHERE regexp_matches(feature, 'source=.*')),"
+    + ", fam AS MATERIALIZED (SELECT * FROM records WHERE regexp_matches(feature, 'source=.*')),"
     + chi2_sql("fam", "c2")
     + ","
     + top_sql("c2", 50, "k2")
-    + """, both_f AS (SELECT id, '0:' || feature AS feature, value FROM tfidf SEMI JOIN k1 USING (feature)
+    + """, both_f AS MATERIALIZED (SELECT id, '0:' || feature AS feature, value FROM tfidf SEMI JOIN k1 USING (feature)
   UNION ALL SELECT id, '1:' || feature, value FROM fam SEMI JOIN k2 USING (feature)),"""
     + chi2_sql("both_f", "c3")
     + ","

@@ -25,6 +25,7 @@ from labelpool.operators.select import (
     select_features,
     top_percentile,
 )
+from labelpool.plans import lookup
 from labelpool.plans.lookup import skew_lookup
 
 LONG = "id long, feature string, value double"
@@ -89,7 +90,10 @@ def test_stop_words_go_before_ngrams_and_counts_can_be_binary(spark):
     assert got == {"zinc": 1.0, "il-6": 1.0, "zinc il-6": 1.0, "il-6 zinc": 1.0}
 
 
-def test_skew_lookup_is_the_same_with_hot_and_cold_keys(spark):
+@pytest.mark.parametrize("max_hot", [100_000, 2])
+def test_skew_lookup_is_the_same_with_hot_and_cold_keys(spark, monkeypatch, max_hot):
+    """Also where so few keys may be broadcast that the others are dealt out by salts."""
+    monkeypatch.setattr(lookup, "MAX_HOT", max_hot)
     facts = spark.range(1000).select(
         "id", F.when(F.col("id") % 3 == 0, "hot").otherwise((F.col("id") % 7).cast("string")).alias("k")
     )
