@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelpool.operators.strategies import PoolState, QueryStrategy
+from labelpool.plans.cuts import numbered
 
 
 def take_rows(df: DataFrame, ids: Sequence[int] | int, id_col: str = "id") -> DataFrame:
@@ -50,7 +51,7 @@ def next_batch(
 
 
 def with_draw(strategy: QueryStrategy, batch: DataFrame) -> DataFrame:
-    """Number the rows of one batch in picking order, from 0; a batch is small by definition."""
+    """Number the rows of one batch in picking order, from 0, however large the batch is."""
     from labelpool.functions.hashing import hash_order
     from labelpool.operators.strategies import TIE_DIGITS, Random
 
@@ -62,4 +63,4 @@ def with_draw(strategy: QueryStrategy, batch: DataFrame) -> DataFrame:
             key.desc_nulls_last() if strategy.pick_largest else key.asc_nulls_last(),
             F.col("id"),
         ]
-    return batch.withColumn("draw", F.row_number().over(Window.orderBy(*order)) - 1)
+    return numbered(batch, order, "draw").withColumn("draw", F.col("draw").cast("int"))

@@ -255,11 +255,12 @@ def _sums_by_fold(rows: DataFrame, folds: int) -> dict[int, Sums]:
 
 
 def _score_folds(rows: DataFrame, models: list[tuple], on: list[str]) -> DataFrame:
-    """Join each row to the model(s) of its fold: a handful of weight vectors, known in number."""
+    """Join each row to the model(s) of its fold. Spark knows the size of their table and
+    broadcasts it while it is small."""
     table = rows.sparkSession.createDataFrame(
         models, "fold int, draw int, labeled long, w array<double>, b double"
     )
     if "draw" not in on:
         table = table.drop("draw", "labeled")
-    joined = rows.join(F.broadcast(table), "fold")
+    joined = rows.join(table, "fold")
     return margin_and_prob(joined, F.col("w"), F.col("b")).drop("w", "b")
