@@ -30,7 +30,8 @@ from labelpool.operators.select import (
 from labelpool.operators.splits import stratified_folds
 from labelpool.operators.strategies import get_strategy
 from labelpool.queries.pool import rounded
-from labelpool.session import materialise
+from labelpool.session import materialise, new_table_dir
+from labelpool.sources import readers, writers
 
 # A short list, passed to both engines. The pattern is one on which both regex engines agree;
 # the library's own default pattern has unit tests.
@@ -111,6 +112,22 @@ def ranked_anova(spark: SparkSession, sf: str) -> DataFrame:
     return best.select("feature", "score", f_p_value(F.col("score"), truth.count()).alias("p"))
 
 
+def matrix_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """Record features of the labeled documents, written as a wide matrix and read again."""
+    truth = labels(spark, sf).select("id", "y")
+    path = new_table_dir(spark, "matrix")
+    writers.write_feature_matrix(records(spark, sf).join(truth.select("id"), "id"), truth, path)
+    features, back = readers.read_feature_matrix(spark, path, id_col="id")
+    return features.join(back, "id").select("id", "feature", "value", "y")
+
+
+def delimited_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """The labels as a bar-separated file with a header, read again."""
+    path = new_table_dir(spark, "delimited")
+    labels(spark, sf).select("id", "y").write.csv(path, sep="|", header=True)
+    return readers.read_delimited(spark, path, "id bigint, y int", sep="|")
+
+
 def combined(spark: SparkSession, sf: str) -> DataFrame:
     out = combined_features(
         stored_weights(spark, sf),
@@ -323,6 +340,13 @@ QUERIES = {
     "ranked_features": (ranked, None),
     "ranked_features_anova": (ranked_anova, None),
     "combined_features": (combined, COMBINED_SQL),
+    "matrix_round_trip": (
+        matrix_round_trip,
+        "WITH" + RECORDS_SQL + " SELECT id, feature, value, y FROM records JOIN lab USING (id) WHERE value <> 0",
+    ),
+    "delimited_round_trip": (
+        delimited_round_trip, "SELECT doc_id AS id, CAST(quality AS INTEGER) AS y FROM labels"
+    ),
     "onehot_documents": (document_one_hot, "WITH" + RECORDS_SQL + " SELECT id, feature, value FROM records"),
     "family_filter": (
         families,
