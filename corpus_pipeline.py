@@ -3,8 +3,7 @@
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; ``run`` writes a stage's result
 as Parquet to the shared folder and reads it again for the next one. All stages but the last return
 the columns of ``documents``, so what a stage decides is which rows go on. Rows with a NULL id
-pass all stages but the first; rows that share an id stay or go together after it. The operators
-say what else is defined.
+pass all stages; rows that share an id stay or go together. The operators say what else is defined.
 """
 
 from __future__ import annotations
@@ -38,16 +37,16 @@ def _only(docs: DataFrame, verdict: DataFrame) -> DataFrame:
         .where("NOT any")
         .select("_gone")
     )
-    return without_ids(docs, gone, "doc_id")
+    return without_ids(docs, materialise(gone, "gone"), "doc_id")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a recognisable language go, those with a NULL text among them."""
     model = language_id.train(docs)
-    # A row travels as one column, so no column of the table can clash with the verdict's.
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
-    found = language_id.identify(rows, model, ["row"])
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= SURE)).select("row.*")
+    # Only ids travel with the verdict, so long texts are not sent back from the scan.
+    found = language_id.identify(docs, model, ["doc_id"])
+    sure = (F.col("lang_pred") != "und") & (F.col("score") >= SURE)
+    return _only(docs, found.select("doc_id", sure.alias("kept")))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
