@@ -20,8 +20,9 @@ from labelpool.llm.near_dedup import near_dedup
 from labelpool.llm.spread import without_ids
 from labelpool.session import materialise
 
-#: A document goes if no learned language holds this share of its language evidence.
-SURE = 0.2
+#: A document goes if its language knows less than this part of what it usually knows of a text,
+#: or holds less than this many times an even share of the evidence.
+KNOWN, EVEN = 0.5, 1.1
 
 
 def _only(docs: DataFrame, verdict: DataFrame) -> DataFrame:
@@ -41,12 +42,25 @@ def _only(docs: DataFrame, verdict: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a recognisable language go, those with a NULL text among them."""
+    """Documents without a recognisable language go, those with a NULL text among them.
+
+    A language knows nearly all windows of its own texts and few of random letters or of a language
+    nobody taught. What it usually knows is the median over all rows that bear its name and are
+    recognised as it. A text without a window of letters gives no evidence and goes.
+    """
     model = language_id.train(docs)
     # Only ids travel with the verdict, so long texts are not sent back from the scan.
-    found = language_id.identify(docs, model, ["doc_id"])
-    sure = (F.col("lang_pred") != "und") & (F.col("score") >= SURE)
-    return _only(docs, found.select("doc_id", sure.alias("kept")))
+    found = materialise(
+        language_id.identify(docs, model, ["doc_id", "lang"], evidence=True), "languages"
+    )
+    own = found.where("lang = lang_pred").select("lang", F.col("known").alias("log_perplexity"))
+    usual = quality_lm.thresholds(own, "lang", 0.5)
+    # One row for each language.
+    found = found.join(F.broadcast(usual), F.col("lang_pred") == F.col("language"), "left")
+    least = KNOWN * F.coalesce(F.col("limit"), F.lit(1.0))
+    even = min(1.0, EVEN / max(1, len(model.languages)))
+    sure = (F.col("lang_pred") != "und") & (F.col("known") >= least) & (F.col("score") >= even)
+    return _only(docs, found.select("doc_id", F.coalesce(sure, F.lit(False)).alias("kept")))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

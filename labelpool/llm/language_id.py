@@ -197,20 +197,37 @@ def decide(found, total, letters, model: Filters) -> tuple[list[str], np.ndarray
     return names, np.where(letters, score, 0.0)
 
 
-def identify(docs: DataFrame, model: Filters, keep: list[str], text_col: str = "text") -> DataFrame:
-    """``keep``, ``lang_pred`` and ``score`` for every row of ``docs``."""
+def known(found, total, model: Filters) -> np.ndarray:
+    """The part of each text's windows that its best language knows; NaN if it has no window."""
+    f = model.false_rate
+    true = np.maximum(0.0, (found - total[:, None] * f) / np.maximum(1 - f, 1e-9))
+    top = true.max(axis=1, initial=0.0)
+    return np.where(total > 0, np.minimum(1.0, top / np.maximum(total, 1)), np.nan)
+
+
+def identify(
+    docs: DataFrame, model: Filters, keep: list[str], text_col: str = "text", evidence: bool = False
+) -> DataFrame:
+    """``keep``, ``lang_pred`` and ``score`` for every row of ``docs``.
+
+    With ``evidence`` also ``known``, the part of the text's windows that its language knows, which
+    is NULL for a text without a window.
+    """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
     frame = docs.select(*keep, F.col(text_col).alias("_text"))
+    added = ["lang_pred", "score", *(["known"] if evidence else [])]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = texts_of(batch.column(len(keep)))
-            names, score = decide(*popcounts(texts, batch.num_rows, shared.value), shared.value)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[: len(keep)], pa.array(names, pa.string()), pa.array(score)],
-                [*keep, "lang_pred", "score"],
-            )
+            found, total, letters = popcounts(texts, batch.num_rows, shared.value)
+            names, score = decide(found, total, letters, shared.value)
+            made = [pa.array(names, pa.string()), pa.array(score)]
+            if evidence:
+                made.append(pa.array(known(found, total, shared.value), from_pandas=True))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *made], [*keep, *added])
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return frame.mapInArrow(scan, f"{schema}, lang_pred string, score double")
+    more = ", known double" if evidence else ""
+    return frame.mapInArrow(scan, f"{schema}, lang_pred string, score double{more}")
