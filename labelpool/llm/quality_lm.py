@@ -329,16 +329,17 @@ def thresholds(scored: DataFrame, lang_col: str, quantile: float) -> DataFrame:
 def classify(
     docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lang_col: str = "lang", quantile: float = QUANTILE, shard: int = SHARD,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """``(id_col, lang_col, n_scored, perplexity, threshold, kept)`` for every row of ``docs``.
 
-    ``trusted`` holds the ids of trusted rows in its column ``id_col``.
+    The columns ``keep`` of ``docs`` follow. ``trusted`` holds the ids of trusted rows in its column ``id_col``.
     """
     ids = trusted.select(F.col(id_col).alias("_id")).where("_id IS NOT NULL").distinct()
     held = F.pmod(F.xxhash64(F.col("_id").cast("string")), F.lit(HELD)) == 0
     slim = docs.select(id_col, text_col)
     model = train(slim, with_ids(slim, ids.where(~held), id_col), text_col, shard)
-    scored = materialise(score(docs, model, [id_col, lang_col], text_col), "perplexities")
+    scored = materialise(score(docs, model, [id_col, lang_col, *keep], text_col), "perplexities")
     limits = thresholds(
         scored.join(ids.where(held), F.col(id_col) == F.col("_id"), "left_semi"), lang_col, quantile
     )
@@ -351,4 +352,5 @@ def classify(
         F.coalesce(
             (F.col("log_perplexity") <= F.col("limit")) | (F.col("n_scored") < EVIDENCE), F.lit(True)
         ).alias("kept"),
+        *keep,
     )

@@ -38,3 +38,40 @@ def test_language_stage_with_one_language(spark):
     rows = [(i, text * (1 + i % 3), "en") for i in range(8)]
     out = kept(corpus_pipeline.language, spark, docs_of(spark, rows + [(50, "zzkq xwvj pfft grmbl qqx", None)]))
     assert [i for i, _ in out] == list(range(8))
+
+
+def long_text(rng, n=80):
+    return " ".join("w%d" % rng.randrange(400) for _ in range(n))
+
+
+def test_exact_stage_judges_rows_not_ids(spark):
+    rng = random.Random(1)
+    x, y, z, only = (long_text(rng) for _ in range(4))
+    rows = [(1, x, "en"), (1, y, "en"), (2, x, "en"), (3, z, "en"), (3, z, "en"), (3, z, "de"), (None, x, None)]
+    rows += [(None, only, "en")] * 4 + [(None, None, "en"), (None, "", "en"), (7, None, "en")]
+    out = kept(corpus_pipeline.exact, spark, docs_of(spark, rows))
+    assert out == sorted([(1, y), (2, x), (3, z), (None, only), (7, None)], key=str)
+
+
+def test_near_stage_judges_rows_not_ids(spark):
+    rng = random.Random(2)
+    x, y, z, only = (long_text(rng) for _ in range(4))
+    rows = [(5, x, "en"), (4, x + " end", "en"), (None, x + " tail", "en"), (4, y, "en"), (9, z, "en"), (9, z, "en")]
+    rows += [(None, only, "en"), (None, only + " more", "en"), (6, y + " more", "en")]
+    out = kept(corpus_pipeline.near, spark, docs_of(spark, rows))
+    assert [r for r in out if r[0] is not None] == sorted([(4, x + " end"), (4, y), (9, z)], key=str)
+    assert len([t for i, t in out if i is None]) == 1 and {t[: len(only)] for i, t in out if i is None} == {only}
+
+
+def test_language_and_quality_stages_judge_rows_without_an_id(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    first = docs.where("text <> ''").orderBy("doc_id").first()
+    rng = random.Random(8)
+    noise = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz     ", k=400)) for _ in range(2)]
+    odd = [(None, noise[0], first.lang), (first.doc_id, noise[1], first.lang), (None, first.text, first.lang)]
+    full = docs.union(docs_of(spark, odd))
+    out = kept(corpus_pipeline.language, spark, full)
+    assert (None, odd[0][1]) not in out and (first.doc_id, odd[1][1]) not in out
+    assert (None, first.text) in out and (first.doc_id, first.text) in out
+    out = kept(corpus_pipeline.quality, spark, full)
+    assert (None, odd[0][1]) not in out and (first.doc_id, odd[1][1]) not in out
