@@ -220,6 +220,8 @@ def learn_terms(counts: DataFrame, sizes: dict, folds: tuple[int, ...]) -> list[
     )
     chosen: list[tuple[str, bool]] = []
     begins: set[str] = set()
+    # Whole words under a beginning add nothing but their misspellings; they come last, so that a
+    # word without errors is still a find of the beginning, and take no term's place.
     for term, is_begin in strong:
         if any(term[:k] in begins for k in range(SHORTEST, len(term) + 1)):
             continue
@@ -231,7 +233,12 @@ def learn_terms(counts: DataFrame, sizes: dict, folds: tuple[int, ...]) -> list[
             begins.add(term)
         if len(chosen) == TERMS:
             break
-    return chosen
+    under = [
+        (term, False) for term, is_begin in strong
+        if not is_begin and (term, False) not in chosen and allowed(term, False)
+        and any(term[:k] in begins for k in range(SHORTEST, len(term) + 1))
+    ]
+    return chosen + under
 
 
 def _spans(text: str) -> list[tuple[int, int]]:

@@ -122,6 +122,19 @@ def test_automaton_is_edit_distance():
         assert lexicon.match(w) == min(want, default=None), w
 
 
+def test_misspelled_words_under_a_beginning_are_found(spark):
+    rows = [(EN + w, 1, i % 2) for w in ("idiot", "idiots", "idiotic") for i in range(8)]
+    rows += [(EN + "quiet day", 0, i % 2) for i in range(60)]
+    frame = spark.createDataFrame(rows, "text string, y int, fold int")
+    sizes = {(f, y): sum(r[1:] == (y, f) for r in rows) for f in (0, 1) for y in (0, 1)}
+    terms = toxicity.learn_terms(toxicity.count_terms(frame), sizes, (0, 1))
+    assert any(begins and "idiot".startswith(t) for t, begins in terms)
+    lexicon = toxicity.Lexicon(terms)
+    assert lexicon.match("idiotism")[0] == 0 and lexicon.match("idiot")[2]
+    for word in ("ixiot", "ideot", "iidiot"):
+        assert lexicon.match(word) is not None, word
+
+
 def test_context_tells_quotation_from_abuse():
     finder = toxicity.Finder([("idiot", False)])
     exact, quoted = toxicity.FEATURES.index("exact"), toxicity.FEATURES.index("quoted")
