@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from labelpool.llm import language_id, quality_lm, toxicity
 from labelpool.llm.best_fit_packing import pack
+from labelpool.llm.conversation_repair import repair_conversations
 from labelpool.llm.exact_dedup import exact_dedup
 from labelpool.llm.exact_topk import top_k
 from labelpool.llm.license_scan import AGREE, NOTICES, PHRASES, scan_licenses
 from labelpool.llm.near_dedup import near_dedup
 from labelpool.llm.quotation_links import link_quotations
+from labelpool.llm.reversed_search import reversed_search
 from labelpool.llm.sentencepiece_bpe import digest_documents
 
 
@@ -234,6 +236,131 @@ FROM d LEFT JOIN found USING (doc_id)
 """
 
 
+def op12_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
+    return repair_conversations(_read(spark, sf, "conversations"))
+
+
+# The cheapest repair by a finite automaton: o before all turns, s, u, a after such a turn.
+REPAIR_SQL = r"""
+WITH RECURSIVE bytes AS (
+    SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x:
+        CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY i) AS t
+    FROM range(256) r(i)
+), coded AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+           xor(list_reduce([4294967295] || list_transform(
+                   string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''),
+                   lambda k: ord(k)::BIGINT),
+               lambda a, b: xor(t[(xor(a, b) & 255) + 1], a >> 8)), 4294967295) % 20 AS code
+    FROM conversations, bytes
+), damaged AS (
+    SELECT conv_id, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role,
+           CASE code WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+           unnest(range(CASE WHEN code = 3 THEN 2 ELSE 1 END)) AS copy
+    FROM coded WHERE code <> 0
+), placed AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i
+    FROM damaged
+), marked AS (
+    SELECT *, left(role, 1) AS x,
+           CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+                WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+                WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated'
+                ELSE '' END AS fault,
+           coalesce(lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1)
+                    NOT IN ('su', 'ua', 'au'), false) AS odd
+    FROM placed
+), faults AS (
+    SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+           count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+           count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (odd) AS illegal, max(i) AS n
+    FROM marked GROUP BY conv_id
+), ins(a, b, c, w) AS (
+    VALUES ('o', 'o', 0, ''), ('s', 's', 0, ''), ('u', 'u', 0, ''), ('a', 'a', 0, ''), ('o', 'u', 3, 'I'),
+           ('o', 'a', 6, 'II'), ('s', 'u', 3, 'I'), ('s', 'a', 6, 'II'), ('u', 'a', 3, 'I'), ('a', 'u', 3, 'I')
+), act(a, b, x, c, w) AS (
+    VALUES ('o', 's', 's', 0, 'K'), ('o', 'u', 'u', 0, 'K'), ('s', 'u', 'u', 0, 'K'), ('a', 'u', 'u', 0, 'K'),
+           ('u', 'a', 'a', 0, 'K'), ('o', 'u', NULL, 3, 'R'), ('s', 'u', NULL, 3, 'R'), ('a', 'u', NULL, 3, 'R'),
+           ('u', 'a', NULL, 3, 'R'), ('o', 'o', NULL, 4, 'D'), ('s', 's', NULL, 4, 'D'), ('u', 'u', NULL, 4, 'D'),
+           ('a', 'a', NULL, 4, 'D')
+), walk AS (
+    SELECT conv_id, 0::BIGINT AS i, 'o' AS s, {'c': 0::BIGINT, 'w': ''} AS v FROM faults
+    UNION ALL
+    SELECT walk.conv_id, m.i, act.b, min({'c': walk.v.c + ins.c + act.c + CASE
+               WHEN act.w <> 'D' AND m.fault = 'truncated' THEN 3 ELSE 0 END, 'w': walk.v.w || ins.w || act.w})
+    FROM walk JOIN marked m ON m.conv_id IS NOT DISTINCT FROM walk.conv_id AND m.i = walk.i + 1
+    JOIN ins ON ins.a = walk.s JOIN act ON act.a = ins.b AND coalesce(act.x, m.x) = m.x
+    WHERE act.w = 'D' OR m.fault NOT IN ('blank', 'duplicate')
+    GROUP BY walk.conv_id, m.i, act.b
+), best AS (
+    SELECT f.conv_id, min({'c': v.c + ins.c, 'w': v.w || ins.w}) AS v
+    FROM faults f JOIN walk ON walk.conv_id IS NOT DISTINCT FROM f.conv_id AND walk.i = f.n
+    JOIN ins ON ins.a = walk.s AND ins.b IN ('o', 'a') GROUP BY f.conv_id
+), edits AS (
+    SELECT conv_id, p, v.w[p] AS e FROM best, LATERAL (SELECT unnest(range(1, len(v.w) + 1)) AS p)
+), lined AS (
+    SELECT *, sum((e <> 'I')::INT) OVER (PARTITION BY conv_id ORDER BY p) AS i,
+           sum((e <> 'D')::INT) OVER (PARTITION BY conv_id ORDER BY p) AS j
+    FROM edits
+), said AS (
+    SELECT l.conv_id, e, j, m.role, m.x, m.text FROM lined l
+    LEFT JOIN marked m ON m.conv_id IS NOT DISTINCT FROM l.conv_id AND m.i = l.i AND e <> 'I' WHERE e <> 'D'
+), lead AS (
+    SELECT conv_id, max((j = 1 AND e = 'K' AND x = 's')::INT) AS lead FROM said GROUP BY conv_id
+), hashed AS (
+    SELECT said.conv_id, sha256(string_agg(CASE WHEN e = 'K' THEN role WHEN (j - lead) % 2 = 1 THEN 'user'
+               ELSE 'assistant' END || ':' || CASE WHEN e = 'I' THEN '' ELSE text END, chr(10) ORDER BY j)) AS sha
+    FROM said JOIN lead ON lead.conv_id IS NOT DISTINCT FROM said.conv_id GROUP BY said.conv_id
+)
+SELECT d.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank,
+       coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(v.c, 0) AS cost, coalesce(v.w, '') AS audit,
+       coalesce(sha, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) d
+LEFT JOIN faults f ON f.conv_id IS NOT DISTINCT FROM d.conv_id
+LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM d.conv_id
+LEFT JOIN hashed h ON h.conv_id IS NOT DISTINCT FROM d.conv_id
+"""
+
+
+def op13_reversed_search(spark: SparkSession, sf: str) -> DataFrame:
+    return reversed_search(_read(spark, sf, "documents"), _read(spark, sf, "benchmark"), k=10)
+
+
+REVERSED_SQL = r"""
+WITH docs AS (
+    SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+    FROM documents WHERE text IS NOT NULL
+), wanted AS (
+    SELECT item_id, term, count(*) AS times FROM (
+        SELECT item_id, unnest(regexp_extract_all(
+            translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+        FROM benchmark WHERE text IS NOT NULL)
+    GROUP BY ALL
+), total AS (
+    SELECT count(*) AS n_docs, sum(len(w))::BIGINT AS l FROM docs WHERE len(w) > 0
+), counts AS (
+    SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM docs)
+    WHERE term IN (SELECT term FROM wanted) GROUP BY ALL
+), weights AS (
+    SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1)))::BIGINT AS weight
+    FROM counts, total GROUP BY term
+), scored AS (
+    SELECT w.item_id, r, sum(times * weight * ((1000000000 * tf)
+               // (1000 * tf + 8 * (100 - 75 + ((75 * len(d.w) * n_docs) // l)))))::BIGINT AS score
+    FROM wanted w JOIN counts c USING (term) JOIN weights USING (term) JOIN docs d USING (r), total
+    GROUP BY w.item_id, r
+)
+SELECT item_id, (row_number() OVER best)::INTEGER AS rank, doc_id, score
+FROM scored JOIN docs USING (r) WHERE score > 0
+WINDOW best AS (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)
+QUALIFY row_number() OVER best <= 10
+"""
+
+
 QUERIES = {
     "op1_quotation_links": (op1_quotation_links, QUOTATION_SQL),
     "op2_toxicity": (op2_toxicity, None),
@@ -245,4 +372,6 @@ QUERIES = {
     "op6_quality_lm": (op6_quality_lm, None),
     "op7_best_fit_packing": (op7_best_fit_packing, None),
     "op8_exact_dedup": (op8_exact_dedup, EXACT_DEDUP_SQL),
+    "op12_conversation_repair": (op12_conversation_repair, REPAIR_SQL),
+    "op13_reversed_search": (op13_reversed_search, REVERSED_SQL),
 }
