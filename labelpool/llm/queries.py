@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from labelpool.llm import language_id, quality_lm, toxicity
 from labelpool.llm.best_fit_packing import pack
+from labelpool.llm.cap_filters import cap_near_dedup
 from labelpool.llm.conversation_repair import repair_conversations
 from labelpool.llm.exact_dedup import exact_dedup
 from labelpool.llm.exact_topk import top_k
@@ -236,6 +237,33 @@ FROM d LEFT JOIN found USING (doc_id)
 """
 
 
+def op11_cap_filters(spark: SparkSession, sf: str) -> DataFrame:
+    return cap_near_dedup(_read(spark, sf, "embeddings"), threshold=0.95)
+
+
+CAP_FILTERS_SQL = """
+WITH RECURSIVE rows AS (
+    SELECT row_number() OVER () AS r, vec_id, embedding::DOUBLE[] AS e FROM embeddings
+), good AS (
+    SELECT r, vec_id, e FROM rows
+    WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(e, lambda x: x <> 0)) > 0
+), links AS (
+    SELECT a.r AS a, b.r AS b FROM good a JOIN good b ON a.r <> b.r
+    WHERE list_cosine_similarity(a.e, b.e) >= 0.95
+), reach AS (
+    SELECT r, r AS other FROM rows
+    UNION
+    SELECT reach.r, l.b FROM reach JOIN links l ON l.a = reach.other
+), named AS (
+    SELECT reach.r, min(vec_id) AS component_id FROM reach JOIN rows ON rows.r = reach.other GROUP BY reach.r
+)
+SELECT vec_id, (SELECT count(*) FROM links WHERE a = rows.r) AS n_links, component_id,
+       coalesce(vec_id = component_id, false) AS kept
+FROM rows JOIN named USING (r)
+"""
+
+
 def op12_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
     return repair_conversations(_read(spark, sf, "conversations"))
 
@@ -372,6 +400,7 @@ QUERIES = {
     "op6_quality_lm": (op6_quality_lm, None),
     "op7_best_fit_packing": (op7_best_fit_packing, None),
     "op8_exact_dedup": (op8_exact_dedup, EXACT_DEDUP_SQL),
+    "op11_cap_filters": (op11_cap_filters, CAP_FILTERS_SQL),
     "op12_conversation_repair": (op12_conversation_repair, REPAIR_SQL),
     "op13_reversed_search": (op13_reversed_search, REVERSED_SQL),
 }
