@@ -153,12 +153,17 @@ class TfIdf:
 
 
 def union_features(parts: dict[str, DataFrame], prefix: bool = False) -> DataFrame:
-    """Several feature sets of the same rows side by side; ``prefix`` keeps equal names apart."""
+    """Several feature sets of the same rows side by side; ``prefix`` keeps equal names apart.
+
+    Where all of them have a ``fold``, it stays."""
+    columns = ["id", "feature", "value"]
+    if all("fold" in df.columns for df in parts.values()):
+        columns = ["fold", *columns]
     named = [
         df.withColumn("feature", F.concat(F.lit(f"{name}:"), "feature")) if prefix else df
         for name, df in parts.items()
     ]
-    return reduce(lambda a, b: a.unionByName(b), [d.select("id", "feature", "value") for d in named])
+    return reduce(lambda a, b: a.unionByName(b), [d.select(*columns) for d in named])
 
 
 def feature_index(features: DataFrame) -> DataFrame:

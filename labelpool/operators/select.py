@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelpool.operators.features import family_filter, union_features
-from labelpool.plans.cuts import nth_text, quantile
+from labelpool.plans.cuts import nth_texts, quantiles
 from labelpool.plans.lookup import skew_lookup
 from labelpool.session import materialise
 
@@ -18,10 +19,23 @@ from labelpool.session import materialise
 SCORE_DIGITS = 9
 
 
+def _sums() -> list[Column]:
+    """Rows, sum per class and sum of squares of one feature's labeled rows."""
+    v = F.col("value")
+
+    def of(cls: int) -> Column:
+        return F.sum(F.when(F.col("y") == cls, v).otherwise(0.0))
+
+    return [
+        F.count(F.lit(1)).alias("rows"), of(0).alias("s0"), of(1).alias("s1"), F.sum(v * v).alias("ss")
+    ]
+
+
 def _class_sums(features: DataFrame, labels: DataFrame) -> DataFrame:
-    """Per feature: all its rows, its labeled rows, and sum and sum of squares per class; plus class sizes ``_c``.
+    """Per feature: its labeled rows, sum and sum of squares per class; plus class sizes ``n0, n1``.
 
-    Rows without a stored value count as zero through the class sizes.
+    Rows without a stored value count as zero through the class sizes. Only labeled rows are read
+    further than the join with the labels.
     """
     sizes = labels.agg(
         F.struct(
@@ -29,29 +43,66 @@ def _class_sums(features: DataFrame, labels: DataFrame) -> DataFrame:
             F.count_if(F.col("y") == 1).cast("double").alias("n1"),
         ).alias("c")
     )
-    v = F.col("value")
-
-    def of(cls: int, value: Column) -> Column:
-        return F.sum(F.when(F.col("y") == cls, value).otherwise(0.0))
-
+    known = labels.where("y IS NOT NULL").select("id", "y")
     return (
-        features.join(labels.select("id", "y"), "id", "left")
+        features.join(known, "id")
         .groupBy("feature")
-        .agg(
-            F.count("*").alias("all_rows"),
-            F.count("y").alias("rows"),
-            of(0, v).alias("s0"),
-            of(1, v).alias("s1"),
-            F.sum(F.when(F.col("y").isNotNull(), v * v).otherwise(0.0)).alias("ss"),
-        )
-        .where("rows > 0")
+        .agg(*_sums())
         .withColumn("_c", sizes.scalar())
+        .select("*", "_c.n0", "_c.n1")
+        .drop("_c")
     )
 
 
-def chi2_scores(features: DataFrame, labels: DataFrame) -> DataFrame:
-    """``(feature, rows, all_rows, score)``: chi-square of the class sums against the class shares."""
-    n0, n1 = F.col("_c.n0"), F.col("_c.n1")
+def training_sums(features: DataFrame, labels: DataFrame) -> DataFrame:
+    """``(fold, feature, rows, s0, s1, ss, n0, n1)`` of the training side of every fold.
+
+    ``labels`` is ``(id, y, fold)``. Sums are made once per feature and fold; a fold's training side
+    adds up those of the other folds (nothing is taken away again, so nothing cancels out), and a
+    feature that stands in the held-out fold only is not there. Features that have a ``fold``
+    themselves, because they were chosen for it, are summed over the rows of the other folds.
+    """
+    known = labels.where("y IS NOT NULL").select("id", "y", F.col("fold").cast("int").alias("_home"))
+    sizes: dict[int, list[int]] = {}
+    for row in known.groupBy("_home", "y").count().collect():
+        if row["y"] in (0, 1):
+            sizes.setdefault(row["_home"], [0, 0])[row["y"]] += row["count"]
+    folds = sorted(sizes)
+    if not folds:
+        raise ValueError("no labeled rows")
+    total = [sum(n[cls] for n in sizes.values()) for cls in (0, 1)]
+
+    def size(cls: int) -> Column:
+        pairs = [F.lit(x) for f in folds for x in (f, float(total[cls] - sizes[f][cls]))]
+        return F.element_at(F.create_map(*pairs), F.col("fold")).alias(f"n{cls}")
+
+    rows = features.join(known, "id")
+    names = ["rows", "s0", "s1", "ss"]
+    if "fold" in features.columns:
+        sums = rows.where("fold <> _home").groupBy("fold", "feature").agg(*_sums())
+        return sums.select("fold", "feature", *names, size(0), size(1))
+    by_fold = rows.groupBy("feature", "_home").agg(*_sums())
+    parts = by_fold.groupBy("feature").agg(
+        F.array_sort(F.collect_list(F.struct("_home", *names))).alias("parts")
+    )
+    sides = parts.withColumn("fold", F.explode(F.array(*[F.lit(f) for f in folds]))).withColumn(
+        "parts", F.filter("parts", lambda p: p["_home"] != F.col("fold"))
+    )
+
+    def add(name: str) -> Column:
+        zero = F.lit(0).cast("bigint") if name == "rows" else F.lit(0.0)
+        return F.aggregate("parts", zero, lambda acc, p: acc + p[name]).alias(name)
+
+    return (
+        sides.where(F.size("parts") > 0)
+        .select("fold", "feature", *[add(n) for n in names])
+        .select("*", size(0), size(1))
+    )
+
+
+def _chi2() -> Column:
+    """Chi-square of the class sums against the class shares."""
+    n0, n1 = F.col("n0"), F.col("n1")
     all_ = F.col("s0") + F.col("s1")
 
     def part(observed: str, size: Column) -> Column:
@@ -59,60 +110,96 @@ def chi2_scores(features: DataFrame, labels: DataFrame) -> DataFrame:
         gap = F.col(observed) - expected
         return F.try_divide(gap * gap, expected)
 
-    return _class_sums(features, labels).select(
-        "feature", "rows", "all_rows", (part("s0", n0) + part("s1", n1)).alias("score")
-    )
+    return part("s0", n0) + part("s1", n1)
 
 
-def anova_scores(features: DataFrame, labels: DataFrame) -> DataFrame:
-    """``(feature, rows, all_rows, score)``: one-way F. NULL for a constant feature."""
-    n0, n1 = F.col("_c.n0"), F.col("_c.n1")
+def _anova() -> Column:
+    """One-way F. NULL for a constant feature."""
+    n0, n1, s0, s1 = (F.col(c) for c in ("n0", "n1", "s0", "s1"))
     n = n0 + n1
-    s0, s1 = F.col("s0"), F.col("s1")
     by_class = F.try_divide(s0 * s0, n0) + F.try_divide(s1 * s1, n1)
     between = by_class - F.try_divide((s0 + s1) * (s0 + s1), n)
     within = F.col("ss") - by_class
-    sums = _class_sums(features, labels).withColumns({"between": between, "within": within})
     tiny = F.col("ss") * 1e-14
-    score = F.when(
-        F.col("within") > tiny,
-        F.col("between") / F.try_divide(F.col("within"), F.lit(-2.0) + n),
-    ).when(F.col("between") > tiny, F.lit(math.inf))
-    return sums.withColumn("score", score).select("feature", "rows", "all_rows", "score")
+    return F.when(within > tiny, between / F.try_divide(within, F.lit(-2.0) + n)).when(
+        between > tiny, F.lit(math.inf)
+    )
+
+
+SCORES: dict[str, Callable[[], Column]] = {"chi2": _chi2, "anova": _anova}
+
+
+def chi2_scores(features: DataFrame, labels: DataFrame) -> DataFrame:
+    """``(feature, rows, score)``: chi-square against the label, on labeled rows."""
+    return _class_sums(features, labels).select("feature", "rows", _chi2().alias("score"))
+
+
+def anova_scores(features: DataFrame, labels: DataFrame) -> DataFrame:
+    """``(feature, rows, score)``: one-way F, on labeled rows. NULL for a constant feature."""
+    return _class_sums(features, labels).select("feature", "rows", _anova().alias("score"))
 
 
 SCORERS = {"chi2": chi2_scores, "anova": anova_scores}
 
 
-def top_percentile(scores: DataFrame, percent: float) -> DataFrame:
-    """The scored features above the ``100 - percent`` percentile of the score.
+def fold_scores(features: DataFrame, labels: DataFrame, scorer: str = "chi2") -> DataFrame:
+    """``training_sums`` with a ``score``: each fold's scores come from its training side alone."""
+    return training_sums(features, labels).withColumn("score", _scorer(scorer, SCORES)())
+
+
+def _scorer(name: str, table: dict):
+    if name not in table:
+        raise ValueError(f"unknown scorer {name!r}")
+    return table[name]
+
+
+def top_percentile(scores: DataFrame, percent: float, by: str | None = None) -> DataFrame:
+    """The scored features above the ``100 - percent`` percentile of the score, per group of ``by``.
 
     Features exactly at it follow in name order while the total stays within
-    ``floor(n * percent / 100)``. Undefined scores rank lowest.
+    ``floor(n * percent / 100)``. Undefined scores rank lowest. ``by`` has few values, such as
+    folds; all of them are cut by the same jobs.
     """
     if not 0 <= percent <= 100:
         raise ValueError("percent must lie between 0 and 100")
     if percent == 100:
         return scores
+    if percent == 0:
+        return scores.where(F.lit(False))
     lowest = F.lit(-1.7e308)
+    g = F.lit(0) if by is None else F.col(by)
     ranked = scores.withColumn(
         "_r", F.coalesce(F.round("score", SCORE_DIGITS), F.when(F.col("score") > 0, F.col("score")), lowest)
     )
-    if percent == 0:
-        return scores.where(F.lit(False))
-    n, cut = quantile(ranked, "_r", (100 - percent) / 100)
     r = F.col("_r")
-    counts = ranked.agg(
+    cuts = quantiles(ranked, "_r", (100 - percent) / 100, None if by is None else g)
+    if not cuts:
+        if by is None:
+            raise ValueError("no rows")
+        return scores
+    cut = _of_group(g, {key: value for key, (_, value) in cuts.items()}, "double")
+    counts = ranked.groupBy(g.alias("g")).agg(
         F.count_if(r > cut).alias("above"), F.count_if(r == cut).alias("ties")
-    ).first()
-    room = int(n * percent / 100) - counts["above"]
-    keep = r > cut
-    if room >= counts["ties"]:
-        keep = r >= cut
-    elif room > 0:
-        last = nth_text(ranked.where(r == cut), "feature", room)
-        keep = keep | ((r == cut) & (F.col("feature") <= last))
-    return ranked.where(keep).drop("_r")
+    )
+    whole, some = {}, {}
+    for row in counts.collect():
+        room = int(cuts[row["g"]][0] * percent / 100) - row["above"]
+        whole[row["g"]] = room >= row["ties"]
+        if 0 < room < row["ties"]:
+            some[row["g"]] = room
+    last = nth_texts(ranked.where(r == cut), "feature", some, g) if some else {}
+    fits = _of_group(g, whole, "boolean") | F.coalesce(
+        F.col("feature") <= _of_group(g, last, "string"), F.lit(False)
+    )
+    return ranked.where((r > cut) | ((r == cut) & fits)).drop("_r")
+
+
+def _of_group(group: Column, values: dict, kind: str) -> Column:
+    """The value of the row's group, NULL for a group without one."""
+    out = F.lit(None).cast(kind)
+    for key, value in values.items():
+        out = F.when(group == key, F.lit(value).cast(kind)).otherwise(out)
+    return out
 
 
 def rank_features(scores: DataFrame) -> DataFrame:
@@ -121,24 +208,61 @@ def rank_features(scores: DataFrame) -> DataFrame:
 
 
 def keep_features(features: DataFrame, kept: DataFrame) -> DataFrame:
-    """Rows of the kept features; very frequent features do not pile up in one task."""
-    wanted = kept.select("feature", "all_rows")
-    return skew_lookup(features, wanted, "feature", F.col("all_rows"), "id").select(*features.columns)
+    """Rows of the kept features; very frequent features do not pile up in one task.
+
+    If ``kept`` has a ``fold``, so has the result: a row stands once for each fold that keeps its
+    feature, and a row that has a fold already stays if its own fold keeps the feature. Only kept
+    features are counted, by task before the exchange.
+    """
+    if "fold" not in kept.columns:
+        names, key = kept.select("feature"), ["feature"]
+    elif "fold" in features.columns:
+        names, key = kept.select("fold", "feature"), ["fold", "feature"]
+    else:
+        names = kept.groupBy("feature").agg(F.sort_array(F.collect_list("fold")).alias("_folds"))
+        key = ["feature"]
+    named = F.concat_ws(":", *key).alias("_key")
+    counted = features.groupBy(*key).agg(F.count(F.lit(1)).alias("_rows"))
+    wanted = names.join(counted, key).withColumn("_key", named).drop(*key)
+    wanted = materialise(wanted, "kept-features")
+    found = skew_lookup(features.withColumn("_key", named), wanted, "_key", F.col("_rows"), "id")
+    if "_folds" in wanted.columns:
+        return found.select(F.explode("_folds").alias("fold"), *features.columns)
+    return found.select(*features.columns)
 
 
 def select_features(
-    features: DataFrame, labels: DataFrame, percent: float, scorer: str = "chi2"
+    features: DataFrame,
+    labels: DataFrame,
+    percent: float,
+    scorer: str = "chi2",
+    within_fold: bool = False,
 ) -> DataFrame:
     """Keep the best ``percent`` of the features. Score on training rows only by passing their
-    labels only; rows without a label are kept in the result all the same."""
-    if scorer not in SCORERS:
-        raise ValueError(f"unknown scorer {scorer!r}")
+    labels only; rows without a label are kept in the result all the same.
+
+    With ``within_fold`` the labels have a ``fold``, and each fold keeps what its training side
+    alone tells, so that nothing of a held-out row leaks into the features it is judged by. The
+    result then has a ``fold`` too; its rows of the fold itself are the test side. Features that
+    have a ``fold`` already are selected again inside it.
+    """
+    score = _scorer(scorer, SCORERS)
+    if within_fold:
+        return keep_features(features, fold_selection(features, labels, percent, scorer))
     if percent >= 100:
         return features
-    scores = materialise(SCORERS[scorer](features, labels), "feature-scores")
+    scores = materialise(score(features, labels), "feature-scores")
     return keep_features(features, top_percentile(scores, percent))
 
 
+def fold_selection(
+    features: DataFrame, labels: DataFrame, percent: float, scorer: str = "chi2"
+) -> DataFrame:
+    """The rows of ``fold_scores`` that each fold's training side selects."""
+    scores = materialise(fold_scores(features, labels, scorer), "fold-scores")
+    return top_percentile(scores, percent, "fold")
+
+
 def combined_features(
     text_features: DataFrame,
     record_features: DataFrame,
@@ -149,16 +273,21 @@ def combined_features(
     final_percent: float = 65,
     patterns: dict[str, str] | None = None,
     prefix: bool = False,
+    within_fold: bool = False,
 ) -> DataFrame:
-    """Select text features, filter and select record features, put them together, select again."""
-    text = select_features(text_features, labels, text_percent)
+    """Select text features, filter and select record features, put them together, select again.
+
+    With ``within_fold`` all three selections look at each fold's training side alone, and the
+    result has a ``fold``, as in ``select_features``.
+    """
+    text = select_features(text_features, labels, text_percent, within_fold=within_fold)
     record = select_features(
-        family_filter(record_features, families, patterns), labels, record_percent
+        family_filter(record_features, families, patterns), labels, record_percent, within_fold=within_fold
     )
     # Tagged by part, so that equal names stay two features and ties keep the order of the parts.
     parts = {"0": text, "1": record}
     both = materialise(union_features(parts, prefix=True), "features")
-    kept = select_features(both, labels, final_percent)
+    kept = select_features(both, labels, final_percent, within_fold=within_fold)
     bare = F.expr("substring(feature, 3)")
     if prefix:
         name = F.when(F.col("feature").startswith("0:"), "text:").otherwise("record:")

@@ -66,7 +66,7 @@ def hash_cuts(
     }
 
 
-def _locate(buckets: Sequence[tuple[str, int]], rank: int) -> tuple[str, int] | None:
+def _locate(buckets: Sequence[tuple[object, int]], rank: int) -> tuple[object, int] | None:
     """The bucket that holds ``rank`` and the rank inside it."""
     if rank <= 0:
         return None
@@ -152,68 +152,136 @@ def numbered(df: DataFrame, order_by: Sequence[str | Column], name: str) -> Data
 
 
 def nth_text(df: DataFrame, column: str, rank: int, small: int = 10_000) -> str:
-    """The ``rank``-th smallest distinct text of a column (1-based).
+    """The ``rank``-th smallest distinct text of a column (1-based)."""
+    return nth_texts(df, column, {0: rank}, F.lit(0), small)[0]
 
-    Narrows by prefix: each step counts texts by one more character within the prefix found so
-    far, until few enough are left to order. Many texts may share the value ordered before this.
+
+def nth_texts(
+    df: DataFrame, column: str, ranks: dict[int, int], by: Column, small: int = 10_000
+) -> dict[int, str]:
+    """The text at the given 1-based rank of each group; texts are distinct inside a group.
+
+    Narrows by prefix, all groups together: each step counts texts by one more character within the
+    prefixes found so far, until few enough are left to order.
     """
-    prefix, left = "", rank
-    while True:
-        rest = df.where(F.col(column).startswith(prefix)) if prefix else df
-        groups = (
-            rest.groupBy(F.substring(column, 1, len(prefix) + 1).alias("p"))
-            .count()
-            .orderBy("p")
-            .collect()
-        )
-        for group in groups:
-            if left <= group["count"]:
-                break
-            left -= group["count"]
-        else:
-            raise ValueError(f"rank {rank} is beyond the rows of {column}")
-        if group["p"] == prefix:  # the text that ends here
-            return prefix
-        prefix = group["p"]
-        if group["count"] <= small:
-            names = df.where(F.col(column).startswith(prefix)).orderBy(column).select(column)
-            return names.limit(left).collect()[-1][0]
-
-
-def quantile(df: DataFrame, column: str, q: float, error: float = 1e-4) -> tuple[int, float]:
-    """Row count and the exact, linearly interpolated quantile of a double column without NULLs.
-
-    An approximate sketch brackets the two order statistics; only the values inside the bracket
-    (about ``8 * error`` of the rows, equal values merged) are put in order.
+    keyed = df.select(by.alias("g"), F.col(column).alias("t"))
+    open_, found, few = {g: ("", rank) for g, rank in ranks.items()}, {}, {}
+
+    def inside(prefixes: dict[int, tuple[str, int]]) -> DataFrame:
+        hit = F.lit(False)
+        for g, (prefix, _) in prefixes.items():
+            hit = hit | ((F.col("g") == g) & F.col("t").startswith(prefix))
+        return keyed.where(hit)
+
+    while open_:
+        length = F.lit(0)
+        for g, (prefix, _) in open_.items():
+            length = F.when(F.col("g") == g, len(prefix) + 1).otherwise(length)
+        counts: dict[int, list[tuple[str, int]]] = {g: [] for g in open_}
+        next_prefix = F.col("t").substr(F.lit(1), length).alias("p")
+        for row in inside(open_).groupBy("g", next_prefix).count().orderBy("p").collect():
+            counts[row["g"]].append((row["p"], row["count"]))
+        for g, (prefix, left) in list(open_.items()):
+            spot = _locate(counts[g], left)
+            p, rest = spot
+            del open_[g]
+            if p == prefix:  # the text that ends here
+                found[g] = prefix
+            elif dict(counts[g])[p] <= small:
+                few[g] = (p, rest)
+            else:
+                open_[g] = (p, rest)
+    if few:
+        rank = F.row_number().over(Window.partitionBy("g").orderBy("t"))
+        last = F.lit(0)
+        for g, (_, rest) in few.items():
+            last = F.when(F.col("g") == g, rest).otherwise(last)
+        rows = inside(few).withColumn("rank", rank).where(F.col("rank") == last).collect()
+        found |= {r["g"]: r["t"] for r in rows}
+    return found
+
+
+def order_values(
+    df: DataFrame,
+    column: str,
+    ranks: Callable[[int], Sequence[int]],
+    by: Column | None = None,
+    step: float = 1 / 4096,
+) -> dict[object, tuple[int, list[float]]]:
+    """Row count and the values at the 1-based ranks, per group of ``by`` (few groups).
+
+    By radix refinement, for all groups together: rows are counted by sign and exponent of the
+    value, then inside the bucket that holds a rank by ``1 / step`` parts of its range, and so on
+    until all values of the bucket are equal. A double has 52 further bits, so with 4,096 parts
+    that takes five more counts at most; each collects a few numbers for each part, and no value
+    is ever sorted. Infinite values are values; NULL and NaN must not occur.
     """
-    n = df.count()
-    if n == 0:
-        raise ValueError("no rows")
-    position = (n - 1) * q
-    low_rank, high_rank = math.floor(position) + 1, math.ceil(position) + 1
-    probe = [
-        max(0.0, (low_rank - 1) / n - 2 * error),
-        min(1.0, (high_rank + 1) / n + 2 * error),
-    ]
-    lo, hi = df.approxQuantile(column, probe, error)
-    col = F.col(column)
-    if low_rank == 1 or probe[0] == 0.0:
-        lo = -math.inf
-    if high_rank == n or probe[1] == 1.0:
-        hi = math.inf
-    below = df.where(col < lo).count() if lo > -math.inf else 0
-    ordered = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    inside = (
-        df.where((col >= lo) & (col <= hi))
-        .groupBy(col.alias("v"))
-        .count()
-        .withColumn("upto", F.sum("count").over(ordered) + F.lit(below))
+    v = F.col("v")
+    size = F.floor(F.log2(F.abs(v))).cast("long") + 2000
+    coarse = (
+        F.when(v == 0, 0)
+        .when(F.abs(v) == math.inf, F.when(v > 0, 4000).otherwise(-4000))
+        .otherwise(F.when(v > 0, size).otherwise(-size))
     )
-    found = inside.agg(
-        F.min(F.when(F.col("upto") >= low_rank, F.col("v"))).alias("a"),
-        F.min(F.when(F.col("upto") >= high_rank, F.col("v"))).alias("b"),
-    ).first()
-    if found["a"] is None or found["b"] is None or below >= low_rank:
-        raise RuntimeError("the quantile fell outside its bracket")
-    fraction = position - math.floor(position)
-    return n, found["a"] + (found["b"] - found["a"]) * fraction
+    keyed = df.select((F.lit(0) if by is None else by).alias("g"), F.col(column).cast("double").alias("v"))
+
+    def count(rows: DataFrame, *keys: Column) -> dict[object, list]:
+        out: dict[object, list] = {}
+        made = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        for row in sorted(made.collect(), key=lambda r: r["b"]):
+            out.setdefault(row[0], []).append((row["lo"], row["hi"], row["n"]))
+        return out
+
+    first = count(keyed, F.col("g"), coarse.alias("b"))
+    totals = {g: sum(n for *_, n in buckets) for g, buckets in first.items()}
+    wanted = {g: list(ranks(n)) for g, n in totals.items()}
+    # (group, rank) -> (smallest, largest value of its bucket, rank inside)
+    spots = {(g, r): _spot(first[g], r) for g, rs in wanted.items() for r in rs}
+    while True:
+        targets = sorted({(g, lo, hi) for (g, _), (lo, hi, _) in spots.items() if lo < hi})
+        if not targets:
+            return {g: (totals[g], [spots[g, r][0] for r in rs]) for g, rs in wanted.items()}
+        target, part = F.lit(None).cast("int"), F.lit(0)
+        for k, (g, lo, hi) in enumerate(targets):
+            here = (F.col("g") == g) & (v >= lo) & (v <= hi)
+            target = F.when(here, k).otherwise(target)
+            share = (v - F.lit(lo)) / F.lit(hi - lo)
+            last = math.ceil(1 / step) - 1
+            part = F.when(here, F.least(F.floor(share / step), F.lit(last))).otherwise(part)
+        rows = keyed.withColumn("k", target).where("k IS NOT NULL")
+        finer = count(rows, F.col("k"), part.alias("b"))
+        at = {t: k for k, t in enumerate(targets)}
+        spots = {
+            (g, r): _spot(finer[at[g, lo, hi]], rest) if lo < hi else (lo, hi, rest)
+            for (g, r), (lo, hi, rest) in spots.items()
+        }
+
+
+def _spot(buckets: Sequence[tuple[float, float, int]], rank: int) -> tuple[float, float, int]:
+    """The ends of the bucket that holds ``rank``, and the rank inside it."""
+    (lo, hi), rest = _locate([((lo, hi), n) for lo, hi, n in buckets], rank)
+    return lo, hi, rest
+
+
+def quantiles(
+    df: DataFrame, column: str, q: float, by: Column | None = None, step: float = 1 / 4096
+) -> dict[object, tuple[int, float]]:
+    """Per group: row count and the exact, linearly interpolated quantile of a double column."""
+
+    def ranks(n: int) -> list[int]:
+        position = (n - 1) * q
+        return [math.floor(position) + 1, math.ceil(position) + 1]
+
+    out = {}
+    for g, (n, (low, high)) in order_values(df, column, ranks, by, step).items():
+        fraction = (n - 1) * q - math.floor((n - 1) * q)
+        out[g] = (n, low if low == high else low + (high - low) * fraction)
+    return out
+
+
+def quantile(df: DataFrame, column: str, q: float, step: float = 1 / 4096) -> tuple[int, float]:
+    """Row count and the exact, linearly interpolated quantile of a double column without NULLs."""
+    found = quantiles(df, column, q, step=step)
+    if not found:
+        raise ValueError("no rows")
+    return found[0]

@@ -15,6 +15,7 @@ from labelpool.operators.features import (
     to_vectors,
     union_features,
 )
+from labelpool.operators.long_model import fold_model_auc
 from labelpool.operators.moments import Discriminant
 from labelpool.operators.pool import next_batch
 from labelpool.operators.select import (
@@ -23,6 +24,8 @@ from labelpool.operators.select import (
     chi2_scores,
     combined_features,
     f_p_value,
+    fold_scores,
+    fold_selection,
     rank_features,
     select_features,
     top_percentile,
@@ -37,6 +40,7 @@ from labelpool.sources import readers, writers
 # the library's own default pattern has unit tests.
 STOP_WORDS = "a an and are as at be by for from in is it of on or that the this to was with".split()
 PATTERN = r"[\p{L}\p{N}_-]+"
+PATTERNS = {"source": r"source=.*", "lang": r"lang=.*", "size": r"n_chars"}
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -57,6 +61,11 @@ def weights(spark: SparkSession, sf: str, low: int = 1, high: int = 1, binary: b
     return spec.fit(docs).transform(docs)
 
 
+def folded_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """Ten stratified folds of the labeled documents, written once: they are joined several times."""
+    return materialise(stratified_folds(labels(spark, sf), 10, 1), "folded-labels")
+
+
 def records(spark: SparkSession, sf: str) -> DataFrame:
     return one_hot(documents(spark, sf), ["lang", "source"], ["n_chars"])
 
@@ -80,7 +89,7 @@ def vocabulary(spark: SparkSession, sf: str) -> DataFrame:
 def scores(scorer):
     def run(spark: SparkSession, sf: str) -> DataFrame:
         out = scorer(union_features({"t": weights(spark, sf), "r": records(spark, sf)}), labels(spark, sf))
-        return rounded(out.drop("all_rows"), "score", digits=5)
+        return rounded(out, "score", digits=5)
 
     return run
 
@@ -98,6 +107,58 @@ def selected(scorer: str, percent: float):
     return run
 
 
+def selected_names(scorer: str, percent: float):
+    """Per kept feature its rows, sum and sum of squares in the matrix that is left."""
+
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        return feature_totals(select_features(stored_weights(spark, sf), labels(spark, sf), percent, scorer))
+
+    return run
+
+
+def feature_totals(matrix: DataFrame, *by: str) -> DataFrame:
+    v = F.col("value")
+    sums = matrix.groupBy(*by, "feature").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum(v).alias("total"), F.sum(v * v).alias("squares")
+    )
+    return rounded(sums, "total", "squares")
+
+
+def fold_features(spark: SparkSession, sf: str) -> DataFrame:
+    """What each of ten folds selects from its training side, by chi-square."""
+    kept = fold_selection(stored_weights(spark, sf), folded_labels(spark, sf), 12)
+    return rounded(kept.select("fold", "feature", "rows", "score"), "score", digits=5)
+
+
+def combined_within_fold(spark: SparkSession, sf: str) -> DataFrame:
+    out = combined_features(
+        stored_weights(spark, sf),
+        records(spark, sf),
+        folded_labels(spark, sf),
+        families=["source"],
+        text_percent=12,
+        record_percent=50,
+        final_percent=65,
+        patterns=PATTERNS,
+        within_fold=True,
+    )
+    return feature_totals(out, "fold").drop("squares")
+
+
+def leak_free_auc(spark: SparkSession, sf: str) -> DataFrame:
+    """Cross-validation of the discriminant on selected terms: chosen on each training side, and,
+    for comparison, chosen on all labeled rows, which lets held-out rows speak for themselves."""
+    features, truth = stored_weights(spark, sf), folded_labels(spark, sf)
+    scored = materialise(fold_scores(features, truth), "fold-scores")
+    own = fold_model_auc(features, truth, top_percentile(scored, 12, "fold"))
+    everywhere = materialise(chi2_scores(features, truth), "scores")
+    leaky = scored.join(top_percentile(everywhere, 12).select("feature"), "feature", "left_semi")
+    other = fold_model_auc(features, truth, leaky).select(
+        "fold", F.col("features").alias("leaky_features"), F.col("auc").alias("leaky_auc")
+    )
+    return rounded(own.join(other, "fold"), "auc", "leaky_auc")
+
+
 def ranked(spark: SparkSession, sf: str) -> DataFrame:
     """Best ten percent of all terms with chi-square and its p-value, best first."""
     found = materialise(chi2_scores(weights(spark, sf), labels(spark, sf)), "scores")
@@ -137,18 +198,27 @@ def combined(spark: SparkSession, sf: str) -> DataFrame:
         text_percent=12,
         record_percent=50,
         final_percent=65,
-        patterns={"source": r"source=.*", "lang": r"lang=.*", "size": r"n_chars"},
+        patterns=PATTERNS,
     )
     return rounded(out, "value")
 
 
+def combined_sums(spark: SparkSession, sf: str) -> DataFrame:
+    """Per feature its rows, sum and sum of squares in the combined matrix."""
+    out = combined_features(
+        stored_weights(spark, sf), records(spark, sf), labels(spark, sf), families=["source"],
+        text_percent=12, record_percent=50, final_percent=65, patterns=PATTERNS, prefix=True,
+    )
+    return feature_totals(out)
+
+
 def document_one_hot(spark: SparkSession, sf: str) -> DataFrame:
     return records(spark, sf)
 
 
 def families(spark: SparkSession, sf: str) -> DataFrame:
     return family_filter(
-        records(spark, sf), ["lang", "size"], {"source": r"source=.*", "lang": r"lang=.*", "size": r"n_chars"}
+        records(spark, sf), ["lang", "size"], PATTERNS
     )
 
 
@@ -223,13 +293,15 @@ def sums_sql(rows: str, out: str) -> str:
   FROM {rows} JOIN lab USING (id) GROUP BY feature)"""
 
 
+E0, E1 = "((s0 + s1) * n0 / (n0 + n1))", "((s0 + s1) * n1 / (n0 + n1))"
+CHI2 = f"(s0 - {E0}) * (s0 - {E0}) / {E0} + (s1 - {E1}) * (s1 - {E1}) / {E1}"
+
+
 def chi2_sql(rows: str, out: str) -> str:
-    e0, e1 = "((s0 + s1) * n0 / (n0 + n1))", "((s0 + s1) * n1 / (n0 + n1))"
     return (
         sums_sql(rows, f"{out}_s")
         + f""",
-{out} AS (SELECT feature, rows, (s0 - {e0}) * (s0 - {e0}) / {e0} + (s1 - {e1}) * (s1 - {e1}) / {e1} AS score
-  FROM {out}_s, size)"""
+{out} AS (SELECT feature, rows, {CHI2} AS score FROM {out}_s, size)"""
     )
 
 
@@ -289,6 +361,103 @@ def selected_sql(scorer, percent: float) -> str:
     )
 
 
+FOLDS_SQL = """,
+labf AS MATERIALIZED (
+  SELECT id, y, CAST((row_number() OVER (ORDER BY y, md5('1:' || id), id) - 1) % 10 AS INTEGER) AS home
+  FROM lab WHERE y IS NOT NULL),
+t AS (SELECT CAST(t AS INTEGER) AS fold FROM range(10) r(t)),
+sizes AS MATERIALIZED (
+  SELECT fold, count(*) FILTER (y = 0) AS n0, count(*) FILTER (y = 1) AS n1
+  FROM labf JOIN t ON home <> fold GROUP BY fold)"""
+
+
+def fold_chi2_sql(rows: str, out: str, own: bool = False) -> str:
+    """Sums of every training side, written out fold by fold; ``own`` rows have a fold."""
+    on = f"{rows}.fold = t.fold" if own else "true"
+    return f""",
+{out}_s AS MATERIALIZED (
+  SELECT t.fold, feature, count(*) AS rows, coalesce(sum(value) FILTER (y = 0), 0) AS s0,
+    coalesce(sum(value) FILTER (y = 1), 0) AS s1, sum(value * value) AS ss
+  FROM {rows} JOIN labf USING (id) JOIN t ON home <> t.fold AND {on} GROUP BY t.fold, feature),
+{out} AS MATERIALIZED (SELECT *, {CHI2} AS score FROM {out}_s JOIN sizes USING (fold))"""
+
+
+def fold_top_sql(scored: str, percent: float, out: str) -> str:
+    return f""",
+{out}_r AS (SELECT fold, feature, coalesce(round(score, 9), -1.7e308) AS r FROM {scored}),
+{out}_cut AS (
+  SELECT fold, quantile_cont(r, {(100 - percent) / 100}) AS cut, count(*) AS n FROM {out}_r GROUP BY fold),
+{out}_t AS (
+  SELECT fold, feature, r, cut, row_number() OVER (PARTITION BY fold ORDER BY r DESC, feature) AS rn,
+    CAST(floor(n * {percent} / 100) AS BIGINT) AS room FROM {out}_r JOIN {out}_cut USING (fold)),
+{out} AS MATERIALIZED (SELECT fold, feature FROM {out}_t WHERE r > cut OR (r = cut AND rn <= room))"""
+
+
+def fold_auc_sql(kept: str, sums: str, out: str) -> str:
+    """AUC of the discriminant over the kept features, by all pairs of one positive and one negative."""
+    mean = "s0 / n0", "s1 / n1"
+    var = f"((ss - s0 * {mean[0]} - s1 * {mean[1]}) / (n0 + n1 - 2))"
+    return f""",
+{out}_w AS MATERIALIZED (
+  SELECT fold, feature, n0, n1, CASE WHEN {var} > 1e-300 THEN ({mean[1]} - {mean[0]}) / {var} ELSE 0 END AS w,
+    ({mean[0]} + {mean[1]}) / 2 AS mid FROM {sums} JOIN {kept} USING (fold, feature)),
+{out}_b AS (SELECT fold, ln(max(n1) / max(n0)) - sum(w * mid) AS b, count(*) AS features FROM {out}_w GROUP BY fold),
+{out}_d AS (
+  SELECT id, sum(value * w) AS dot FROM tfidf JOIN labf USING (id) JOIN {out}_w w
+    ON w.feature = tfidf.feature AND w.fold = home GROUP BY id),
+{out}_m AS (
+  SELECT home AS fold, y, round(coalesce(dot, 0) + b, 9) AS m FROM labf LEFT JOIN {out}_d USING (id)
+  JOIN {out}_b ON {out}_b.fold = home),
+{out} AS (
+  SELECT p.fold, avg(CASE WHEN p.m > q.m THEN 1 WHEN p.m = q.m THEN 0.5 ELSE 0 END::DOUBLE) AS auc
+  FROM {out}_m p JOIN {out}_m q ON p.fold = q.fold WHERE p.y = 1 AND q.y = 0 GROUP BY p.fold)"""
+
+
+FOLD_COMBINED_SQL = (
+    WITH
+    + FOLDS_SQL
+    + fold_chi2_sql("tfidf", "c1")
+    + fold_top_sql("c1", 12, "k1")
+    + ", fam AS MATERIALIZED (SELECT * FROM records WHERE regexp_matches(feature, 'source=.*'))"
+    + fold_chi2_sql("fam", "c2")
+    + fold_top_sql("c2", 50, "k2")
+    + """, both_f AS MATERIALIZED (SELECT fold, id, '0:' || feature AS feature, value FROM tfidf JOIN k1 USING (feature)
+  UNION ALL SELECT fold, id, '1:' || feature, value FROM fam JOIN k2 USING (feature))"""
+    + fold_chi2_sql("both_f", "c3", own=True)
+    + fold_top_sql("c3", 65, "k3")
+    + """ SELECT fold, feature[3:] AS feature, count(*) AS rows, round(sum(value), 6) AS total
+FROM both_f JOIN k3 USING (fold, feature) GROUP BY fold, feature"""
+)
+
+LEAK_SQL = (
+    WITH
+    + FOLDS_SQL
+    + fold_chi2_sql("tfidf", "c")
+    + fold_top_sql("c", 12, "k")
+    + fold_auc_sql("k", "c", "a")
+    + ","
+    + chi2_sql("tfidf", "e")
+    + ","
+    + top_sql("e", 12, "g")
+    + ", h AS (SELECT fold, feature FROM g, t)"
+    + fold_auc_sql("h", "c", "z")
+    + """ SELECT a.fold, a_b.features, round(a.auc, 6) AS auc, z_b.features AS leaky_features,
+  round(z.auc, 6) AS leaky_auc FROM a JOIN a_b USING (fold) JOIN z USING (fold) JOIN z_b USING (fold)"""
+)
+
+TOTALS_SQL = "count(*) AS rows, round(sum(value), 6) AS total, round(sum(value * value), 6) AS squares"
+COMBINED_TOTALS_SQL = COMBINED_SQL[: COMBINED_SQL.rindex(" SELECT")] + f"""
+SELECT CASE feature[1] WHEN '0' THEN 'text:' ELSE 'record:' END || feature[3:] AS feature, {TOTALS_SQL}
+FROM both_f WHERE feature IN (SELECT feature FROM k3) GROUP BY feature"""
+
+
+def selected_totals_sql(scorer, percent: float) -> str:
+    return (
+        WITH + "," + scorer("tfidf", "c") + "," + top_sql("c", percent, "k")
+        + f" SELECT feature, {TOTALS_SQL} FROM tfidf WHERE feature IN (SELECT feature FROM k) GROUP BY feature"
+    )
+
+
 PICK_SQL = (
     WITH
     + ","
@@ -337,6 +506,16 @@ QUERIES = {
     ),
     "select_anova": (selected("anova", 42), selected_sql(anova_sql, 42)),
     "select_chi2": (selected("chi2", 12), selected_sql(chi2_sql, 12)),
+    "selected_features_anova": (selected_names("anova", 42), selected_totals_sql(anova_sql, 42)),
+    "selected_features_chi2": (selected_names("chi2", 12), selected_totals_sql(chi2_sql, 12)),
+    "combined_feature_sums": (combined_sums, COMBINED_TOTALS_SQL),
+    "fold_features": (
+        fold_features,
+        WITH + FOLDS_SQL + fold_chi2_sql("tfidf", "c") + fold_top_sql("c", 12, "k")
+        + " SELECT fold, feature, rows, round(score, 5) AS score FROM c JOIN k USING (fold, feature)",
+    ),
+    "combined_within_fold": (combined_within_fold, FOLD_COMBINED_SQL),
+    "leak_free_auc": (leak_free_auc, LEAK_SQL),
     "ranked_features": (ranked, None),
     "ranked_features_anova": (ranked_anova, None),
     "combined_features": (combined, COMBINED_SQL),
