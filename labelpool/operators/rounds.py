@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from labelpool.functions.hashing import hash_order
 from labelpool.functions.scores import entropy, least_confidence, top_two_gap
 from labelpool.operators.evaluate import auc
+from labelpool.operators.incremental import PairScores
 from labelpool.operators.moments import Discriminant, Sums, class_moments, margin_and_prob
 from labelpool.operators.pool import with_draw
 from labelpool.operators.splits import split_u_l, test_rows, training_rows, unlabeled_size
@@ -47,6 +48,7 @@ class ActiveLearner:
         u_share: float = 0.9,
         seed: int = 0,
         batch_size: int = 1,
+        refresh: int = 50,
     ):
         if not 0 < u_share < 1:
             raise ValueError("u_share must lie between 0 and 1")
@@ -54,6 +56,8 @@ class ActiveLearner:
             raise ValueError("batch_size must be positive")
         self.strategy, self.model = strategy, model or Discriminant()
         self.u_share, self.seed, self.batch_size = u_share, seed, batch_size
+        #: Pair statistics are computed anew after so many batches, and kept up in between.
+        self.refresh = refresh
 
     def run(self, train: DataFrame, test: DataFrame, ndraws: int | None = None) -> Run:
         """``train`` and ``test`` are ``(id, x, y)``; ``ndraws`` counts rows, default all of U."""
@@ -71,6 +75,7 @@ class ActiveLearner:
         picked_dir = new_table_dir(spark, "acquired")
         points: list[tuple[int, int, float | None]] = []
         previous = None
+        keeper = PairScores(self.strategy, self.refresh)
         for start in range(0, total, self.batch_size):
             size = min(self.batch_size, total - start)
             if start:
@@ -79,13 +84,16 @@ class ActiveLearner:
                 labeled = labeled0.unionByName(
                     pool0.join(picked.select("id"), "id", "left_semi").select("id", "x", "y")
                 )
+                last = picked.where(F.col("draw") >= start - self.batch_size)
+                batch = pool0.join(last.select("id"), "id", "left_semi").select("id", "x")
             else:
-                unlabeled, labeled = pool0, labeled0
+                unlabeled, labeled, batch = pool0, labeled0, None
+            kept = keeper.advance(unlabeled, labeled, batch) if keeper.parts else None
             fitted = self.model.fit(labeled)
             points.append((start, n_l + start, self._auc(fitted, test)))
             if self.strategy.needs_model:
                 unlabeled = fitted.transform(unlabeled)
-            state = PoolState(unlabeled, labeled, n_u, previous)
+            state = PoolState(unlabeled, labeled, n_u, previous, kept)
             if getattr(self.strategy, "model_change", False):
                 previous = materialise(self.strategy.score(state), "scores")
                 batch = select_batch(previous, size, self.strategy.pick_largest)
@@ -127,7 +135,7 @@ def experiment(
         name, fold = task
         model = learners[name]
         learner = ActiveLearner(
-            _fresh(model.strategy), model.model, model.u_share, fold, model.batch_size
+            _fresh(model.strategy), model.model, model.u_share, fold, model.batch_size, model.refresh
         )
         run = learner.run(training_rows(rows, fold), test_rows(rows, fold), ndraws)
         tags = [F.lit(name).alias("strategy"), F.lit(fold).alias("fold")]

@@ -42,6 +42,7 @@ class PoolState:
     labeled: DataFrame
     initial_size: int | None = None
     previous: DataFrame | None = None
+    statistics: dict[int, DataFrame] | None = None
 
 
 class QueryStrategy:
@@ -262,9 +263,23 @@ class MinMax(_SpatialStrategy):
             return state.unlabeled
         return lds_prune(state.unlabeled, self.lds_k, self.lds_threshold, self.lds_metric)
 
+    def statistics(self, state: PoolState) -> DataFrame:
+        return min_distances(self.frame(state), state.unlabeled, state.labeled)
+
     def score(self, state: PoolState) -> DataFrame:
-        nearest = min_distances(self.frame(state), state.unlabeled, state.labeled)
-        return nearest.select("id", F.col("d").alias("score"))
+        return _kept(self, state).select("id", F.col("d").alias("score"))
+
+
+class KCenter(MinMax):
+    """Farthest-first batches: each row is the one farthest from L and from the rows picked before
+    it, so a batch holds no two near copies while other rows are farther away."""
+
+    name = "kcenter"
+
+    def query(self, state: PoolState, k: int = 1) -> DataFrame:
+        from labelpool.operators.incremental import farthest_first
+
+        return farthest_first(self.frame(state), state.unlabeled, _kept(self, state), k)
 
 
 class Density(_SpatialStrategy):
@@ -277,10 +292,17 @@ class Density(_SpatialStrategy):
     def sides(self, state: PoolState) -> DataFrame:
         return state.unlabeled.select("x").unionByName(state.unlabeled.select("x"))
 
+    def statistics(self, state: PoolState) -> DataFrame:
+        return similarity_sums(self.frame(state), state.unlabeled)
+
     def score(self, state: PoolState) -> DataFrame:
-        frame = self.frame(state)
-        sums = similarity_sums(frame, state.unlabeled)
-        return sums.select("id", F.try_divide("s", "n").alias("score"))
+        return _kept(self, state).select("id", F.try_divide("s", "n").alias("score"))
+
+
+def _kept(strategy: QueryStrategy, state: PoolState) -> DataFrame:
+    """The pair statistics of a strategy: those kept up over rounds, or made anew."""
+    kept = (state.statistics or {}).get(id(strategy))
+    return strategy.statistics(state) if kept is None else kept
 
 
 def similarity_sums(frame: Space, rows: DataFrame) -> DataFrame:
@@ -363,6 +385,7 @@ STRATEGIES: dict[str, Callable[..., QueryStrategy]] = {
         LeastConfidenceDynamicBias,
         DistanceToCenter,
         MinMax,
+        KCenter,
         Density,
         Combined,
     )

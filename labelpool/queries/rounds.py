@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from labelpool.operators import evaluate
 from labelpool.operators.moments import Discriminant
-from labelpool.operators.pool import move_to_labeled
+from labelpool.operators.pool import move_to_labeled, next_batch
 from labelpool.operators.rounds import ActiveLearner, experiment, fold_rounds
 from labelpool.operators.splits import split_test, stratified_folds, test_rows, training_rows
 from labelpool.operators.strategies import get_strategy
-from labelpool.queries.pool import SCORED_SQL, auc_sql, model_sql, part, roles, rounded, vectors
+from labelpool.queries.pool import POOL_SQL, SCORED_SQL, auc_sql, model_sql, part, roles, rounded, vectors
 from labelpool.session import materialise, new_table_dir
 from labelpool.sources.readers import read_results
 from labelpool.sources.writers import write_curves
@@ -94,6 +94,25 @@ def loop_choices(spark: SparkSession, sf: str) -> DataFrame:
     return run.choices
 
 
+def pair_loop(strategy: str):
+    """The general loop with a strategy over pairs, whose statistics are kept up from round to
+    round: three batches of four, computed anew after the second."""
+
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        rows = materialise(split_test(vectors(spark, sf), 0.25, 5), "split")
+        learner = ActiveLearner(get_strategy(strategy), u_share=0.9, seed=3, batch_size=4, refresh=2)
+        return learner.run(rows.where(~F.col("is_test")), rows.where("is_test"), ndraws=12).choices
+
+    return run
+
+
+def pick_kcenter(spark: SparkSession, sf: str) -> DataFrame:
+    """Twenty rows, each the farthest from L and from those picked before it."""
+    rows = roles(spark, sf)
+    out = next_batch(part(rows, "U"), part(rows, "L"), get_strategy("kcenter"), 20)
+    return rounded(out.select("id", F.col("draw").cast("int").alias("draw"), "score"), "score")
+
+
 def experiment_curves(spark: SparkSession, sf: str) -> DataFrame:
     """Distance strategies by the general loop over all three folds."""
     rows = materialise(folded(spark, sf), "folds")
@@ -229,13 +248,42 @@ MERGED_SQL = (
 )
 
 
-def loop_sql() -> str:
-    """Two rounds of four rows on three quarters of the data."""
-    out = f"""WITH{BASE_SQL},
+LOOP_SQL = f"""WITH{BASE_SQL},
 q AS (SELECT *, row_number() OVER (ORDER BY md5('5:' || id), id) <= ceil(0.25::DOUBLE * count(*) OVER ()) AS t FROM base),
 s AS (SELECT id, x, y, row_number() OVER (ORDER BY md5('3:' || id), id) <= ceil(0.9::DOUBLE * count(*) OVER ()) AS in_u
   FROM q WHERE NOT t),
 l0 AS (SELECT id, x, y FROM s WHERE NOT in_u), u0 AS (SELECT id, x, y FROM s WHERE in_u)"""
+
+
+def pair_loop_sql(score: str, other: str, order: str) -> str:
+    """Three rounds of four rows; every round compares all pairs again."""
+    out = LOOP_SQL
+    for r in range(3):
+        out += f""",
+p{r} AS (SELECT u.id, u.y, {score} AS score FROM u{r} u, {other}{r} o WHERE u.id <> o.id GROUP BY u.id, u.y),
+b{r} AS (SELECT *, row_number() OVER (ORDER BY round(score, 9) {order}, id) AS rn FROM p{r} QUALIFY rn <= 4),
+l{r + 1} AS MATERIALIZED (SELECT * FROM l{r} UNION ALL SELECT * FROM u{r} WHERE id IN (SELECT id FROM b{r})),
+u{r + 1} AS MATERIALIZED (SELECT * FROM u{r} WHERE id NOT IN (SELECT id FROM b{r}))"""
+    picks = (f"SELECT CAST({4 * r - 1} + rn AS INTEGER) AS draw, id, y FROM b{r}" for r in range(3))
+    return out + " " + " UNION ALL ".join(picks)
+
+
+def kcenter_sql(k: int) -> str:
+    """Farthest first, one pick after the other."""
+    out = f"""WITH{POOL_SQL},
+d0 AS (SELECT u.id, u.x, min(list_distance(u.x, l.x)) AS d FROM pool u, pool l
+  WHERE u.role = 'U' AND l.role = 'L' GROUP BY u.id, u.x)"""
+    for r in range(k):
+        out += f""",
+c{r} AS MATERIALIZED (SELECT id, x, d FROM d{r} ORDER BY round(d, 9) DESC, id LIMIT 1),
+d{r + 1} AS MATERIALIZED (SELECT t.id, t.x, least(t.d, list_distance(t.x, c.x)) AS d FROM d{r} t, c{r} c WHERE t.id <> c.id)"""
+    picks = (f"SELECT id, CAST({r} AS INTEGER) AS draw, round(d, 6) AS score FROM c{r}" for r in range(k))
+    return out + " " + " UNION ALL ".join(picks)
+
+
+def loop_sql() -> str:
+    """Two rounds of four rows on three quarters of the data."""
+    out = LOOP_SQL
     for r in range(2):
         out += ", " + model_sql(f"l{r}", f"m{r}")
         out += f""",
@@ -290,6 +338,11 @@ SELECT CAST(f AS INTEGER) AS fold, CASE WHEN home = f THEN 'test' ELSE 'train' E
 FROM folded, range({FOLDS}) t(f) GROUP BY ALL""",
     ),
     "loop_choices": (loop_choices, loop_sql()),
+    "loop_choices_minmax": (pair_loop("minmax"), pair_loop_sql("min(list_distance(u.x, o.x))", "l", "DESC")),
+    "loop_choices_density": (
+        pair_loop("density"), pair_loop_sql("avg(1 / (1 + list_distance(u.x, o.x)))", "u", "ASC")
+    ),
+    "pick_kcenter": (pick_kcenter, kcenter_sql(20)),
     "partial_fit": (partial_fit, PARTIAL_SQL),
     "move_to_labeled": (
         moved,
