@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 from labelpool.operators.spaces import space
 from labelpool.plans.blocks import all_pairs
 from labelpool.plans.lookup import skew_lookup
+from labelpool.plans.pivots import BLOCK_BYTES, BUNCH, METRICS, nearest
 from labelpool.session import materialise
 
+ONE_TILE = BLOCK_BYTES * BUNCH
+
 
 def _nearest_kernel(k: int):
     """The k nearest columns of each row, leaving out the row itself; ties by smaller id."""
@@ -44,23 +47,33 @@ def knn_join(
 ) -> DataFrame:
     """``(id, rank, nbr, d)``: the exact k nearest other rows of each row of ``(id, x)``.
 
-    Every block pair keeps k candidates per row, so the last shuffle carries k rows per row and
-    block, already cut by the partial rank limit.
+    Under a metric that obeys the triangle inequality, a pool of more than one tile is searched
+    with bounds (``plans/pivots``), which leaves out what cannot be near. Otherwise every block pair
+    keeps k candidates per row, so the last shuffle carries k rows per row and block, already cut
+    by the partial rank limit.
     """
     if k < 1:
         raise ValueError("k must be positive")
     frame = space(metric, scale_rows if scale_rows is not None else pool)
-    pairs = all_pairs(
-        frame.apply(pool.select("id", "x")), frame.metric, _nearest_kernel(k), ["id", "nbr", "d"]
-    )
-    nearest = Window.partitionBy("id").orderBy("d", "nbr")
+    rows = frame.apply(pool.select("id", "x"))
+    if frame.metric in METRICS and not _one_tile(pool):
+        rows = materialise(rows, "space")
+        return nearest(rows, rows, frame.metric, k)
+    pairs = all_pairs(rows, frame.metric, _nearest_kernel(k), ["id", "nbr", "d"])
+    order = Window.partitionBy("id").orderBy("d", "nbr")
     return (
-        pairs.withColumn("rank", F.row_number().over(nearest))
+        pairs.withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= k)
         .select("id", "rank", "nbr", "d")
     )
 
 
+def _one_tile(pool: DataFrame) -> bool:
+    """Whether all rows fit into one tile, where there is nothing to leave out."""
+    row = pool.agg(F.count(F.lit(1)), F.max(F.size("x"))).first()
+    return row[0] * (row[1] or 0) * 8 <= ONE_TILE
+
+
 def local_density_scores(neighbours: DataFrame, hot_weight: int = 100_000) -> DataFrame:
     """``(id, lds)``: mean number of neighbours a row shares with each of its neighbours.
 

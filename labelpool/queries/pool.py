@@ -20,6 +20,8 @@ from labelpool.operators.strategies import (
     get_strategy,
     select_batch,
 )
+from labelpool.plans.pivots import nearest
+from labelpool.session import materialise
 
 DIGITS = 6
 
@@ -487,6 +489,19 @@ def taken(spark: SparkSession, sf: str) -> DataFrame:
     return take_rows(vectors(spark, sf), [0, 2, 7]).select("id", "y")
 
 
+def knn_pruned(spark: SparkSession, sf: str) -> DataFrame:
+    """The same neighbours, found with blocks left out by bounds."""
+    rows = materialise(vectors(spark, sf).select("id", "x"), "pool")
+    return rounded(nearest(rows, rows, "euclidean", 10, block_bytes=16 << 10), "d")
+
+
+def nearest_labeled(spark: SparkSession, sf: str) -> DataFrame:
+    """The three nearest labeled rows of every unlabeled one."""
+    rows = materialise(roles(spark, sf), "roles")
+    out = nearest(part(rows, "U"), part(rows, "L"), "cityblock", 3, block_bytes=8 << 10)
+    return rounded(out, "d")
+
+
 def ml_rows(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     rows = roles(spark, sf)
     return part(rows, "U").select("id", "x", "y"), part(rows, "T").select("id", "x", "y")
@@ -656,6 +671,18 @@ QUERIES = {
         knn,
         "WITH" + KNN_SQL.format(k=10) + " SELECT id, CAST(rank AS INTEGER) AS rank, nbr, round(d, 6) AS d FROM near",
     ),
+    "knn_pruned": (
+        knn_pruned,
+        "WITH" + KNN_SQL.format(k=10) + " SELECT id, CAST(rank AS INTEGER) AS rank, nbr, round(d, 6) AS d FROM near",
+    ),
+    "nearest_labeled": (
+        nearest_labeled,
+        PAIRS_SQL
+        + """, p AS (
+  SELECT u.id, l.id AS nbr, list_sum(list_transform(list_zip(u.x, l.x), lambda z: abs(z[1] - z[2]))) AS d FROM u, l),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(d, 12), nbr) AS rank FROM p)
+SELECT id, CAST(rank AS INTEGER) AS rank, nbr, round(d, 6) AS d FROM r WHERE rank <= 3""",
+    ),
     "lds_scores": (lds_scores, LDS_SQL + " SELECT id, round(lds, 6) AS lds FROM shared"),
     "lds_prune": (lds, LDS_SQL + " SELECT id FROM shared WHERE lds >= 0.5"),
     "svm_margins": (svm_margins, None),
