@@ -9,6 +9,7 @@ from labelpool.functions.vectors import DISTANCES, distance
 from labelpool.operators import evaluate, models
 from labelpool.operators.moments import Discriminant
 from labelpool.operators.neighbours import knn_join, lds_prune, local_density_scores
+from labelpool.operators.newton import PlattNewton, margin_rows, newton_fits, platt_grid
 from labelpool.operators.pool import next_batch, take_rows
 from labelpool.operators.spaces import centre, space
 from labelpool.operators.splits import assign_roles, split_test, split_u_l, stratified_folds
@@ -524,6 +525,121 @@ def platt_probabilities(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("id", "y", "margin", F.get("prob", F.lit(1)).alias("p1"))
 
 
+def platt_newton(spark: SparkSession, sf: str) -> DataFrame:
+    """Test rows scored by the discriminant and calibrated by Newton steps."""
+    train, test = ml_rows(spark, sf)
+    out = PlattNewton().fit(train).transform(test)
+    return rounded(out.select("id", "y", "margin", F.get("prob", F.lit(1)).alias("p1")), "margin", "p1")
+
+
+def log_loss_newton(spark: SparkSession, sf: str) -> DataFrame:
+    """Log-loss models on one margin for several penalties: weight, intercept and loss."""
+    train, _ = ml_rows(spark, sf)
+    rows = materialise(margin_rows(Discriminant().fit(train), train), "margins")
+    fits = newton_fits(rows, {a: a for a in models.ALPHA_GRID})
+    found = [(a, f.w[0], f.b, f.loss) for a, f in fits.items()]
+    return rounded(
+        spark.createDataFrame(found, "alpha double, w double, b double, loss double"), "w", "b", "loss"
+    )
+
+
+def c_grid_platt(spark: SparkSession, sf: str) -> DataFrame:
+    """Calibrations of one model over the grid of C."""
+    train, _ = ml_rows(spark, sf)
+    fits = platt_grid(Discriminant().fit(train), train, models.C_GRID)
+    found = [(c, f.w[0], f.b, f.loss) for c, f in fits.items()]
+    return rounded(
+        spark.createDataFrame(found, "c double, w double, b double, loss double"), "w", "b", "loss"
+    )
+
+
+def cv_platt(spark: SparkSession, sf: str) -> DataFrame:
+    """Cross-validation of the calibrated model over five folds."""
+    rows = stratified_folds(vectors(spark, sf), 5, 1)
+    return rounded(models.cross_validate_model(PlattNewton, rows, range(5)), "auc", "log_loss")
+
+
+def calibration_platt(spark: SparkSession, sf: str) -> DataFrame:
+    """Reliability of the test rows' probabilities as they come and after Platt scaling."""
+    train, test = ml_rows(spark, sf)
+    model = PlattNewton().fit(train)
+    both = model.base.transform(test).select("id", "y", F.get("prob", F.lit(1)).alias("raw")).join(
+        model.transform(test).select("id", F.get("prob", F.lit(1)).alias("platt")), "id"
+    )
+    curves = evaluate.calibration_comparison(both, {"raw": ("raw", False), "platt": ("platt", False)})
+    return rounded(curves, "lo", "hi", "mean_score", "positive_rate")
+
+
+NEWTON_STEPS = 25
+
+
+def newton_sql(rows: str, penalties: str, out: str) -> str:
+    """CTEs of plain Newton steps from zero on ``rows (model, m, y)`` with ``penalties (model, alpha)``."""
+    p = "(1 / (1 + exp(-(w * m + b))))"
+    return f"""
+{out}_steps AS (
+  SELECT model, alpha, 0 AS i, 0.0::DOUBLE AS w, 0.0::DOUBLE AS b FROM {penalties}
+  UNION ALL
+  SELECT model, alpha, i + 1, w - (gw * hbb - gb * hwb) / (hww * hbb - hwb * hwb),
+    b - (gb * hww - gw * hwb) / (hww * hbb - hwb * hwb)
+  FROM (
+    SELECT model, alpha, i, w, b, avg(m * ({p} - y)) + alpha * w AS gw, avg({p} - y) AS gb,
+      avg(m * m * {p} * (1 - {p})) + alpha AS hww, avg(m * {p} * (1 - {p})) AS hwb, avg({p} * (1 - {p})) AS hbb
+    FROM {out}_steps JOIN {rows} USING (model) WHERE i < {NEWTON_STEPS} GROUP BY model, alpha, i, w, b)),
+{out} AS MATERIALIZED (SELECT model, alpha, w, b FROM {out}_steps WHERE i = {NEWTON_STEPS})"""
+
+
+# The closed-form model trained on U, as ``ml_rows`` has it, and its margins on U and T.
+ML_SQL = (
+    "WITH RECURSIVE" + POOL_SQL + ", u AS (SELECT * FROM pool WHERE role = 'U')," + model_sql("u", "model")
+    + """,
+margins AS MATERIALIZED (SELECT id, y, role, list_dot_product(x, w) + b AS m FROM pool, model)"""
+)
+NEWTON_LOSS = """avg(ln(1 + exp(-abs(w * m + b))) + greatest(w * m + b, 0) - y * (w * m + b))
+    + any_value(alpha) * any_value(w) * any_value(w) / 2"""
+
+
+def penalties_sql(name: str, values, alpha: str) -> str:
+    """Several models on the same rows."""
+    rows = ", ".join(f"({v!r}::DOUBLE)" for v in values)
+    return f""",
+pen AS (SELECT {name} AS model, {alpha} AS alpha FROM (VALUES {rows}) t({name}), (SELECT count(*) AS n FROM u)),
+rows_m AS MATERIALIZED (SELECT model, m, y FROM margins, pen WHERE role = 'U'),
+{newton_sql("rows_m", "pen", "fits")}
+SELECT model AS {name}, round(any_value(w), 6) AS w, round(any_value(b), 6) AS b, round({NEWTON_LOSS}, 6) AS loss
+FROM fits JOIN rows_m USING (model) GROUP BY model"""
+
+
+PLATT_SQL = (
+    ML_SQL
+    + """,
+pen AS (SELECT 0 AS model, 1 / count(*)::DOUBLE AS alpha FROM u),
+rows_m AS (SELECT 0 AS model, m, y FROM margins WHERE role = 'U'),"""
+    + newton_sql("rows_m", "pen", "fit")
+    + """,
+t AS (SELECT id, y, m, 1 / (1 + exp(-m)) AS raw, 1 / (1 + exp(-(w * m + b))) AS platt FROM margins, fit WHERE role = 'T')"""
+)
+
+CV_PLATT_SQL = f"""WITH RECURSIVE
+base AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS x, CAST(label % 2 AS INTEGER) AS y FROM embeddings),
+folded AS MATERIALIZED (SELECT *, CAST((row_number() OVER (ORDER BY y, md5('1:' || id), id) - 1) % 5 AS INTEGER) AS home
+  FROM base),
+tr AS MATERIALIZED (SELECT CAST(f AS INTEGER) AS fold, id, x, y FROM folded, range(5) t(f) WHERE home <> f),
+{model_sql("tr", "mo", ("fold",))},
+rows_m AS MATERIALIZED (SELECT fold AS model, list_dot_product(x, w) + b AS m, y FROM tr JOIN mo USING (fold)),
+pen AS (SELECT model, 1 / count(*)::DOUBLE AS alpha FROM rows_m GROUP BY model),
+{newton_sql("rows_m", "pen", "fits")},
+t AS (
+  SELECT home AS fold, y, 1 / (1 + exp(-(f.w * (list_dot_product(x, mo.w) + mo.b) + f.b))) AS s
+  FROM folded JOIN mo ON mo.fold = home JOIN fits f ON f.model = home),
+c AS (SELECT *, greatest(least(s, 1 - 1e-15), 1e-15) AS p FROM t),
+loss AS (SELECT fold, avg(-CASE WHEN y = 1 THEN ln(p) ELSE ln(1 - p) END) AS log_loss FROM c GROUP BY fold),
+area AS (
+  SELECT a.fold, avg(CASE WHEN a.s > z.s THEN 1 WHEN a.s = z.s THEN 0.5 ELSE 0 END::DOUBLE) AS auc
+  FROM t a JOIN t z ON a.fold = z.fold AND a.y = 1 AND z.y = 0 GROUP BY a.fold)
+SELECT fold, round(auc, 6) AS auc, round(log_loss, 6) AS log_loss FROM area JOIN loss USING (fold)"""
+
+
 def cv_auc(spark: SparkSession, sf: str) -> DataFrame:
     rows = models.with_vector(stratified_folds(vectors(spark, sf), 10, 1)).select("y", "fold", "features")
     mean, spread = models.cross_validate(models.hinge(), rows, 10)
@@ -688,6 +804,20 @@ SELECT id, CAST(rank AS INTEGER) AS rank, nbr, round(d, 6) AS d FROM r WHERE ran
     "svm_margins": (svm_margins, None),
     "log_loss_probabilities": (log_loss_probabilities, None),
     "platt_probabilities": (platt_probabilities, None),
+    "platt_newton": (
+        platt_newton, PLATT_SQL + " SELECT id, y, round(m, 6) AS margin, round(platt, 6) AS p1 FROM t"
+    ),
+    "log_loss_newton": (log_loss_newton, ML_SQL + penalties_sql("alpha", models.ALPHA_GRID, "alpha")),
+    "c_grid_platt": (c_grid_platt, ML_SQL + penalties_sql("c", models.C_GRID, "1 / (c * n)")),
+    "cv_platt": (cv_platt, CV_PLATT_SQL),
+    "calibration_platt": (
+        calibration_platt,
+        PLATT_SQL
+        + ", r AS (SELECT raw AS s, y FROM t), k AS (SELECT platt AS s, y FROM t)"
+        + BINS_SQL.format(rows="r", extra=", 'raw' AS method")
+        + " UNION ALL "
+        + BINS_SQL.format(rows="k", extra=", 'platt' AS method"),
+    ),
     "cv_auc": (cv_auc, None),
     "grid_search": (grid, None),
 }
