@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.ml.feature import PCA, ElementwiseProduct
+import pyarrow as pa
+from pyspark.ml.feature import ElementwiseProduct
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 RANK_TOLERANCE = 1e-12
 
@@ -56,40 +60,99 @@ class _Scaled(Space):
         return self.scale.transform(vectors).withColumn(x, vector_to_array("_s")).drop("_v", "_s")
 
 
+def covariance(df: DataFrame) -> tuple[np.ndarray, int]:
+    """Sample covariance of ``x`` and the number of rows.
+
+    Each task adds up the products of its rows less the mean, so one d x d matrix a task leaves it.
+    """
+    middle = centre(df).first()["c"]
+    dim = len(middle) if middle else 0
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros((dim, dim)), 0
+        for batch in batches:
+            rows = _matrix(batch.column(0), dim) - np.array(middle)
+            total, n = total + rows.T @ rows, n + len(rows)
+        yield pa.RecordBatch.from_arrays([pa.array([[float(n), *total.ravel()]])], ["g"])
+
+    rows = df.select(F.col("x").cast("array<double>").alias("x"))
+    parts = rows.mapInArrow(scan, "g array<double>").select(array_to_vector("g").alias("g"))
+    found = parts.agg(Summarizer.sum(F.col("g")).alias("g")).first()["g"]
+    if found is None or not dim:
+        return np.zeros((0, 0)), 0
+    sums = found.toArray()
+    n = int(sums[0])
+    return sums[1:].reshape(dim, dim) / max(n - 1, 1), n
+
+
+def pivoted_cholesky(cov: np.ndarray, tolerance: float = RANK_TOLERANCE) -> tuple[np.ndarray, list[int]]:
+    """``(factor, order)`` with factor @ factor.T = cov and as many columns as cov has rank.
+
+    Columns are taken in the order of the variance that is left of them, as a share of their own
+    (so units do not matter); equal shares go to the earlier column. What is left of a column that
+    the ones before explain is at most ``tolerance``, and it gets no column of its own.
+    """
+    dim = len(cov)
+    scale = np.sqrt(np.diag(cov))
+    unit = np.where(scale > 0, scale, 1.0)
+    rest = cov / unit[:, None] / unit[None, :]
+    factor, order = np.zeros((dim, 0)), []
+    while len(order) < dim:
+        left = np.round(np.diag(rest), 9)
+        left[order] = -1.0
+        at = int(left.argmax())
+        if rest[at, at] <= tolerance:
+            break
+        column = rest[:, at] / np.sqrt(rest[at, at])
+        column[order] = 0.0
+        factor, rest = np.column_stack([factor, column]), rest - np.outer(column, column)
+        order.append(at)
+    return factor * scale[:, None], order
+
+
 class _Whitened(Space):
     """Mahalanobis distance with the pseudo-inverse of the sample covariance.
 
-    Spark's PCA gives the covariance's eigenvectors and the shares of its eigenvalues; the trace
-    gives their scale. The d x d matrix is solved on the driver; Spark raises where it cannot. Directions without variance are dropped, which is the pseudo-inverse.
+    With cov = F F', F of full column rank, the distance is the length of F+ (x - y). A column
+    that is a sum of others adds no column to F. The d x d matrix is factored on the driver.
     """
 
     def __init__(self, df: DataFrame):
         super().__init__("euclidean")
-        vectors = df.select(array_to_vector("x").alias("v"))
-        var = vectors.agg(Summarizer.variance(F.col("v")).alias("v")).first()["v"].toArray()
-        dim = len(var)
-        if not var.any():
-            shares = np.zeros(dim)
-            self.rotate = None
+        cov, _ = covariance(df)
+        factor, order = pivoted_cholesky(cov)
+        self.dim, self.rank = len(cov), len(order)
+        if self.rank == self.dim:
+            # Rows in pivot order are a triangle: solved without loss whatever the units are.
+            turn = np.zeros((self.rank, self.dim))
+            if self.dim:
+                turn[:, order] = np.linalg.inv(factor[order])
         else:
-            self.rotate = PCA(k=dim, inputCol="_v", outputCol="_r").fit(
-                vectors.withColumnRenamed("v", "_v")
-            )
-            shares = self.rotate.explainedVariance.toArray()
-        self.dim = dim
-        keep = shares > RANK_TOLERANCE
-        factors = np.zeros(dim)
-        factors[keep] = 1.0 / np.sqrt(shares[keep] * var.sum())
-        self.scale = ElementwiseProduct(
-            scalingVec=Vectors.dense(factors), inputCol="_r", outputCol="_s"
-        )
+            turn = np.linalg.pinv(factor, rcond=1e-15) if self.rank else np.zeros((1, self.dim))
+        self.turn = turn
 
     def apply(self, df: DataFrame, x: str = "x") -> DataFrame:
-        if self.rotate is None:
-            return df.withColumn(x, F.transform(x, lambda v: v * 0.0))
-        vectors = df.withColumn("_v", array_to_vector(x))
-        turned = self.scale.transform(self.rotate.transform(vectors))
-        return turned.withColumn(x, vector_to_array("_s")).drop("_v", "_r", "_s")
+        turn, names = self.turn, df.columns
+        at = names.index(x)
+        schema = T.StructType(
+            [T.StructField(x, T.ArrayType(T.DoubleType())) if f.name == x else f for f in df.schema.fields]
+        )
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows = _matrix(batch.column(at), turn.shape[1]) @ turn.T
+                ends = np.arange(0, rows.size + 1, rows.shape[1], dtype=np.int32)
+                turned = pa.ListArray.from_arrays(pa.array(ends), pa.array(rows.ravel()))
+                columns = [turned if i == at else c for i, c in enumerate(batch.columns)]
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+        if not self.dim:
+            return df
+        return df.withColumn(x, F.col(x).cast("array<double>")).mapInArrow(scan, schema)
+
+
+def _matrix(column: pa.Array, dim: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), dim)
 
 
 def space(metric: str, rows: DataFrame) -> Space:

@@ -272,7 +272,9 @@ class MinMax(_SpatialStrategy):
 
 class KCenter(MinMax):
     """Farthest-first batches: each row is the one farthest from L and from the rows picked before
-    it, so a batch holds no two near copies while other rows are farther away."""
+    it, so a batch holds no two near copies while other rows are farther away.
+
+    An extension beside the strategies known by name."""
 
     name = "kcenter"
 
@@ -385,7 +387,6 @@ STRATEGIES: dict[str, Callable[..., QueryStrategy]] = {
         LeastConfidenceDynamicBias,
         DistanceToCenter,
         MinMax,
-        KCenter,
         Density,
         Combined,
     )

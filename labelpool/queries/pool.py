@@ -496,6 +496,29 @@ def knn_pruned(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(nearest(rows, rows, "euclidean", 10, block_bytes=16 << 10), "d")
 
 
+def mahalanobis_columns(spark: SparkSession, sf: str) -> DataFrame:
+    """Distances to the mean over three columns and a fourth that is a sum of them."""
+    x = F.col("x")
+    few = F.array(x[0], 1000 * x[1], x[2], x[0] + 1000 * x[1] - x[2])
+    rows = materialise(vectors(spark, sf).select("id", few.alias("x")), "columns")
+    frame = space("mahalanobis", rows)
+    middle = centre(frame.apply(rows)).scalar()
+    d = distance(frame.metric, F.col("_c"), F.col("x"))
+    return rounded(frame.apply(rows).withColumn("_c", middle).select("id", d.alias("d")), "d")
+
+
+# The inverse of a covariance of three columns, written out.
+MAHALANOBIS_SQL = f"""WITH v AS (SELECT vec_id AS id, embedding[1]::DOUBLE AS a, 1000 * embedding[2]::DOUBLE AS b,
+  embedding[3]::DOUBLE AS c FROM embeddings),
+m AS (SELECT avg(a) AS ma, avg(b) AS mb, avg(c) AS mc, var_samp(a) AS aa, var_samp(b) AS bb, var_samp(c) AS cc,
+  covar_samp(a, b) AS ab, covar_samp(a, c) AS ac, covar_samp(b, c) AS bc FROM v),
+g AS (SELECT *, aa * (bb * cc - bc * bc) - ab * (ab * cc - bc * ac) + ac * (ab * bc - bb * ac) AS det FROM m),
+x AS (SELECT id, a - ma AS a, b - mb AS b, c - mc AS c, g.* EXCLUDE (ma, mb, mc) FROM v, g)
+SELECT id, round(sqrt((a * a * (bb * cc - bc * bc) + b * b * (aa * cc - ac * ac) + c * c * (aa * bb - ab * ab)
+  + 2 * a * b * (ac * bc - ab * cc) + 2 * a * c * (ab * bc - ac * bb) + 2 * b * c * (ab * ac - aa * bc)) / det), {DIGITS}) AS d
+FROM x"""
+
+
 def nearest_labeled(spark: SparkSession, sf: str) -> DataFrame:
     """The three nearest labeled rows of every unlabeled one."""
     rows = materialise(roles(spark, sf), "roles")
@@ -791,6 +814,7 @@ QUERIES = {
         knn_pruned,
         "WITH" + KNN_SQL.format(k=10) + " SELECT id, CAST(rank AS INTEGER) AS rank, nbr, round(d, 6) AS d FROM near",
     ),
+    "mahalanobis_columns": (mahalanobis_columns, MAHALANOBIS_SQL),
     "nearest_labeled": (
         nearest_labeled,
         PAIRS_SQL

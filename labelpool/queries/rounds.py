@@ -12,7 +12,7 @@ from labelpool.operators.moments import Discriminant
 from labelpool.operators.pool import move_to_labeled, next_batch
 from labelpool.operators.rounds import ActiveLearner, experiment, fold_rounds
 from labelpool.operators.splits import split_test, stratified_folds, test_rows, training_rows
-from labelpool.operators.strategies import get_strategy
+from labelpool.operators.strategies import KCenter, get_strategy
 from labelpool.queries.pool import POOL_SQL, SCORED_SQL, auc_sql, model_sql, part, roles, rounded, vectors
 from labelpool.session import materialise, new_table_dir
 from labelpool.sources.readers import read_results
@@ -109,7 +109,7 @@ def pair_loop(strategy: str):
 def pick_kcenter(spark: SparkSession, sf: str) -> DataFrame:
     """Twenty rows, each the farthest from L and from those picked before it."""
     rows = roles(spark, sf)
-    out = next_batch(part(rows, "U"), part(rows, "L"), get_strategy("kcenter"), 20)
+    out = next_batch(part(rows, "U"), part(rows, "L"), KCenter(), 20)
     return rounded(out.select("id", F.col("draw").cast("int").alias("draw"), "score"), "score")
 
 

@@ -9,7 +9,7 @@ from labelpool.operators.incremental import PairScores, farthest_first
 from labelpool.operators.pool import next_batch
 from labelpool.operators.rounds import ActiveLearner
 from labelpool.operators.spaces import Space
-from labelpool.operators.strategies import Combined, PoolState, get_strategy, min_distances
+from labelpool.operators.strategies import Combined, KCenter, PoolState, get_strategy, min_distances
 
 SCHEMA = "id long, x array<double>, y int"
 
@@ -106,7 +106,7 @@ def test_farthest_first(spark, rows, candidates):
 def test_kcenter_batch_avoids_copies(rows):
     df, x = rows
     u, labeled = df.where("id < 60"), df.where("id >= 60")
-    batch = next_batch(u, labeled, get_strategy("kcenter"), 30)
+    batch = next_batch(u, labeled, KCenter(), 30)
     ids = [r.id for r in batch.orderBy("draw").collect()]
     assert not [i for i in ids if 30 <= i < 40 and i + 10 in ids]
-    assert next_batch(u, labeled, get_strategy("kcenter"), 200).count() == 60
+    assert next_batch(u, labeled, KCenter(), 200).count() == 60

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from labelpool.functions.vectors import DISTANCES, distance
-from labelpool.operators.spaces import space
+from labelpool.operators.spaces import pivoted_cholesky, space
 from labelpool.plans.blocks import all_pairs, block_count, cross_pairs
 from labelpool.plans.kernels import BLOCK_DISTANCES, block_distances
 
@@ -125,3 +125,42 @@ def test_scaled_spaces_match_their_definitions(spark):
         assert np.allclose(np.sqrt(((got - got[0]) ** 2).sum(1)), want)
     with pytest.raises(ValueError):
         space("nope", pool)
+
+
+@pytest.mark.parametrize("rank", [1, 3, 5])
+def test_pivoted_cholesky(rank):
+    """The factor has as many columns as the matrix has rank, in the order of what is left."""
+    rng = np.random.default_rng(rank)
+    base = rng.normal(size=(5, rank)) * np.array([[1e-6], [1], [1e5], [3], [0.01]])
+    cov = base @ base.T
+    factor, order = pivoted_cholesky(cov)
+    assert factor.shape == (5, rank) and len(set(order)) == rank
+    unit = np.sqrt(np.diag(cov))
+    assert np.allclose((factor @ factor.T) / unit / unit[:, None], cov / unit / unit[:, None])
+    assert np.allclose(np.triu(factor[order] / unit[order][:, None], 1), 0)
+
+
+def test_whitened_distances_are_those_of_the_pseudo_inverse(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(80, 3)) @ rng.normal(size=(3, 3))
+    x = np.c_[x, x[:, 0] - 2 * x[:, 1], np.full(80, 7.0)]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>")
+    frame = space("mahalanobis", df.repartition(3))
+    assert frame.rank == 3
+    got = np.array([r.x for r in frame.apply(df).orderBy("id").collect()])
+    inverse = np.linalg.pinv(np.cov(x.T))
+    for i, j in ((0, 1), (5, 70), (33, 34)):
+        gap = x[i] - x[j]
+        assert np.linalg.norm(got[i] - got[j]) == pytest.approx(np.sqrt(gap @ inverse @ gap), rel=1e-7)
+    flat = space("mahalanobis", df.withColumn("x", F.transform("x", lambda v: v * 0)))
+    assert flat.rank == 0 and flat.apply(df).first()["x"] == [0.0]
+
+
+def test_units_do_not_matter(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(60, 3))
+    of = lambda scale: spark.createDataFrame(
+        [(i, v.tolist()) for i, v in enumerate(x * scale)], "id long, x array<double>")
+    a, b = of([1, 1, 1]), of([1e-7, 1, 1e8])
+    p, q = (np.array([r.x for r in space("mahalanobis", d).apply(d).orderBy("id").collect()]) for d in (a, b))
+    assert np.linalg.norm(p[0] - p[1]) == pytest.approx(np.linalg.norm(q[0] - q[1]), rel=1e-9)
