@@ -10,7 +10,7 @@ import pyarrow as pa
 PIECE = 1 << 18
 #: Merged counts wait until so many are together.
 PENDING = 400_000
-_LIMIT = 0x30000
+_LIMIT = 0x110000
 _tables: dict[str, np.ndarray] = {}
 
 

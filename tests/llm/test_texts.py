@@ -286,3 +286,14 @@ def test_license_labels_of_its_own(spark):
     }
     assert out == {1: "gpl,gpl-3.0", 2: "apache,apache-2.0", 3: "cc-by,cc-by-nc-4.0", 4: ""}
     assert license_scan.scan_licenses(docs_of(spark, []), ["doc_id"]).count() == 0
+
+
+def test_letters_of_the_last_planes_are_letters(spark):
+    """A text of letters beyond the second plane has a language."""
+    docs = spark.createDataFrame(
+        [(i, "the quick brown fox " * 5, "en") for i in range(9)] + [(50, chr(0x30000) * 8, "en"), (51, chr(0x31350), "en")],
+        "doc_id long, text string, lang string",
+    )
+    model = language_id.train(docs)
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(docs, model, ["doc_id"]).collect()}
+    assert got[50] == got[51] == "en"
