@@ -45,8 +45,8 @@ CODES, BLOCKS, PASSED = 10, 2, 6.0
 #: Vectors that pass a filter, and rows of a block: a tile compares two blocks.
 BUCKET, TILE = 256, 512
 SEED = 20240607
-#: Rows whose filters are found at once, and cosines held at once.
-STEP, CELLS = 512, 1 << 21
+#: Rows whose filters are found at once.
+STEP = 512
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
@@ -156,21 +156,19 @@ def _filter_scan(codes, width: int) -> Callable:
     return scan
 
 
-def connected(close: Callable[[np.ndarray, np.ndarray], np.ndarray], n: int) -> np.ndarray:
-    """For each of n rows the first row of its component; ``close(some, others)`` is a matrix.
-
-    A row is compared with rows not yet reached only, so rows that are all alike cost n cosines.
-    """
-    label = np.full(n, -1)
-    rest = np.arange(n)
-    while len(rest):
-        root, front, rest = rest[0], rest[:1], rest[1:]
-        label[root] = root
-        while len(front) and len(rest):
-            step = max(1, CELLS // len(rest))
-            reached = close(front[:step], rest).any(axis=0)
-            label[rest[reached]] = root
-            front, rest = np.r_[front[step:], rest[reached]], rest[~reached]
+def connected(near: np.ndarray) -> np.ndarray:
+    """For each row of a symmetric matrix of links the first row of its component."""
+    label = np.arange(len(near))
+    seen = ~near.any(axis=1)
+    for root in np.flatnonzero(~seen).tolist():
+        if seen[root]:
+            continue
+        seen[root] = True
+        front = np.array([root])
+        while len(front):
+            front = np.flatnonzero(near[front].any(axis=0) & ~seen)
+            seen[front] = True
+            label[front] = root
     return label
 
 
@@ -197,13 +195,12 @@ def _bucket_scan(threshold: float) -> Callable:
                 if z - a < 2:
                     continue
 
-                def close(x, y):
-                    # |<u, v> - <u', v'>| <= |u - u'| |v| + |u'| |v - v'|, and |u'| <= 1 + |u - u'|.
-                    cosine = (small[a + x] @ small[a + y].T) * (scale[a + x][:, None] * scale[a + y])
-                    slack = error[a + x][:, None] + (1 + error[a + x])[:, None] * error[a + y] + 1e-4
-                    return cosine + slack >= threshold
-
-                label = connected(close, z - a)
+                # |<u, v> - <u', v'>| <= |u - u'| |v| + |u'| |v - v'|, and |u'| <= 1 + |u - u'|.
+                cosine = (small[a:z] @ small[a:z].T) * (scale[a:z, None] * scale[a:z])
+                slack = error[a:z, None] + (1 + error[a:z, None]) * error[a:z] + 1e-4
+                near = cosine + slack >= threshold
+                np.fill_diagonal(near, False)
+                label = connected(near | near.T)
                 moved = np.flatnonzero(label != np.arange(z - a))
                 left.append(ids[a + moved])
                 right.append(ids[a + label[moved]])
@@ -227,20 +224,13 @@ def _link_scan(threshold: float, width: int) -> Callable:
             links, to = np.zeros(len(ids), np.int64), ids.copy()
             i, j = table.column("i").to_numpy(), table.column("j").to_numpy()
             for a, z in _groups(table):
-                two = i[a] != j[a]
-
-                def close(x, y):
-                    near = u[a + x] @ u[a + y].T >= threshold
+                near = u[a:z] @ u[a:z].T >= threshold
+                np.fill_diagonal(near, False)
+                if i[a] != j[a]:
                     # A tile of two blocks counts pairs between them only.
-                    return near & (own[a + x][:, None] != own[a + y]) if two else near
-
-                everyone = np.arange(z - a)
-                for at in range(0, z - a, max(1, CELLS // (z - a))):
-                    part = everyone[at : at + max(1, CELLS // (z - a))]
-                    near = close(part, everyone)
-                    near[np.arange(len(part)), part] = False
-                    links[a + part] = near @ size[a:z]
-                to[a:z] = ids[a + connected(close, z - a)]
+                    near &= own[a:z, None] != own[a:z]
+                links[a:z] = near @ size[a:z]
+                to[a:z] = ids[a + connected(near)]
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(links), pa.array(to)], ["id", "links", "to"])
 
     return scan
