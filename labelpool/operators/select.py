@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelpool.operators.features import family_filter, union_features
-from labelpool.plans.cuts import nth_texts, quantiles
+from labelpool.plans.cuts import nth_texts, numbered, quantiles
 from labelpool.plans.lookup import skew_lookup
 from labelpool.session import materialise
 
@@ -207,6 +207,13 @@ def rank_features(scores: DataFrame) -> DataFrame:
     return scores.orderBy(F.col("score").desc_nulls_last(), "feature")
 
 
+def number_features(scores: DataFrame) -> DataFrame:
+    """Add ``rank`` from 1, in the order of ``rank_features`` with scores equal up to rounding as
+    ties; numbered by ranges, so no task orders all features."""
+    order = [F.round("score", SCORE_DIGITS).desc_nulls_last(), F.col("feature")]
+    return numbered(scores, order, "rank").withColumn("rank", F.col("rank") + 1)
+
+
 def keep_features(features: DataFrame, kept: DataFrame) -> DataFrame:
     """Rows of the kept features; very frequent features do not pile up in one task.
 

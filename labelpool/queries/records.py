@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException, PySparkException, PySparkRuntimeError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelpool.functions.text import find
+from labelpool.functions.text import find, tokens
+from labelpool.functions.vectors import distance, guarded
 from labelpool.operators import annotate, extract
 from labelpool.operators.features import novelty_sum, offset_gap, one_hot, pair_text
 from labelpool.operators.splits import binarise, binarise_sorted, stratified_folds
 from labelpool.queries.pool import rounded
 from labelpool.session import new_table_dir
 from labelpool.sources.readers import read_lines
-from labelpool.sources.writers import append_annotations
+from labelpool.sources.writers import append_annotations, write_new, write_once
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -342,7 +344,68 @@ def label_texts(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def create_once(spark: SparkSession, sf: str) -> DataFrame:
+    """Results are written once: a second write is refused, and a split that is there is read."""
+    rows = table(spark, sf, "labels").select("doc_id", "quality")
+    refused, path = False, new_table_dir(spark, "results")
+    write_new(rows.where("quality = 1"), path)
+    try:
+        write_new(rows, path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_ALREADY_EXISTS":
+            raise
+        refused = True
+    first = write_once(rows, new_table_dir(spark, "split")).count()
+    kept = write_once(rows, path)
+    return kept.agg(F.count(F.lit(1)).alias("kept")).select(
+        "kept", F.lit(first).alias("first"), F.lit(refused).alias("refused")
+    )
+
+
+def finite_guard(spark: SparkSession, sf: str) -> DataFrame:
+    """Cosine distances to the first component's axis; rows set to zero have none, and fail a job
+    that is guarded."""
+    x = F.col("embedding").cast("array<double>")
+    axis = F.transform(x, lambda v, i: F.when(i == 0, 1.0).otherwise(0.0))
+    zeroed = F.transform(x, lambda v: F.when(F.col("vec_id") % 50 == 0, 0.0).otherwise(v))
+    rows = table(spark, sf, "embeddings").select(zeroed.alias("x"), axis.alias("axis"))
+    d = distance("cosine", F.col("x"), F.col("axis"))
+    undefined = d.isNull() | F.isnan(d)
+    failed = False
+    try:
+        rows.agg(F.sum(guarded(d, "the axis"))).collect()
+    except (PySparkException, PySparkRuntimeError) as error:
+        if "undefined distance in the axis" not in str(error):
+            raise
+        failed = True
+    clean = rows.where(~undefined).agg(F.count(guarded(d, "the axis")).alias("defined"))
+    return clean.select(
+        "defined", F.lit(rows.where(undefined).count()).alias("undefined"), F.lit(failed).alias("failed")
+    )
+
+
+def token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """The library's own tokens of part names, which are ASCII, so that all engines agree on them."""
+    text = F.concat_ws("-", "p_name", "p_brand")
+    words = table(spark, sf, "part").select(F.explode(tokens(text)).alias("token"))
+    return words.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+
+
 QUERIES = {
+    "create_once": (
+        create_once,
+        "SELECT count(*) FILTER (quality = 1) AS kept, count(*)::INTEGER AS first, true AS refused FROM labels",
+    ),
+    "finite_guard": (
+        finite_guard,
+        "SELECT count(*) FILTER (vec_id % 50 <> 0) AS defined, (count(*) FILTER (vec_id % 50 = 0))::INTEGER AS undefined,"
+        " true AS failed FROM embeddings",
+    ),
+    "token_counts": (
+        token_counts,
+        r"""SELECT token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(
+  lower(p_name || '-' || p_brand), '\b[\w-][\w-]+\b')) AS token FROM part) GROUP BY token""",
+    ),
     "extract_predications": (extract_predications, EXTRACT_SQL),
     "extract_first_rows": (extract_first_rows, EXTRACT_SQL.replace("LIMIT 1000000", "LIMIT 2000")),
     "disjunctive_join": (

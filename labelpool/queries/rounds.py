@@ -16,7 +16,7 @@ from labelpool.operators.strategies import KCenter, get_strategy
 from labelpool.queries.pool import POOL_SQL, SCORED_SQL, auc_sql, model_sql, part, roles, rounded, vectors
 from labelpool.session import materialise, new_table_dir
 from labelpool.sources.readers import read_results
-from labelpool.sources.writers import write_curves
+from labelpool.sources.writers import write_choices, write_curves
 
 FOLDS, ROUNDS, BATCH = 3, 3, 5
 STRATEGIES = ("entropy", "margin", "random")
@@ -46,6 +46,19 @@ def acquire_rounds(spark: SparkSession, sf: str) -> DataFrame:
     return choices.select("fold", F.col("draw").cast("int").alias("draw"), "id", "y")
 
 
+def choices_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """The choice order as it is stored by strategy and iteration, read again."""
+    _, choices = fold_rounds(folded(spark, sf), "entropy", FOLDS, ROUNDS, BATCH)
+    path = new_table_dir(spark, "choices")
+    tagged = choices.select(
+        F.lit("entropy").alias("strategy"), F.lit(1).alias("iteration"), "fold",
+        F.col("draw").cast("int").alias("draw"), "id", "y",
+    )
+    write_choices(tagged, path)
+    schema = "strategy string, iteration int, fold int, draw int, id long, y int"
+    return read_results(spark, path, [1], schema=schema).select("strategy", "iteration", "fold", "draw", "id", "y")
+
+
 def mean_curve(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(evaluate.mean_curve(curves(spark, sf)), "auc")
 
@@ -306,6 +319,10 @@ PARTIAL_SQL = (
 
 QUERIES = {
     "acquire_rounds": (acquire_rounds, ONE_SQL + " SELECT fold, draw, id, y FROM choices"),
+    "choices_round_trip": (
+        choices_round_trip,
+        ONE_SQL + " SELECT 'entropy' AS strategy, CAST(1 AS INTEGER) AS iteration, fold, draw, id, y FROM choices",
+    ),
     "learning_curve": (
         learning_curve,
         ONE_SQL + " SELECT fold, draw, labeled, round(auc, 6) AS auc FROM curve",

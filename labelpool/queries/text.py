@@ -26,6 +26,7 @@ from labelpool.operators.select import (
     f_p_value,
     fold_scores,
     fold_selection,
+    number_features,
     rank_features,
     select_features,
     top_percentile,
@@ -166,6 +167,23 @@ def ranked(spark: SparkSession, sf: str) -> DataFrame:
     return best.select("feature", "score", chi2_p_value(F.col("score")).alias("p"))
 
 
+def feature_ranking(spark: SparkSession, sf: str) -> DataFrame:
+    """Ranks of the best ten percent of all terms, and whether the written file gives their scores
+    back to its six digits."""
+    found = materialise(chi2_scores(weights(spark, sf), labels(spark, sf)), "scores")
+    best = materialise(number_features(top_percentile(found, 10)), "best")
+    path = new_table_dir(spark, "ranked")
+    writers.write_ranked_features(
+        rank_features(best).withColumn("p", chi2_p_value(F.col("score"))), path
+    )
+    parts = F.split("value", " :: ")
+    back = readers.read_lines(spark, path).select(parts[0].alias("feature"), parts[1].cast("double").alias("_back"))
+    same = F.abs(F.col("_back") - F.col("score")) <= 1e-5 * F.col("score")
+    return rounded(
+        best.join(back, "feature").select("feature", "rank", "score", same.alias("written")), "score", digits=5
+    )
+
+
 def ranked_anova(spark: SparkSession, sf: str) -> DataFrame:
     truth = labels(spark, sf)
     found = materialise(anova_scores(weights(spark, sf), truth), "scores")
@@ -518,6 +536,12 @@ QUERIES = {
     "leak_free_auc": (leak_free_auc, LEAK_SQL),
     "ranked_features": (ranked, None),
     "ranked_features_anova": (ranked_anova, None),
+    "feature_ranking": (
+        feature_ranking,
+        WITH + "," + chi2_sql("tfidf", "c") + "," + top_sql("c", 10, "k")
+        + " SELECT feature, row_number() OVER (ORDER BY round(score, 9) DESC, feature) AS rank,"
+        + " round(score, 5) AS score, true AS written FROM c WHERE feature IN (SELECT feature FROM k)",
+    ),
     "combined_features": (combined, COMBINED_SQL),
     "matrix_round_trip": (
         matrix_round_trip,
