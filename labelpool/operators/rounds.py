@@ -8,6 +8,7 @@ lost executor costs one round at most.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -23,12 +24,16 @@ from labelpool.operators.moments import Discriminant, Sums, class_moments, margi
 from labelpool.operators.pool import with_draw
 from labelpool.operators.splits import split_u_l, test_rows, training_rows, unlabeled_size
 from labelpool.operators.strategies import TIE_DIGITS, PoolState, QueryStrategy, select_batch
-from labelpool.plans.cuts import hash_cuts
+from labelpool.plans.cuts import first_of_groups, hash_cuts
 from labelpool.session import materialise, new_table_dir
 
 CURVE = "draw int, labeled long, auc double"
 CHOICES = "draw int, id long, y int"
 
+# Up to so many rows a fold and task, a ranking keeps only the best; beyond, Spark's own limit of
+# a rank would send whole folds to one task.
+WINDOW_ROWS = 1000
+
 
 @dataclass
 class Run:
@@ -227,12 +232,16 @@ def fold_rounds(
             left = _score_folds(left, history[-folds:], ["fold"])
             key = F.round(value, TIE_DIGITS)
             order = [key.desc_nulls_last() if largest else key.asc_nulls_last(), F.col("id")]
-        rank = F.row_number().over(Window.partitionBy("fold").orderBy(*order))
+        if batch_size > WINDOW_ROWS and value is not None:
+            # NULL scores come last, the largest first.
+            sign = F.coalesce(-key if largest else key, F.lit(math.inf))
+            chosen = _large_batch(left, sign, batch_size)
+        else:
+            rank = F.row_number().over(Window.partitionBy("fold").orderBy(*order))
+            chosen = left.withColumn("draw", rank - 1).where(F.col("draw") < batch_size)
         (
-            left.withColumn("draw", rank)
-            .where(F.col("draw") <= batch_size)
-            .select(
-                "fold", F.lit(r).alias("round"), (F.col("draw") - 1).alias("draw"), "id", "y", "x"
+            chosen.select(
+                "fold", F.lit(r).alias("round"), F.col("draw").cast("int").alias("draw"), "id", "y", "x"
             )
             .write.partitionBy("round")
             .mode("append")
@@ -255,6 +264,14 @@ def fold_rounds(
     return curves, picked.select("fold", in_run, "id", "y")
 
 
+def _large_batch(left: DataFrame, key: Column, size: int) -> DataFrame:
+    """The batch of every fold with ``draw``, cut without ordering a fold in one task: only folds,
+    ids and keys are written and counted, then the rows that were drawn are looked up."""
+    keys = materialise(left.select("fold", "id", key.alias("_key")), "round-keys")
+    drawn = first_of_groups(keys, "fold", "_key", "id", size).select("fold", "id", "draw")
+    return left.join(drawn, ["fold", "id"])
+
+
 def _sums_by_fold(rows: DataFrame, folds: int) -> dict[int, Sums]:
     found: dict[int, list] = {f: [] for f in range(folds)}
     for row in class_moments(rows, ["fold"]).collect():

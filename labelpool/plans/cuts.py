@@ -204,26 +204,32 @@ def nth_texts(
 def order_values(
     df: DataFrame,
     column: str,
-    ranks: Callable[[int], Sequence[int]],
+    ranks: Callable[[int], Sequence[int]] | dict[object, Sequence[int]],
     by: Column | None = None,
     step: float = 1 / 4096,
 ) -> dict[object, tuple[int, list[float]]]:
-    """Row count and the values at the 1-based ranks, per group of ``by`` (few groups).
+    """Row count and the values at the 1-based ranks, per group of ``by`` (few groups). Ranks are
+    a function of the group's row count, or given for each group that is asked for.
 
     By radix refinement, for all groups together: rows are counted by sign and exponent of the
     value, then inside the bucket that holds a rank by ``1 / step`` parts of its range, and so on
     until all values of the bucket are equal. A double has 52 further bits, so with 4,096 parts
     that takes five more counts at most; each collects a few numbers for each part, and no value
-    is ever sorted. Infinite values are values; NULL and NaN must not occur.
+    is ever sorted. Infinite values are values; NULL and NaN must not occur. Whole numbers stay
+    whole.
     """
     v = F.col("v")
-    size = F.floor(F.log2(F.abs(v))).cast("long") + 2000
+    size = F.floor(F.log2(F.abs(v.cast("double")))).cast("long") + 2000
     coarse = (
         F.when(v == 0, 0)
-        .when(F.abs(v) == math.inf, F.when(v > 0, 4000).otherwise(-4000))
+        .when(F.abs(v.cast("double")) == math.inf, F.when(v > 0, 4000).otherwise(-4000))
         .otherwise(F.when(v > 0, size).otherwise(-size))
     )
-    keyed = df.select((F.lit(0) if by is None else by).alias("g"), F.col(column).cast("double").alias("v"))
+    whole = df.schema[column].dataType.typeName() in ("long", "integer")
+    keyed = df.select(
+        (F.lit(0) if by is None else by).alias("g"),
+        (F.col(column) if whole else F.col(column).cast("double")).alias("v"),
+    )
 
     def count(rows: DataFrame, *keys: Column) -> dict[object, list]:
         out: dict[object, list] = {}
@@ -234,7 +240,10 @@ def order_values(
 
     first = count(keyed, F.col("g"), coarse.alias("b"))
     totals = {g: sum(n for *_, n in buckets) for g, buckets in first.items()}
-    wanted = {g: list(ranks(n)) for g, n in totals.items()}
+    if isinstance(ranks, dict):
+        wanted = {g: list(rs) for g, rs in ranks.items() if g in totals}
+    else:
+        wanted = {g: list(ranks(n)) for g, n in totals.items()}
     # (group, rank) -> (smallest, largest value of its bucket, rank inside)
     spots = {(g, r): _spot(first[g], r) for g, rs in wanted.items() for r in rs}
     while True:
@@ -285,3 +294,43 @@ def quantile(df: DataFrame, column: str, q: float, step: float = 1 / 4096) -> tu
     if not found:
         raise ValueError("no rows")
     return found[0]
+
+
+def first_of_groups(df: DataFrame, group: str, key: str, tie: str, limit: int) -> DataFrame:
+    """The first ``limit`` rows of every group in the order of ``key`` and ``tie``, with ``draw``
+    from 0, however large limit and groups are.
+
+    ``key`` is a number without NULL or NaN, ``tie`` a whole number that is unique in a group;
+    there are few groups. The cuts are found by counts, the rows that pass are numbered by ranges,
+    so no task orders a group. ``df`` is read several times: pass a written table.
+    """
+    g, k, t = F.col(group), F.col(key), F.col(tie)
+    cuts = order_values(df, key, lambda n: [min(limit, n)], g)
+    if not cuts or limit < 1:
+        return df.where(F.lit(False)).withColumn("draw", F.lit(0).cast("bigint"))
+
+    def of(values: dict, kind: str) -> Column:
+        out = F.lit(None).cast(kind)
+        for name, value in values.items():
+            out = F.when(g == F.lit(name), F.lit(value).cast(kind)).otherwise(out)
+        return out
+
+    cut = of({name: value for name, (_, (value,)) in cuts.items()}, df.schema[key].dataType.simpleString())
+    counts = df.groupBy(g.alias("g")).agg(
+        F.count_if(k < cut).alias("below"), F.count_if(k == cut).alias("ties")
+    )
+    room = {}
+    for row in counts.collect():
+        left = min(limit, cuts[row["g"]][0]) - row["below"]
+        if left < row["ties"]:
+            room[row["g"]] = [left]
+    last = {}
+    if room:
+        found = order_values(df.where(k == cut), tie, room, g)
+        last = {name: value for name, (_, (value,)) in found.items()}
+    fits = (k < cut) | ((k == cut) & (of(last, "long").isNull() | (t <= of(last, "long"))))
+    placed = numbered(df.where(fits), [group, key, tie], "draw")
+    before, offset = {}, 0
+    for name in sorted(cuts):
+        before[name], offset = offset, offset + min(limit, cuts[name][0])
+    return placed.withColumn("draw", F.col("draw") - of(before, "long"))

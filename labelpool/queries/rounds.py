@@ -19,6 +19,7 @@ from labelpool.sources.readers import read_results
 from labelpool.sources.writers import write_choices, write_curves
 
 FOLDS, ROUNDS, BATCH = 3, 3, 5
+ITEM_COLUMNS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
 STRATEGIES = ("entropy", "margin", "random")
 
 
@@ -46,6 +47,21 @@ def acquire_rounds(spark: SparkSession, sf: str) -> DataFrame:
     return choices.select("fold", F.col("draw").cast("int").alias("draw"), "id", "y")
 
 
+def acquire_rounds_large(spark: SparkSession, sf: str) -> DataFrame:
+    """Batches of 5,000 order lines a fold, which no task orders as a whole. Items of one order
+    line are one row with the largest of their values."""
+    items = (
+        spark.read.parquet(f"{sf}/lineitem.parquet")
+        .groupBy((F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("long").alias("id"))
+        .agg(
+            F.array(*[F.max(F.col(c).cast("double")) for c in ITEM_COLUMNS]).alias("x"),
+            F.max((F.col("l_returnflag") == "R").cast("int")).alias("y"),
+        )
+    )
+    _, choices = fold_rounds(stratified_folds(items, FOLDS, 1), "entropy", FOLDS, 2, 5000)
+    return choices.select("fold", F.col("draw").cast("int").alias("draw"), "id", "y")
+
+
 def choices_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     """The choice order as it is stored by strategy and iteration, read again."""
     _, choices = fold_rounds(folded(spark, sf), "entropy", FOLDS, ROUNDS, BATCH)
@@ -196,7 +212,7 @@ ORDERS = {
 }
 
 
-def rounds_sql(strategy: str, rounds: int, seed: int = 0, folded_name: str = "folded", p: str = "") -> str:
+def rounds_sql(strategy: str, rounds: int, seed: int = 0, folded_name: str = "folded", p: str = "", batch: int = BATCH) -> str:
     """CTEs of the unrolled rounds; ends in {p}curve and {p}choices."""
     order = ORDERS[strategy].format(seed=seed)
     out = f"""
@@ -214,14 +230,14 @@ def rounds_sql(strategy: str, rounds: int, seed: int = 0, folded_name: str = "fo
   FROM {p}u{r} u JOIN {p}m{r} m USING (fold)),
 {p}b{r} AS (
   SELECT *, row_number() OVER (PARTITION BY fold ORDER BY {order}) AS rn FROM {p}s{r}
-  QUALIFY rn <= {BATCH}),
+  QUALIFY rn <= {batch}),
 {p}l{r + 1} AS (SELECT fold, id, x, y FROM {p}l{r} UNION ALL SELECT fold, id, x, y FROM {p}b{r}),
 {p}u{r + 1} AS (SELECT u.* FROM {p}u{r} u ANTI JOIN {p}b{r} b ON u.fold = b.fold AND u.id = b.id)"""
     models = " UNION ALL ".join(
         f"SELECT CAST({r} AS INTEGER) AS draw, fold, w, b, labeled FROM {p}m{r}" for r in range(rounds)
     )
     picks = " UNION ALL ".join(
-        f"SELECT fold, CAST({r * BATCH} + rn - 1 AS INTEGER) AS draw, id, y FROM {p}b{r}" for r in range(rounds)
+        f"SELECT fold, CAST({r * batch} + rn - 1 AS INTEGER) AS draw, id, y FROM {p}b{r}" for r in range(rounds)
     )
     return (
         out
@@ -319,6 +335,16 @@ PARTIAL_SQL = (
 
 QUERIES = {
     "acquire_rounds": (acquire_rounds, ONE_SQL + " SELECT fold, draw, id, y FROM choices"),
+    "acquire_rounds_large": (
+        acquire_rounds_large,
+        "WITH base AS (SELECT l_orderkey * 8 + l_linenumber AS id, ["
+        + ", ".join(f"max({c}::DOUBLE)" for c in ITEM_COLUMNS)
+        + "] AS x, max(CAST(l_returnflag = 'R' AS INTEGER)) AS y FROM lineitem GROUP BY id),"
+        + folded_sql(1)
+        + ","
+        + rounds_sql("entropy", 2, batch=5000)
+        + " SELECT fold, draw, id, y FROM choices",
+    ),
     "choices_round_trip": (
         choices_round_trip,
         ONE_SQL + " SELECT 'entropy' AS strategy, CAST(1 AS INTEGER) AS iteration, fold, draw, id, y FROM choices",

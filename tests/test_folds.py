@@ -18,7 +18,9 @@ from labelpool.operators.select import (
     training_sums,
     SCORERS,
 )
-from labelpool.plans.cuts import nth_texts, order_values, quantiles
+from labelpool.operators import rounds
+from labelpool.operators.rounds import fold_rounds
+from labelpool.plans.cuts import first_of_groups, nth_texts, order_values, quantiles
 
 LONG = "id long, feature string, value double"
 
@@ -171,3 +173,34 @@ def test_nth_texts_of_groups(spark):
     for small in (1, 5, 10_000):
         ranks = {0: 1, 1: 17, 2: len(groups[2])}
         assert nth_texts(df, "t", ranks, F.col("g"), small) == {g: groups[g][r - 1] for g, r in ranks.items()}
+
+
+def test_first_rows_of_groups(spark):
+    """Heavy ties, infinite keys, large ids, groups smaller than the limit."""
+    rng = random.Random(6)
+    rows = []
+    for g, n in ((0, 300), (1, 40), (2, 3)):
+        ids = rng.sample(range(2**62, 2**62 + 5000), n)
+        rows += [(g, rng.choice([1.0, 1.0, 1.0, 2.5, -3.0, math.inf, rng.random()]), i) for i in ids]
+    df = spark.createDataFrame(rows, "fold int, k double, id long").repartition(5)
+    for limit in (1, 2, 37, 120, 1000):
+        got = sorted((r.fold, r.draw, r.k, r.id) for r in first_of_groups(df, "fold", "k", "id", limit).collect())
+        want = []
+        for g in range(3):
+            best = sorted((k, i) for f, k, i in rows if f == g)[:limit]
+            want += [(g, d, k, i) for d, (k, i) in enumerate(best)]
+        assert got == want
+    assert first_of_groups(df.limit(0), "fold", "k", "id", 5).count() == 0
+
+
+def test_large_batches_are_those_of_the_ranking(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(150, 3)).round(1)
+    rows = [(i, v.tolist(), int(v.sum() + rng.normal() > 0), i % 3) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "id long, x array<double>, y int, fold int")
+    for name in ("entropy", "simple_margin"):
+        want = fold_rounds(df, name, 3, 2, 20)[1].collect()
+        with monkeypatch.context() as m:
+            m.setattr(rounds, "WINDOW_ROWS", 5)
+            got = fold_rounds(df, name, 3, 2, 20)[1].collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, want))
