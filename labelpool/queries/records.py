@@ -12,9 +12,10 @@ from labelpool.operators import annotate, extract
 from labelpool.operators.features import novelty_sum, offset_gap, one_hot, pair_text
 from labelpool.operators.splits import binarise, binarise_sorted, stratified_folds
 from labelpool.queries.pool import rounded
-from labelpool.session import new_table_dir
+from labelpool.session import materialise, new_table_dir
 from labelpool.sources.readers import read_lines
 from labelpool.sources.writers import append_annotations, write_new, write_once
+from labelpool.streaming.answers import ArrivalRates, LatestFit
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -391,7 +392,83 @@ def token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return words.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 
+def arrivals(spark: SparkSession, sf: str, lag: str, schema: list[str]) -> DataFrame:
+    """``events`` as a stream of three files in order of arrival, ``lag`` after the event.
+
+    Every fifth event is delayed by the lag, and every seventh arrives a second time, delayed.
+    """
+    events = table(spark, sf, "events").withColumns(
+        {
+            "answer_id": F.col("event_id"),
+            "id": F.col("user_id"),
+            "at": F.col("ts").cast("timestamp"),
+            "kind": F.col("event_type"),
+            "y": F.when(F.col("event_type") == "error", None).otherwise(
+                (F.col("event_type") == "click").cast("int")
+            ),
+            "x": F.array("value", F.length("props").cast("double")),
+        }
+    )
+    delayed = F.col("at") + F.expr(f"INTERVAL {lag}")
+    once = events.withColumn("seen", F.when(F.col("event_id") % 5 == 0, delayed).otherwise(F.col("at")))
+    twice = events.where("event_id % 7 = 0").withColumn("seen", delayed)
+    sent = materialise(once.unionByName(twice).select("seen", *schema), "arrivals")
+    lo, hi = sent.agg(F.min(F.unix_timestamp("seen")), F.max(F.unix_timestamp("seen"))).first()
+    third = F.floor((F.unix_timestamp("seen") - F.lit(lo or 0)) * 3 / F.lit((hi or 0) - (lo or 0) + 1))
+    sent = sent.withColumn("part", F.coalesce(third, F.lit(2)))
+    folder = new_table_dir(spark, "feed")
+    for part in range(3):
+        sent.where(F.col("part") == part).select(*schema).coalesce(4).write.mode("append").parquet(folder)
+    kinds = sent.select(*schema).schema
+    return spark.readStream.schema(kinds).option("maxFilesPerTrigger", 4).parquet(folder)
+
+
+def ended(query) -> None:
+    query.awaitTermination()
+
+
+def stream_arrival_rates(spark: SparkSession, sf: str) -> DataFrame:
+    """Events by day and type, late and repeated ones counted once."""
+    rates = ArrivalRates(new_table_dir(spark, "rates"), "1 day", "3 hours")
+    stream = arrivals(spark, sf, "2 HOURS", ["answer_id", "at", "kind"])
+    ended(rates.start(stream, new_table_dir(spark, "stream"), available_now=True))
+    return rates.counts(spark).select(
+        F.date_format("start", "yyyy-MM-dd").alias("day"), F.col("kind").alias("event_type"), "n"
+    )
+
+
+def stream_latest_model(spark: SparkSession, sf: str) -> DataFrame:
+    """Sums of the model over every user's latest answer; errors withdraw the user's label."""
+    fit = LatestFit(new_table_dir(spark, "moments"))
+    stream = arrivals(spark, sf, "30 DAYS", ["answer_id", "id", "at", "y", "x"])
+    ended(fit.start(stream, new_table_dir(spark, "stream"), available_now=True))
+    sums = fit.model(spark).sums
+    rows = [
+        (y, int(sums.n[y]), i, float(sums.s1[y][i]), float(sums.s2[y][i]))
+        for y in (0, 1) if sums.n[y] for i in range(2)
+    ]
+    out = spark.createDataFrame(rows, "y int, n bigint, i int, s1 double, s2 double")
+    return rounded(out, "s1", "s2", digits=4)
+
+
+STREAM_LATEST_SQL = """
+WITH held AS (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r
+  FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+labels AS (
+  SELECT (event_type = 'click')::INTEGER AS y, [value, length(props)::DOUBLE] AS x
+  FROM held WHERE r = 1 AND event_type <> 'error'),
+cells AS (SELECT y, unnest([0, 1]) AS i, unnest(x) AS v FROM labels)
+SELECT y, count(*) AS n, i, round(sum(v), 4) AS s1, round(sum(v * v), 4) AS s2 FROM cells GROUP BY y, i"""
+
+
 QUERIES = {
+    "stream_arrival_rates": (
+        stream_arrival_rates,
+        "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events"
+        " WHERE ts IS NOT NULL GROUP BY ALL",
+    ),
+    "stream_latest_model": (stream_latest_model, STREAM_LATEST_SQL),
     "create_once": (
         create_once,
         "SELECT count(*) FILTER (quality = 1) AS kept, count(*)::INTEGER AS first, true AS refused FROM labels",
