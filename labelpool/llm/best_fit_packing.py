@@ -1,7 +1,7 @@
 """Best-fit packing of documents into bins under conflicts.
 
-Documents are dealt into shards of about SHARD rows by a hash of their id, and every shard is
-packed by itself, so a task holds a bounded number of lengths and never a text. Inside a shard the
+Documents are dealt into shards of about SHARD rows by a hash, equal rows round the shards, and
+every shard is packed by itself, so a task holds a bounded number of lengths and never a text. Inside a shard the
 longest document comes first. Bins are kept ordered by what is left in them; each carries one
 bitmap of the sources and one of the duplicate clusters it holds. From the tightest bin that a
 document fits in, the search goes on to the next larger rest until a bin shares neither source nor
@@ -26,6 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SHARD = 1000
+#: Copies of one row that are unfolded together.
+COPIES = 10_000
 CAPACITY = 2048
 
 
@@ -59,6 +61,29 @@ def best_fit(items: list[tuple[int, int | None, int | None]], capacity: int) ->
     return out
 
 
+def _dealt(rows: DataFrame, shards: int) -> DataFrame:
+    """``rows`` with their ``shard``: equal rows are counted and dealt round, one after the other.
+
+    The count is a partial sum before the shuffle, and a run of copies is unfolded block by block,
+    so neither a task nor a shard gets all copies of a row. Nothing depends on the order of rows.
+    """
+    kinds = ["id", "source", "cluster", "n"]
+    blocks = F.sequence(F.lit(0).cast("bigint"), F.expr("(copies - 1) div %d" % COPIES))
+    first = F.col("block") * COPIES
+    copies = F.sequence(first, F.least(first + COPIES, F.col("copies")) - 1)
+    return (
+        rows.groupBy(*kinds)
+        .agg(F.count(F.lit(1)).alias("copies"))
+        .withColumn("block", F.explode(blocks))
+        .repartition(*kinds, "block")
+        .withColumn("copy", F.explode(copies))
+        .select(
+            *kinds,
+            F.pmod(F.xxhash64(*kinds) % shards + F.col("copy"), F.lit(shards)).cast("int").alias("shard"),
+        )
+    )
+
+
 def pack(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -84,7 +109,7 @@ def pack(
         F.greatest(F.lit(0), n_words(F.col(text_col)) if length is None else length).cast("bigint").alias("n"),
     )
     shards = max(1, -(-docs.count() // shard_rows))
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("id", "cluster"), F.lit(shards)).cast("int"))
+    dealt = _dealt(rows, shards)
 
     def packed(table: pa.Table) -> pa.Table:
         ids, sources, clusters, lengths, shard = (c.to_pylist() for c in table.columns)

@@ -272,6 +272,24 @@ def test_best_fit_is_the_tightest_compatible_bin():
         assert best_fit_packing.best_fit(items, 60) == brute_fit(items, 60)
 
 
+def test_equal_rows_are_dealt_round_the_shards(spark, monkeypatch):
+    monkeypatch.setattr(best_fit_packing, "COPIES", 300)
+    docs = spark.range(20_000).select(
+        F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast("string").alias("text"), F.lit("s").alias("source")
+    )
+    copies = spark.range(500).select(F.lit(7).cast("bigint").alias("doc_id"), F.lit("a b").alias("text"), F.lit(None).alias("source"))
+    out = best_fit_packing.pack(docs.union(copies), shard_rows=1000)
+    sizes = {(r.doc_id, r.shard): r.n for r in out.groupBy("doc_id", "shard").agg(F.count("*").alias("n")).collect()}
+    # 20,500 rows make 21 shards; no kind of row has more than its even share in one.
+    assert sum(n for (i, _), n in sizes.items() if i is None) == 20_000
+    assert sum(n for (i, _), n in sizes.items() if i == 7) == 500
+    assert max(n for (i, _), n in sizes.items() if i is None) == -(-20_000 // 21)
+    assert max(n for (i, _), n in sizes.items() if i == 7) == -(-500 // 21)
+    # Copies share no bin.
+    held = out.where("doc_id = 7").groupBy("shard", "bin").count()
+    assert held.where("count > 1").count() == 0
+
+
 def test_pack(spark):
     rng = random.Random(7)
     rows = [(i, words(rng, rng.randrange(0, 300)), "s%d" % (i % 3 and i % 40)) for i in range(600)]

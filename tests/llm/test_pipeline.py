@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 
 DOC = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -75,3 +77,18 @@ def test_language_and_quality_stages_judge_rows_without_an_id(spark):
     assert (None, first.text) in out and (first.doc_id, first.text) in out
     out = kept(corpus_pipeline.quality, spark, full)
     assert (None, odd[0][1]) not in out and (first.doc_id, odd[1][1]) not in out
+
+
+def test_extra_columns_of_any_name_pass_through(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    names = ["_key", "_id", "_word", "_bits", "_maybe", "_text", "_row", "_h", "_salt", "any", "rows", "id", "key", "kept",
+             "known", "lang_pred", "score", "n", "language", "limit", "a.b"]
+    wide = docs.select("*", *[F.concat(F.lit(n), F.col("doc_id").cast("string")).alias(n) for n in names])
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        plain, out = stage(spark, docs, SF), stage(spark, wide, SF)
+        assert out.columns == wide.columns, name
+        got = {r["doc_id"]: r for r in out.collect()}
+        assert sorted(got) == sorted(r.doc_id for r in plain.collect()), name
+        assert all(r[n] == f"{n}{i}" for i, r in got.items() for n in names), name
+    packed = corpus_pipeline.packing(spark, wide, SF)
+    assert sorted(map(tuple, packed.collect())) == sorted(map(tuple, corpus_pipeline.packing(spark, docs, SF).collect()))
