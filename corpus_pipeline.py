@@ -4,7 +4,7 @@ Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; ``run`` writ
 as Parquet to the shared folder and reads it again for the next one. All stages but the last return
 the columns of ``documents``, so what a stage decides is which rows go on. Rows with a NULL id
 are judged like others, and a verdict holds for the id and the text together, so rows that merely
-share an id are told apart. Both deduplications keep one of the rows that agree in id and text.
+share an id are told apart. Extra columns of any name pass through unchanged. Both deduplications keep one of the rows that agree in id and text.
 The operators say what else is defined.
 """
 
@@ -50,19 +50,15 @@ def _only(docs: DataFrame, judged: DataFrame, key: Column, single: bool = False)
     the smallest by all columns.
     """
     judged = materialise(judged.withColumnRenamed("_key", "_id"), "judged")
-    keyed = docs.withColumn("_key", key)
+    # A row travels as one struct, so its columns may have any names.
+    keyed = docs.select(F.struct("*").alias("_row"), key.alias("_key"))
     left = without_ids(keyed, judged.where("NOT any").select("_id"), "_key")
     again = judged.where("any AND rows > 1").select("_id")
     if single and not again.isEmpty():
         # A partial minimum before the shuffle makes a row that stands very often cheap.
-        one = (
-            with_ids(left, again, "_key")
-            .groupBy("_key")
-            .agg(F.min(F.struct(*docs.columns)).alias("row"))
-            .select("row.*")
-        )
-        return without_ids(left, again, "_key").select(*docs.columns).union(one)
-    return left.select(*docs.columns)
+        one = with_ids(left, again, "_key").groupBy("_key").agg(F.min("_row").alias("_row"))
+        left = without_ids(left, again, "_key").select("_row").union(one.select("_row"))
+    return left.select("_row.*")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,10 +68,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     nobody taught. What it usually knows is the median over all rows that bear its name and are
     recognised as it. A text without a window of letters gives no evidence and goes.
     """
-    model = language_id.train(docs)
+    named = docs.select("doc_id", "text", "lang")
+    model = language_id.train(named)
     # Only keys travel with the verdict, so long texts are not sent back from the scan.
     key = _key(_sha())
-    keyed = docs.withColumn("_key", key)
+    keyed = named.withColumn("_key", key)
     found = materialise(
         language_id.identify(keyed, model, ["_key", "lang"], evidence=True), "languages"
     )
@@ -95,13 +92,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents less like the trusted ones of their language than almost all of those go."""
     trusted = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1")
     key = _key(_sha(), F.col("lang"))
-    found = quality_lm.classify(docs.withColumn("_key", key), trusted, keep=("_key",))
+    named = docs.select("doc_id", "text", "lang", key.alias("_key"))
+    found = quality_lm.classify(named, trusted, keep=("_key",))
     return _only(docs, _judged(found.select("_key", "kept")), key)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts one document with the largest id stays."""
-    found = exact_dedup(docs).select(_key(F.col("text_sha256")).alias("_key"), "kept")
+    found = exact_dedup(docs.select("doc_id", "text")).select(_key(F.col("text_sha256")).alias("_key"), "kept")
     return _only(docs, _judged(found), _key(_sha()), single=True)
 
 
