@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelpool.plans.cuts import first_rows
+from labelpool.plans.lookup import salted_join
 
 # The semantic types and predicates kept by default.
 SEMANTIC_TYPES = (
@@ -35,6 +36,16 @@ def either_key_join(left: DataFrame, right: DataFrame, a: str, b: str, key: str)
     return left.withColumn(key, F.explode(keys)).join(right, key)
 
 
+def either_key_join_dealt(
+    left: DataFrame, right: DataFrame, a: str, b: str, key: str, spread: str,
+    part_rows: int = 1_000_000,
+) -> DataFrame:
+    """``either_key_join`` for a right side too large to broadcast and keys that hold a large part
+    of the left rows: each left key's rows are dealt by ``spread``, see ``salted_join``."""
+    keys = F.array_distinct(F.filter(F.array(a, b), lambda k: k.isNotNull()))
+    return salted_join(left.withColumn(key, F.explode(keys)), right, key, spread, part_rows)
+
+
 def extract_predications(
     sentence_predication: DataFrame,
     predication: DataFrame,

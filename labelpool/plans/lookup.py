@@ -57,3 +57,23 @@ def skew_lookup(
         .where(F.col("_found").isNotNull())
         .select(*facts.columns, *[F.col(f"_found.{v}").alias(v) for v in values])
     )
+
+
+def salted_join(
+    facts: DataFrame, dim: DataFrame, key: str, spread: str, part_rows: int = 1_000_000
+) -> DataFrame:
+    """Inner join of ``facts`` to ``dim`` on ``key``, both of which may have many rows a key.
+
+    Nothing is broadcast by force and no key is named hot. The fact rows of every key are counted,
+    the largest count sets the number of salts, and facts are dealt by (key, salt from ``spread``),
+    about ``part_rows`` rows of a key at most to a place. A row of ``dim`` is repeated once for each
+    (key, salt) that fact rows really have: a key of n rows repeats it n times at most, and a key
+    without facts not at all. ``spread`` should tell the fact rows of a key apart; rows that agree
+    in it stay together. NULL keys match nothing.
+    """
+    given = facts.where(F.col(key).isNotNull())
+    largest = given.groupBy(key).count().agg(F.max("count")).first()[0] or 0
+    salts = max(1, math.ceil(largest / part_rows))
+    dealt = given.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+    placed = dealt.select(key, "_salt").distinct().join(dim, key)
+    return dealt.join(placed, [key, "_salt"]).drop("_salt")

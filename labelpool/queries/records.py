@@ -113,6 +113,24 @@ ORDER BY PMID, predicate, SUBJECT_TEXT, OBJECT_TEXT, SENTENCE, INDICATOR_TYPE, s
 LIMIT 1000000"""
 
 
+def disjunctive_join_dealt(spark: SparkSession, sf: str) -> DataFrame:
+    """Quantity of items per order priority, the order being the item's own or the one numbered
+    like its part; a third of the items name order 1 instead of the latter."""
+    items = table(spark, sf, "lineitem").select(
+        "l_orderkey",
+        F.when(F.col("l_partkey") % 3 == 0, F.lit(1).cast("bigint")).otherwise(F.col("l_partkey")).alias("other"),
+        "l_quantity",
+        F.concat_ws(":", "l_orderkey", "l_linenumber").alias("row"),
+    )
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority")
+    both = extract.either_key_join_dealt(
+        items, orders, "l_orderkey", "other", "o_orderkey", "row", part_rows=5_000
+    )
+    return both.groupBy("o_orderpriority").agg(
+        F.count("*").alias("n"), F.sum("l_quantity").alias("quantity")
+    )
+
+
 def disjunctive_join(spark: SparkSession, sf: str) -> DataFrame:
     """Revenue per nation that is the customer's or the supplier's."""
     rows = (
@@ -485,6 +503,19 @@ QUERIES = {
     ),
     "extract_predications": (extract_predications, EXTRACT_SQL),
     "extract_first_rows": (extract_first_rows, EXTRACT_SQL.replace("LIMIT 1000000", "LIMIT 2000")),
+    "disjunctive_join_dealt": (
+        disjunctive_join_dealt,
+        """
+        WITH items AS (
+          SELECT l_orderkey, CASE WHEN l_partkey % 3 = 0 THEN 1 ELSE l_partkey END AS other, l_quantity
+          FROM lineitem),
+        found AS (
+          SELECT l_quantity, o_orderpriority FROM items JOIN orders ON o_orderkey = l_orderkey
+          UNION ALL
+          SELECT l_quantity, o_orderpriority FROM items JOIN orders ON o_orderkey = other
+          WHERE other IS DISTINCT FROM l_orderkey)
+        SELECT o_orderpriority, count(*) AS n, sum(l_quantity) AS quantity FROM found GROUP BY o_orderpriority""",
+    ),
     "disjunctive_join": (
         disjunctive_join,
         """
