@@ -6,11 +6,15 @@ that build long words), whose share among toxic texts is far above that among cl
 *Matching.* The terms form a trie. The automaton of all words within a term's edit distance is
 intersected with the trie and made deterministic as texts are read: a state is the set of
 (trie node, errors) pairs that are still alive, so a word is matched against the whole lexicon in
-one walk, and most words die within a few letters.
+one walk, and most words die within a few letters. The finder's automaton also takes two letters
+that changed places for one error, and allows errors in first letters and in beginnings of five
+letters and more. A word that clean labelled texts hold is a word of its own and no misspelling.
 
 *Context.* A find is *quoted* if it stands between quotation marks, in a quoted line, or beside a
 word of reporting; it is *aimed* if a second person stands within the window. Finds are counted
-by kind, quoted ones apart, and a logistic model over these counts gives the score.
+by kind, quoted ones apart, and a logistic model over these counts gives the score. It is fitted on
+every labelled text twice, as written and with one error in each find (drawn by a hash of text and
+word), and no count but that of quoted finds can lower a score.
 
 The lexicon and the model are fitted on at most SAMPLE labelled rows, those with the smallest hash
 of their id; every row is then scored in one scan without a shuffle. Lexicon size and sample are
@@ -25,6 +29,7 @@ from. Repeated rows each give a row; long texts are read whole.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -43,7 +48,8 @@ SHORTEST, LONGEST = 3, 10
 #: A term's share among toxic texts is at least so many times that among clean ones.
 ODDS, LEAST = 12.0, 3
 WINDOW = 6
-CACHE = 500_000
+#: Words a finder remembers, and states of its automaton, before it starts anew.
+CACHE, STATES = 500_000, 100_000
 _WORD = re.compile(r"\w+")
 #: Fixed word lists: second persons and words of reporting, in four languages.
 YOU = set("you your yours yourself u ur du dich dir dein deine ihr euch tu te toi vous ton votre"
@@ -56,12 +62,18 @@ FEATURES = ("exact", "begin", "fuzzy", "quoted", "aimed", "kinds", "density")
 
 @dataclass
 class Lexicon:
-    """A trie of terms with the lazily determinised automaton of their neighbourhoods."""
+    """A trie of terms with the lazily determinised automaton of their neighbourhoods.
+
+    ``loose`` takes ``allowed_loosely`` for ``allowed``, first letters may be wrong, and two
+    neighbouring letters that changed places are one error.
+    """
 
     terms: list[tuple[str, bool]]
     states: list[tuple] = field(default_factory=list)
+    loose: bool = False
 
     def __post_init__(self):
+        allow = allowed_loosely if self.loose else allowed
         #: node -> {letter: node}; for each node the largest budget below, and its term.
         self.child: list[dict[str, int]] = [{}]
         self.budget, self.whole, self.begin = [0], [-1], [-1]
@@ -74,10 +86,23 @@ class Lexicon:
                     self.budget.append(0)
                     self.whole.append(-1)
                     self.begin.append(-1)
-                self.budget[at] = max(self.budget[at], allowed(term, is_begin))
+                self.budget[at] = max(self.budget[at], allow(term, is_begin))
                 at = self.child[at][c]
-            self.budget[at] = max(self.budget[at], allowed(term, is_begin))
+            self.budget[at] = max(self.budget[at], allow(term, is_begin))
             (self.begin if is_begin else self.whole)[at] = i
+        self.limits = [allow(*t) for t in self.terms]
+        #: From these nodes on, a node waits for the one letter that ends a change of places.
+        self.waiting = len(self.child)
+        self.swaps: dict[tuple[int, str], list[int]] = {}
+        for node in range(self.waiting if self.loose else 0):
+            for a, mid in self.child[node].items():
+                for c, end in self.child[mid].items():
+                    if a != c and self.budget[end]:
+                        self.swaps.setdefault((node, c), []).append(len(self.child))
+                        self.child.append({a: end})
+                        self.budget.append(self.budget[end])
+                        self.whole.append(-1)
+                        self.begin.append(-1)
         self.number: dict[frozenset, int] = {}
         self.step: list[dict[str, int]] = []
         self.found: list[tuple[int, int, bool] | None] = []
@@ -89,8 +114,10 @@ class Lexicon:
         todo = list(alive)
         while todo:
             node, e = todo.pop()
+            if node >= self.waiting:
+                continue
             for nxt in self.child[node].values():
-                if e < self.budget[nxt] and node != 0 and (nxt, e + 1) not in alive:
+                if e < self.budget[nxt] and (node or self.loose) and (nxt, e + 1) not in alive:
                     alive.add((nxt, e + 1))
                     todo.append((nxt, e + 1))
         best: dict[int, int] = {}
@@ -103,7 +130,7 @@ class Lexicon:
         for node, e in best.items():
             for table, is_begin in ((self.whole, False), (self.begin, True)):
                 t = table[node]
-                if t >= 0 and e <= allowed(*self.terms[t]):
+                if t >= 0 and e <= self.limits[t]:
                     hits.append((e, t, is_begin))
         opened = min([h for h in hits if h[2]], default=None)
         if begun is not None and (opened is None or begun < opened):
@@ -123,10 +150,13 @@ class Lexicon:
             for letter, nxt in self.child[node].items():
                 if letter == c:
                     alive.add((nxt, e))
-                elif e < self.budget[nxt] and node != 0:
+                elif e < self.budget[nxt] and (node or self.loose) and node < self.waiting:
                     alive.add((nxt, e + 1))
-            if e < self.budget[node] and node != 0:
+            if e < self.budget[node] and (node or self.loose) and node < self.waiting:
                 alive.add((node, e + 1))
+            for nxt in self.swaps.get((node, c), ()):
+                if e < self.budget[nxt]:
+                    alive.add((nxt, e + 1))
         begun = self.states[state][0]
         nxt = self._state(alive, begun) if alive or begun is not None else -1
         self.step[state][c] = nxt
@@ -152,11 +182,33 @@ def allowed(term: str, is_begin: bool) -> int:
     return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
 
 
+def allowed_loosely(term: str, is_begin: bool) -> int:
+    """Errors allowed in a term, first letters and beginnings of five letters and more included."""
+    if is_begin:
+        return 0 if len(term) < 5 else 1
+    return 0 if len(term) < 4 else 1 if len(term) < 9 else 2
+
+
+def misspelled(word: str, size: int, seed: int) -> str:
+    """``word`` with one error in its first ``size`` letters: replaced, left out or changed places."""
+    h = zlib.crc32(f"{seed}:{word}".encode())
+    kind, at = h % 3, h // 3 % size
+    if kind == 1:
+        return word[:at] + word[at + 1 :]
+    if kind == 2 and at + 1 < len(word) and word[at] != word[at + 1]:
+        return word[:at] + word[at + 1] + word[at] + word[at + 2 :]
+    letter = "abcdefghijklmnopqrstuvwxyz"[h // 4096 % 26]
+    return word[:at] + (letter if letter != word[at] else "x" if letter != "x" else "y") + word[at + 1 :]
+
+
 @dataclass
 class Model:
+    """Terms, weights, and the words near a term that are words of their own."""
+
     terms: list[tuple[str, bool]]
     weights: np.ndarray
     bias: float
+    own: frozenset[str] = frozenset()
 
 
 def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,12 +287,36 @@ def learn_terms(counts: DataFrame, sizes: dict, folds: tuple[int, ...]) -> list[
             break
     under = [
         (term, False) for term, is_begin in strong
-        if not is_begin and (term, False) not in chosen and allowed(term, False)
+        if not is_begin and (term, False) not in chosen and allowed_loosely(term, False)
         and any(term[:k] in begins for k in range(SHORTEST, len(term) + 1))
     ]
     return chosen + under
 
 
+def own_words(counts: DataFrame, sizes: dict, folds: tuple[int, ...], terms) -> frozenset[str]:
+    """Words within the errors of a term that clean texts of these folds hold.
+
+    They are words of the labelled sample, whose rows are bounded, and only those near a term.
+    """
+    p, n = (sum(sizes.get((f, y), 0) for f in folds) for y in (1, 0))
+    clean = sum(F.col(f"c{2 * f}") for f in folds)
+    toxic = sum(F.col(f"c{2 * f + 1}") for f in folds)
+    shared = counts.sparkSession.sparkContext.broadcast(terms)
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon = Lexicon(list(shared.value), loose=True)
+        for batch in batches:
+            words = batch.column(0).to_pylist()
+            keep = [w for w in words if (lexicon.match(w) or (0,))[0]]
+            yield pa.RecordBatch.from_arrays([pa.array(keep, pa.string())], ["term"])
+
+    rows = counts.where(
+        ~F.col("begins") & (clean >= 1) & ((toxic + 0.5) / (p + 1) < ODDS * (clean + 0.5) / (n + 1))
+    )
+    found = rows.select("term").mapInArrow(near, "term string") if terms else rows.limit(0)
+    return frozenset(r["term"] for r in found.select("term").collect())
+
+
 def _spans(text: str) -> list[tuple[int, int]]:
     """Stretches between quotation marks on one line, and lines that begin with '>'."""
     out = [(m.start(), m.end()) for m in re.finditer(rf"[{MARKS}][^{MARKS}\n]{{1,2000}}[{MARKS}]", text)]
@@ -250,19 +326,32 @@ def _spans(text: str) -> list[tuple[int, int]]:
 class Finder:
     """Finds of one lexicon in texts; words already met are kept, up to a fixed number."""
 
-    def __init__(self, terms: list[tuple[str, bool]]):
-        self.lexicon = Lexicon(list(terms))
+    def __init__(self, terms: list[tuple[str, bool]], own: frozenset[str] = frozenset()):
+        self.lexicon = Lexicon(list(terms), loose=True)
+        self.own = own
         self.known: dict[str, tuple[int, int, bool] | None] = {}
 
-    def features(self, text: str | None) -> list[float]:
+    def _look_up(self, words: list[str]) -> None:
+        if len(self.known) > CACHE:
+            self.known.clear()
+        if len(self.lexicon.step) > STATES:
+            self.lexicon = Lexicon(self.lexicon.terms, loose=True)
+        for w in set(words):
+            if w not in self.known:
+                hit = self.lexicon.match(w)
+                self.known[w] = None if hit and hit[0] and w in self.own else hit
+
+    def features(self, text: str | None, errors: bool = False) -> list[float]:
+        """Counts of the finds; with ``errors``, as if every find were misspelled once."""
         low = (text or "").lower()
         words = _WORD.findall(low)
-        known, match = self.known, self.lexicon.match
-        if len(known) > CACHE:
-            known.clear()
-        for w in set(words):
-            if w not in known:
-                known[w] = match(w)
+        known = self.known
+        self._look_up(words)
+        if errors:
+            seed = zlib.crc32(low.encode("utf-8", "surrogatepass"))
+            size = {w: len(self.lexicon.terms[known[w][1]][0]) for w in set(words) if known[w]}
+            words = [misspelled(w, min(size[w], len(w)), seed) if w in size else w for w in words]
+            self._look_up(words)
         hits = [i for i, w in enumerate(words) if known[w] is not None]
         if not hits:
             return [0.0] * len(FEATURES)
@@ -271,34 +360,37 @@ class Finder:
         n: Counter = Counter()
         terms = set()
         for i in hits:
-            errors, term, is_begin = known[words[i]]
+            wrong, term, is_begin = known[words[i]]
             near = words[max(0, i - WINDOW) : i + WINDOW + 1]
             quoted = any(a <= starts[i] < b for a, b in quoted_spans) if starts else False
             if quoted or not REPORT.isdisjoint(near):
                 n["quoted"] += 1
                 continue
-            n["fuzzy" if errors else "begin" if is_begin else "exact"] += 1
+            n["fuzzy" if wrong else "begin" if is_begin else "exact"] += 1
             n["aimed"] += not YOU.isdisjoint(near)
-            if not errors:
-                terms.add((term, words[i]))
-        clear = n["exact"] + n["begin"]
+            terms.add((term, words[i]))
+        finds = n["exact"] + n["begin"] + n["fuzzy"]
         return [
             *(np.log1p(n[k]) for k in ("exact", "begin", "fuzzy", "quoted", "aimed")),
             np.log1p(len(terms)),
-            100.0 * clear / (len(words) + 50.0),
+            100.0 * finds / (len(words) + 50.0),
         ]
 
 
-def _feature_scan(docs: DataFrame, terms, keep: list[str], text_col: str, model: Model | None):
-    """``keep`` and the features, or with a model the score, of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast((terms, model))
+def _feature_scan(docs: DataFrame, terms, own, keep: list[str], text_col: str, model: Model | None):
+    """``keep`` and the score of every row; without a model the features, as written and misspelled."""
+    shared = docs.sparkSession.sparkContext.broadcast((terms, own, model))
     names = ["score"] if model else list(FEATURES)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, model = shared.value
-        finder = Finder(terms)
+        terms, own, model = shared.value
+        finder = Finder(terms, own)
         for batch in batches:
-            rows = [finder.features(t) for t in batch.column(len(keep)).to_pylist()]
+            texts = batch.column(len(keep)).to_pylist()
+            rows = [finder.features(t) for t in texts]
+            if not model:
+                rows += [finder.features(t, errors=True) for t in texts]
+                batch = pa.concat_batches([batch, batch])
             x = np.array(rows, float).reshape(len(rows), len(FEATURES))
             if model:
                 # Equal rows must give equal scores whatever the batch: sum in a fixed order.
@@ -323,6 +415,7 @@ def train(
     """A model from ``docs`` and ``labels (id_col, label_col)``, on at most ``sample`` labels."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.linalg import Matrices
 
     order = F.xxhash64(F.col(id_col).cast("string"))
     taken = (
@@ -346,27 +439,32 @@ def train(
     counts = count_terms(rows)
     terms = learn_terms(counts, sizes, (0, 1))
     # Weights are fitted on finds of terms that the other half of the rows taught.
-    made = materialise(
+    taught = {f: learn_terms(counts, sizes, (1 - f,)) for f in (0, 1)}
+    parts = [
         _feature_scan(
-            rows.where("fold = 0"), learn_terms(counts, sizes, (1,)), ["y"], "text", None
-        ).union(
-            _feature_scan(
-                rows.where("fold = 1"), learn_terms(counts, sizes, (0,)), ["y"], "text", None
-            )
-        ),
-        "features",
-    )
+            rows.where(F.col("fold") == f), taught[f], own_words(counts, sizes, (1 - f,), taught[f]),
+            ["y"], "text", None,
+        )
+        for f in (0, 1)
+    ]
+    made = materialise(parts[0].union(parts[1]), "features")
     share = made.agg(F.avg("y")).first()[0] or 0.0
     if not terms or share in (0.0, 1.0):
         share = min(max(share, 1e-9), 1 - 1e-9)
         return Model(terms, np.zeros(len(FEATURES)), float(np.log(share / (1 - share))))
+    # Finite, as an infinite bound times the deviation of a constant count is no number.
+    least = [-1e3 if name == "quoted" else 0.0 for name in FEATURES]
     fitted = LogisticRegression(
-        featuresCol="x", labelCol="y", regParam=1e-3, standardization=True
+        featuresCol="x", labelCol="y", regParam=1e-3, standardization=True,
+        lowerBoundsOnCoefficients=Matrices.dense(1, len(least), least),
     ).fit(made.select(array_to_vector(F.array(*FEATURES)).alias("x"), F.col("y").cast("double")))
-    return Model(terms, np.array(fitted.coefficients.toArray()), float(fitted.intercept))
+    return Model(
+        terms, np.array(fitted.coefficients.toArray()), float(fitted.intercept),
+        own_words(counts, sizes, (0, 1), terms),
+    )
 
 
 def score(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:
     """``keep``, ``score`` and ``predicted`` for every row of ``docs``."""
-    out = _feature_scan(docs, model.terms, keep, text_col, model)
+    out = _feature_scan(docs, model.terms, model.own, keep, text_col, model)
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

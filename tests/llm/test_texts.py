@@ -122,6 +122,94 @@ def test_automaton_is_edit_distance():
         assert lexicon.match(w) == min(want, default=None), w
 
 
+def swap_distance(a, b):
+    """Edit distance in which two neighbouring letters that changed places are one error."""
+    rows = [list(range(len(b) + 1))]
+    for i, x in enumerate(a, 1):
+        row = [i]
+        for j, y in enumerate(b, 1):
+            e = min(rows[-1][j] + 1, row[-1] + 1, rows[-1][j - 1] + (x != y))
+            if i > 1 and j > 1 and x == b[j - 2] and y == a[i - 2]:
+                e = min(e, rows[-2][j - 2] + 1)
+            row.append(e)
+        rows.append(row)
+    return rows[-1][-1]
+
+
+def test_loose_automaton_counts_changed_places():
+    terms = [("idiot", False), ("worthless", False), ("scum", False), ("achlich", True), ("los", True), ("loser", False)]
+    lexicon = toxicity.Lexicon(terms, loose=True)
+    rng = random.Random(5)
+    words = [t for t, _ in terms] + ["achlcihkeit", "cahlich", "diiot", "csum", "", "a", "wrothlses"]
+    for _ in range(4000):
+        w = list(rng.choice(terms)[0])
+        for _ in range(rng.randrange(0, 4)):
+            at = rng.randrange(0, len(w) + 1)
+            if rng.random() < 0.5:
+                w[at : at + 2] = w[at : at + 2][::-1]
+            else:
+                w[at : at + rng.randrange(0, 2)] = rng.choice(["", "x", "i", "o"])
+        words.append("".join(w))
+    for w in words:
+        want = []
+        for i, (t, begins) in enumerate(terms):
+            heads = [w[:k] for k in range(len(w) + 1)] if begins else [w]
+            e = min(swap_distance(h, t) for h in heads)
+            want += [(e, i, begins)] if e <= toxicity.allowed_loosely(t, begins) else []
+        assert lexicon.match(w) == min(want, default=None), w
+
+
+def test_ordinary_words_are_no_misspellings(spark):
+    rows = [(EN + "moron", 1, i % 2) for i in range(20)]
+    rows += [(EN + "a baron at boron", 0, i % 2) for i in range(60)]
+    frame = spark.createDataFrame(rows, "text string, y int, fold int")
+    sizes = {(f, y): sum(r[1:] == (y, f) for r in rows) for f in (0, 1) for y in (0, 1)}
+    terms = [("moron", False)]
+    own = toxicity.own_words(toxicity.count_terms(frame), sizes, (0, 1), terms)
+    assert own == {"boron"}
+    finder = toxicity.Finder(terms, own)
+    assert not any(finder.features("boron"))
+    assert finder.features("mroon") == finder.features("morn") and any(finder.features("morn"))
+    assert toxicity.own_words(toxicity.count_terms(frame), sizes, (0, 1), []) == frozenset()
+
+
+def test_misspelled_toxic_texts_are_predicted(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
+    model = toxicity.train(docs, labels.where(~held))
+    # No find, however spelled, makes a text less toxic; only quoted ones may.
+    assert all(w >= 0 for n, w in zip(toxicity.FEATURES, model.weights) if n != "quoted")
+    finder, plain = toxicity.Finder(model.terms, model.own), toxicity.Lexicon(model.terms)
+
+    def predicted(text):
+        return float(model.bias + sum(a * b for a, b in zip(finder.features(text), model.weights))) >= 0
+
+    def swapped(w, at):
+        return w[:at] + w[at : at + 2][::-1] + w[at + 2 :]
+
+    edits = {
+        "replaced": lambda w, at: w[:at] + ("x" if w[at] != "x" else "y") + w[at + 1 :],
+        "left out": lambda w, at: w[:at] + w[at + 1 :],
+        "swapped": swapped,
+    }
+    toxic = labels.where(held & (F.col("toxic") == 1)).select("doc_id").join(docs, "doc_id")
+    texts = [t for t in (r.text.lower() for r in toxic.select("text").collect()) if predicted(t)]
+    assert len(texts) >= 5
+    for name, edit in edits.items():
+        rng = random.Random(3)
+
+        def wrong(m):
+            w = m.group()
+            hit = plain.match(w)
+            if hit is None or hit[0]:
+                return w
+            return edit(w, rng.randrange(min(len(w), len(model.terms[hit[1]][0]))))
+
+        changed = [toxicity._WORD.sub(wrong, t) for t in texts]
+        assert sum(map(predicted, changed)) >= 0.8 * len(texts), name
+
+
 def test_misspelled_words_under_a_beginning_are_found(spark):
     rows = [(EN + w, 1, i % 2) for w in ("idiot", "idiots", "idiotic") for i in range(8)]
     rows += [(EN + "quiet day", 0, i % 2) for i in range(60)]
