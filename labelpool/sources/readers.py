@@ -89,7 +89,7 @@ def read_feature_matrix(
             for c, p in zip(clean, positions, strict=True)
             if c not in (label, id_col)
         ]
-    )
+    ).cast("array<struct<feature:string,value:double>>")
     features = wide.select(F.col("_id").alias("id"), F.inline(entries)).where("value <> 0")
     return features, _zero_one(wide.select(F.col("_id").alias("id"), F.trim(at[label]).alias("text")))
 

@@ -124,6 +124,43 @@ def test_feature_matrix_round_trip(spark, path):
         readers.read_feature_matrix(spark, path, label="nope")
 
 
+def test_feature_matrix_edges(spark, path):
+    schema = "id long, feature string, value double"
+    labels = spark.createDataFrame([(1, 0), (2, None), (2, 1), (None, 1)], "id long, y int")
+    features = spark.createDataFrame(
+        [(1, "b", 2.0), (1, "b", 3.0), (1, "b", None), (2, 'a,"', None), (9, "c", 4.0), (None, "b", 5.0), (1, None, 6.0)],
+        schema,
+    )
+    writers.write_feature_matrix(features, labels, path + "/some")
+    files = {r["value"] for r in spark.read.text(path + "/some").collect()}
+    assert files == {
+        'id,"a,\\"",b,c,T/F', "1,0.0,3.0,0.0,0", "2,,0.0,0.0,", "2,,0.0,0.0,1", ",0.0,0.0,0.0,1"
+    }
+    writers.write_feature_matrix(features.limit(0), labels.limit(0), path + "/none")
+    assert readers.header_of(spark, path + "/none") == ["id", "T/F"]
+    assert readers.read_feature_matrix(spark, path + "/none", id_col="id")[1].count() == 0
+
+
+def test_feature_matrix_of_many_features(spark, path):
+    # Each row has few of many features; one feature is in all rows.
+    features = spark.range(400).selectExpr(
+        "id", "explode(array('all', concat('f', id * 37 % 3000), concat('g', id))) AS feature", "id + 1.5D AS value"
+    )
+    labels = spark.range(400).selectExpr("id", "cast(id % 2 AS int) AS y")
+    writers.write_feature_matrix(features, labels, path)
+    names = [r["feature"] for r in features.select("feature").distinct().orderBy("feature").collect()]
+    assert readers.header_of(spark, path) == ["id", *names, "T/F"]
+    want = {}
+    for r in features.collect():
+        want.setdefault(r["id"], {})[r["feature"]] = r["value"]
+    lines = [r["value"] for r in spark.read.text(path).collect() if not r["value"].startswith("id,")]
+    assert len(lines) == 400
+    for line in lines:
+        key, *cells, y = line.split(",")
+        got = {n: float(c) for n, c in zip(names, cells, strict=True) if float(c)}
+        assert got == want[int(key)] and int(y) == int(key) % 2
+
+
 def test_matrix_with_text_labels_and_bad_cells(spark, path):
     def wrote(name, *lines):
         spark.createDataFrame([(x,) for x in lines], "v string").coalesce(1).write.text(f"{path}/{name}")
