@@ -43,6 +43,17 @@ def _runs(words: Column, n: int) -> Column:
     return F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
 
 
+def counted(terms: Column) -> Column:
+    """``array<struct<feature, tf>>``: every distinct term of a sorted array and how often it stands."""
+    n = F.size(terms)
+    places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    starts = F.filter(places, lambda i: (i == 0) | (F.get(terms, i) != F.get(terms, i - 1)))
+    ends = F.concat(F.slice(starts, 2, F.greatest(n, F.lit(1))), F.array(n))
+    return F.zip_with(
+        starts, ends, lambda a, b: F.struct(F.get(terms, a).alias("feature"), (b - a).cast("double").alias("tf"))
+    )
+
+
 def key_value(name: str, value: Column) -> Column:
     """``NAME=value``; NULL stays NULL."""
     return F.when(value.isNotNull(), F.concat_ws("=", F.lit(name), value.cast("string")))

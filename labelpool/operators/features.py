@@ -11,9 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from labelpool.functions.text import TOKEN_PATTERN, key_value, ngrams, tokens, without
+from labelpool.functions.text import TOKEN_PATTERN, counted, key_value, ngrams, tokens, without
 from labelpool.plans.cuts import numbered
-from labelpool.plans.lookup import skew_lookup
+from labelpool.plans.lookup import skew_lookup, split_lookup
 from labelpool.session import materialise, new_table_dir
 
 
@@ -91,9 +91,16 @@ class TfIdfModel:
     def vocabulary(self) -> DataFrame:
         return self.idf.select("feature").orderBy("feature")
 
-    def transform(self, docs: DataFrame) -> DataFrame:
-        counts = self.counts if docs is self.docs else self.spec.term_counts(docs)
-        weighed = skew_lookup(counts, self.idf, "feature", F.col("df"), "id").withColumn(
+    def transform(self, docs: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+        """``(id, feature, value)``; with ``ids`` for those of the documents only."""
+        counts = self.counts
+        if docs is not self.docs:
+            counts = materialise(self.spec.term_counts(docs), "term-counts")
+        if ids is not None:
+            counts = counts.join(ids.select("id"), "id", "left_semi")
+        # Counts and idf travel, not the weights: they repeat and so take little room.
+        found = split_lookup(counts, self.idf, "feature", F.col("df"), "id")
+        weighed = found.select("id", "feature", "tf", "idf").repartition("id").withColumn(
             "w", F.col("tf") * F.col("idf")
         )
         length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))
@@ -103,9 +110,9 @@ class TfIdfModel:
 class TfIdf:
     """TF-IDF over whole texts: raw counts (or 0/1), idf = ln((1+N)/(1+df)) + 1, L2 norm.
 
-    Tokens are made where the text is read and counted before the exchange, so the text itself is
-    not moved. The counts are written once and serve both the document frequencies and the
-    weights of the fitted documents. The vocabulary is a written table, so Spark knows its size
+    Tokens are made and counted where the text is read; only texts of ids that stand more than once
+    are counted together by an exchange. The counts are written once and serve both the document
+    frequencies and the weights of the fitted documents. The vocabulary is a written table, so Spark knows its size
     and broadcasts it only when it is small.
     """
 
@@ -125,20 +132,34 @@ class TfIdf:
         self.id_col, self.text_col = id_col, text_col
 
     def term_counts(self, docs: DataFrame) -> DataFrame:
+        rows = docs.select(F.col(self.id_col).alias("id"), F.col(self.text_col).alias("text"))
+        # eqNullSafe: texts without an id are one document.
+        repeated = rows.groupBy("id").count().where("count > 1").select(F.col("id").alias("_id"))
+        repeated = materialise(repeated, "repeated-ids")
+        if repeated.isEmpty():
+            return self._row_counts(rows)
+        same = F.col("id").eqNullSafe(F.col("_id"))
+        together = self._row_counts(rows.join(repeated, same, "left_semi")).groupBy("id", "feature")
+        tf = F.lit(1.0) if self.binary else F.sum("tf")
+        return self._row_counts(rows.join(repeated, same, "left_anti")).unionByName(
+            together.agg(tf.alias("tf"))
+        )
+
+    def _row_counts(self, rows: DataFrame) -> DataFrame:
+        """Counts of every row by itself; nothing is exchanged."""
         words = without(
             tokens(F.col("text"), self.pattern, self.min_length), list(self.stop_words)
         )
+        grams = ngrams(F.col("words"), self.low, self.high)
+        found = F.array_distinct(grams) if self.binary else F.array_sort(grams)
         # explode_outer: for explode, Spark would add a "has any token" filter at the scan and so
         # find the tokens several times over.
-        found = F.explode_outer(ngrams(F.col("words"), self.low, self.high))
-        terms = (
-            docs.select(F.col(self.id_col).alias("id"), F.col(self.text_col).alias("text"))
-            .select("id", words.alias("words"))
-            .select("id", found.alias("feature"))
-            .where(F.col("feature").isNotNull())
-        )
-        count = F.lit(1.0) if self.binary else F.count("*").cast("double")
-        return terms.groupBy("id", "feature").agg(count.alias("tf"))
+        terms = rows.select("id", words.alias("words")).select("id", found.alias("terms"))
+        if self.binary:
+            out = terms.select("id", F.explode_outer("terms").alias("feature"), F.lit(1.0).alias("tf"))
+        else:
+            out = terms.select("id", F.inline_outer(counted(F.col("terms"))))
+        return out.where(F.col("feature").isNotNull())
 
     def fit(self, docs: DataFrame) -> TfIdfModel:
         n = docs.agg(F.count("*").alias("n")).scalar()

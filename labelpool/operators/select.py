@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from labelpool.operators.features import family_filter, union_features
 from labelpool.plans.cuts import nth_texts, numbered, quantiles
-from labelpool.plans.lookup import skew_lookup
+from labelpool.plans.lookup import split_lookup
 from labelpool.session import materialise
 
 # Equal scores must compare equal whatever the order of summation was.
@@ -31,7 +31,7 @@ def _sums() -> list[Column]:
     ]
 
 
-def _class_sums(features: DataFrame, labels: DataFrame) -> DataFrame:
+def class_sums(features: DataFrame, labels: DataFrame) -> DataFrame:
     """Per feature: its labeled rows, sum and sum of squares per class; plus class sizes ``n0, n1``.
 
     Rows without a stored value count as zero through the class sizes. Only labeled rows are read
@@ -131,12 +131,12 @@ SCORES: dict[str, Callable[[], Column]] = {"chi2": _chi2, "anova": _anova}
 
 def chi2_scores(features: DataFrame, labels: DataFrame) -> DataFrame:
     """``(feature, rows, score)``: chi-square against the label, on labeled rows."""
-    return _class_sums(features, labels).select("feature", "rows", _chi2().alias("score"))
+    return class_sums(features, labels).select("feature", "rows", _chi2().alias("score"))
 
 
 def anova_scores(features: DataFrame, labels: DataFrame) -> DataFrame:
     """``(feature, rows, score)``: one-way F, on labeled rows. NULL for a constant feature."""
-    return _class_sums(features, labels).select("feature", "rows", _anova().alias("score"))
+    return class_sums(features, labels).select("feature", "rows", _anova().alias("score"))
 
 
 SCORERS = {"chi2": chi2_scores, "anova": anova_scores}
@@ -218,24 +218,29 @@ def keep_features(features: DataFrame, kept: DataFrame) -> DataFrame:
     """Rows of the kept features; very frequent features do not pile up in one task.
 
     If ``kept`` has a ``fold``, so has the result: a row stands once for each fold that keeps its
-    feature, and a row that has a fold already stays if its own fold keeps the feature. Only kept
-    features are counted, by task before the exchange.
+    feature, and a row that has a fold already stays if its own fold keeps the feature. Rows of
+    frequent features are not moved. ``features`` is read several times: pass a written table.
     """
     if "fold" not in kept.columns:
-        names, key = kept.select("feature"), ["feature"]
+        names, key = kept.select("feature", F.lit(True).alias("_kept")), ["feature"]
     elif "fold" in features.columns:
-        names, key = kept.select("fold", "feature"), ["fold", "feature"]
+        names, key = kept.select("fold", "feature", F.lit(True).alias("_kept")), ["fold", "feature"]
     else:
-        names = kept.groupBy("feature").agg(F.sort_array(F.collect_list("fold")).alias("_folds"))
+        names = kept.groupBy("feature").agg(F.sort_array(F.collect_list("fold")).alias("_kept"))
         key = ["feature"]
-    named = F.concat_ws(":", *key).alias("_key")
+    named = F.concat_ws(":", *key)
     counted = features.groupBy(*key).agg(F.count(F.lit(1)).alias("_rows"))
-    wanted = names.join(counted, key).withColumn("_key", named).drop(*key)
+    # Frequent features that are not kept are there too, so that their rows are dropped in place.
+    wanted = counted.join(names, key, "left")
+    if len(key) > 1:
+        wanted, features = wanted.withColumn("_key", named).drop(*key), features.withColumn("_key", named)
     wanted = materialise(wanted, "kept-features")
-    found = skew_lookup(features.withColumn("_key", named), wanted, "_key", F.col("_rows"), "id")
-    if "_folds" in wanted.columns:
-        return found.select(F.explode("_folds").alias("fold"), *features.columns)
-    return found.select(*features.columns)
+    found = split_lookup(features, wanted, key[0] if len(key) == 1 else "_key", F.col("_rows"), "id")
+    found = found.where(F.col("_kept").isNotNull())
+    columns = [c for c in features.columns if c != "_key"]
+    if "fold" in kept.columns and len(key) == 1:
+        return found.select(F.explode("_kept").alias("fold"), *columns)
+    return found.select(*columns)
 
 
 def select_features(
@@ -287,14 +292,32 @@ def combined_features(
     With ``within_fold`` all three selections look at each fold's training side alone, and the
     result has a ``fold``, as in ``select_features``.
     """
-    text = select_features(text_features, labels, text_percent, within_fold=within_fold)
-    record = select_features(
-        family_filter(record_features, families, patterns), labels, record_percent, within_fold=within_fold
-    )
+    record_features = family_filter(record_features, families, patterns)
+
+    def best(features: DataFrame, percent: float) -> DataFrame:
+        if within_fold:
+            return fold_selection(features, labels, percent).select("fold", "feature", "score")
+        scores = materialise(chi2_scores(features, labels), "feature-scores")
+        return top_percentile(scores, percent).select("feature", "score")
+
     # Tagged by part, so that equal names stay two features and ties keep the order of the parts.
-    parts = {"0": text, "1": record}
-    both = materialise(union_features(parts, prefix=True), "features")
-    kept = select_features(both, labels, final_percent, within_fold=within_fold)
+    parts = {"0": text_features, "1": record_features}
+    if final_percent >= 100 and not within_fold:
+        kept = union_features(
+            {"0": select_features(text_features, labels, text_percent),
+             "1": select_features(record_features, labels, record_percent)}, prefix=True
+        )
+    else:
+        # A selection leaves a feature's rows alone, so its score is the same in the last one, and
+        # the rows are met once, with what all selections kept.
+        shares = {"0": text_percent, "1": record_percent}
+        tagged = [
+            best(df, shares[part]).withColumn("feature", F.concat(F.lit(f"{part}:"), "feature"))
+            for part, df in parts.items()
+        ]
+        chosen = materialise(tagged[0].unionByName(tagged[1]), "chosen")
+        chosen = materialise(top_percentile(chosen, final_percent, "fold" if within_fold else None), "chosen")
+        kept = keep_features(union_features(parts, prefix=True), chosen)
     bare = F.expr("substring(feature, 3)")
     if prefix:
         name = F.when(F.col("feature").startswith("0:"), "text:").otherwise("record:")
