@@ -7,11 +7,14 @@ features are fitted and applied without a vector, a pass for each fold, or a wei
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelpool.operators.evaluate import auc
-from labelpool.plans.lookup import skew_lookup
+from labelpool.operators.select import class_sums
+from labelpool.plans.lookup import split_lookup
 from labelpool.session import materialise
 
 # Equal margins must be equal whatever the order of summation was.
@@ -44,9 +47,10 @@ def fold_margins(features: DataFrame, labels: DataFrame, weights: DataFrame) ->
     by_feature = weights.groupBy("feature").agg(
         F.map_from_entries(F.collect_list(F.struct("fold", "w"))).alias("_w"), F.max("rows").alias("_rows")
     )
+    by_feature = materialise(by_feature, "weights")
     home = labels.where("y IS NOT NULL").select("id", "y", F.col("fold").cast("int").alias("fold"))
     rows = features.select("id", "feature", "value").join(home.select("id", "fold"), "id")
-    found = skew_lookup(rows, by_feature, "feature", F.col("_rows"), "id")
+    found = split_lookup(materialise(rows, "labeled-rows"), by_feature, "feature", F.col("_rows"), "id")
     dots = found.groupBy("id").agg(
         F.sum(F.col("value") * F.coalesce(F.element_at("_w", F.col("fold")), F.lit(0.0))).alias("dot")
     )
@@ -64,3 +68,44 @@ def fold_model_auc(features: DataFrame, labels: DataFrame, sums: DataFrame) -> D
     return auc(scored, "margin", by=["fold"]).select("fold", "auc").join(sizes, "fold").select(
         "fold", "features", "auc"
     )
+
+
+class LongDiscriminantModel:
+    """A fitted discriminant whose weights are a table."""
+
+    def __init__(self, features: DataFrame, weights: DataFrame, bias: float | None):
+        self.features, self.weights, self.bias = features, weights, bias
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """Add ``margin`` and ``prob`` to ``(id, ...)``; both NULL if the training rows had one
+        class only. A row without features has the intercept as margin."""
+        if self.bias is None:
+            return df.withColumns(
+                {"margin": F.lit(None).cast("double"), "prob": F.lit(None).cast("array<double>")}
+            )
+        found = split_lookup(self.features, self.weights, "feature", F.col("rows"), "id")
+        dots = found.groupBy("id").agg(F.sum(F.col("value") * F.col("w")).alias("_dot"))
+        scored = df.join(dots, "id", "left").withColumn("margin", F.coalesce("_dot", F.lit(0.0)) + F.lit(self.bias))
+        p1 = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("margin")))
+        return scored.withColumn("prob", F.array(1 - p1, p1)).drop("_dot")
+
+
+class LongDiscriminant:
+    """``moments.Discriminant`` for rows whose features are a written long table: no row is ever as
+    wide as there are features, and no weight reaches the driver."""
+
+    def __init__(self, features: DataFrame):
+        self.features = features
+
+    def fit(self, labeled: DataFrame) -> LongDiscriminantModel:
+        """``labeled`` is ``(id, y)``."""
+        n = {r["y"]: r["count"] for r in labeled.groupBy("y").count().collect()}
+        for y in n:
+            if y not in (0, 1):
+                raise ValueError(f"the model knows the classes 0 and 1, not {y!r}")
+        sums = class_sums(self.features, labeled).withColumn("fold", F.lit(0))
+        weights = materialise(fold_weights(sums).select("feature", "rows", "w", "mid"), "weights")
+        if len(n) < 2:
+            return LongDiscriminantModel(self.features, weights, None)
+        shift = weights.agg(F.sum(F.col("w") * F.col("mid"))).first()[0] or 0.0
+        return LongDiscriminantModel(self.features, weights, math.log(n[1] / n[0]) - shift)

@@ -11,12 +11,10 @@ from labelpool.operators.features import (
     family_filter,
     feature_index,
     one_hot,
-    to_arrays,
     to_vectors,
     union_features,
 )
-from labelpool.operators.long_model import fold_model_auc
-from labelpool.operators.moments import Discriminant
+from labelpool.operators.long_model import LongDiscriminant, fold_model_auc
 from labelpool.operators.pool import next_batch
 from labelpool.operators.select import (
     anova_scores,
@@ -261,10 +259,9 @@ def text_pool_pick(spark: SparkSession, sf: str) -> DataFrame:
     truth = labels(spark, sf)
     kept = materialise(select_features(stored_weights(spark, sf), truth, 1, "anova"), "kept")
     docs = documents(spark, sf).select("id")
-    pool = materialise(to_arrays(kept, feature_index(kept), docs), "pool")
-    labeled = pool.join(truth, "id")
-    unlabeled = pool.join(truth, "id", "left_anti")
-    batch = next_batch(unlabeled, labeled, get_strategy("entropy"), 10, Discriminant())
+    labeled = docs.join(truth, "id")
+    unlabeled = docs.join(truth, "id", "left_anti")
+    batch = next_batch(unlabeled, labeled, get_strategy("entropy"), 10, LongDiscriminant(kept))
     return batch.select("id", F.col("draw").cast("int").alias("draw"))
 
 
