@@ -60,6 +60,12 @@ def weights(spark: SparkSession, sf: str, low: int = 1, high: int = 1, binary: b
     return spec.fit(docs).transform(docs)
 
 
+def labeled_weights(spark: SparkSession, sf: str) -> DataFrame:
+    """Weights of the labeled documents; document frequencies are those of all documents."""
+    docs = documents(spark, sf)
+    return TfIdf(STOP_WORDS, pattern=PATTERN, min_length=2).fit(docs).transform(docs, labels(spark, sf))
+
+
 def folded_labels(spark: SparkSession, sf: str) -> DataFrame:
     """Ten stratified folds of the labeled documents, written once: they are joined several times."""
     return materialise(stratified_folds(labels(spark, sf), 10, 1), "folded-labels")
@@ -87,14 +93,15 @@ def vocabulary(spark: SparkSession, sf: str) -> DataFrame:
 
 def scores(scorer):
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        out = scorer(union_features({"t": weights(spark, sf), "r": records(spark, sf)}), labels(spark, sf))
+        parts = {"t": labeled_weights(spark, sf), "r": records(spark, sf)}
+        out = scorer(union_features(parts), labels(spark, sf))
         return rounded(out, "score", digits=5)
 
     return run
 
 
 def top_features(spark: SparkSession, sf: str) -> DataFrame:
-    found = materialise(anova_scores(weights(spark, sf), labels(spark, sf)), "scores")
+    found = materialise(anova_scores(labeled_weights(spark, sf), labels(spark, sf)), "scores")
     return top_percentile(found, 12).select("feature")
 
 
@@ -125,7 +132,7 @@ def feature_totals(matrix: DataFrame, *by: str) -> DataFrame:
 
 def fold_features(spark: SparkSession, sf: str) -> DataFrame:
     """What each of ten folds selects from its training side, by chi-square."""
-    kept = fold_selection(stored_weights(spark, sf), folded_labels(spark, sf), 12)
+    kept = fold_selection(labeled_weights(spark, sf), folded_labels(spark, sf), 12)
     return rounded(kept.select("fold", "feature", "rows", "score"), "score", digits=5)
 
 
@@ -147,7 +154,7 @@ def combined_within_fold(spark: SparkSession, sf: str) -> DataFrame:
 def leak_free_auc(spark: SparkSession, sf: str) -> DataFrame:
     """Cross-validation of the discriminant on selected terms: chosen on each training side, and,
     for comparison, chosen on all labeled rows, which lets held-out rows speak for themselves."""
-    features, truth = stored_weights(spark, sf), folded_labels(spark, sf)
+    features, truth = materialise(labeled_weights(spark, sf), "tfidf"), folded_labels(spark, sf)
     scored = materialise(fold_scores(features, truth), "fold-scores")
     own = fold_model_auc(features, truth, top_percentile(scored, 12, "fold"))
     everywhere = materialise(chi2_scores(features, truth), "scores")
@@ -160,7 +167,7 @@ def leak_free_auc(spark: SparkSession, sf: str) -> DataFrame:
 
 def ranked(spark: SparkSession, sf: str) -> DataFrame:
     """Best ten percent of all terms with chi-square and its p-value, best first."""
-    found = materialise(chi2_scores(weights(spark, sf), labels(spark, sf)), "scores")
+    found = materialise(chi2_scores(labeled_weights(spark, sf), labels(spark, sf)), "scores")
     best = rank_features(top_percentile(found, 10))
     return best.select("feature", "score", chi2_p_value(F.col("score")).alias("p"))
 
@@ -168,7 +175,7 @@ def ranked(spark: SparkSession, sf: str) -> DataFrame:
 def feature_ranking(spark: SparkSession, sf: str) -> DataFrame:
     """Ranks of the best ten percent of all terms, and whether the written file gives their scores
     back to its six digits."""
-    found = materialise(chi2_scores(weights(spark, sf), labels(spark, sf)), "scores")
+    found = materialise(chi2_scores(labeled_weights(spark, sf), labels(spark, sf)), "scores")
     best = materialise(number_features(top_percentile(found, 10)), "best")
     path = new_table_dir(spark, "ranked")
     writers.write_ranked_features(
@@ -184,7 +191,7 @@ def feature_ranking(spark: SparkSession, sf: str) -> DataFrame:
 
 def ranked_anova(spark: SparkSession, sf: str) -> DataFrame:
     truth = labels(spark, sf)
-    found = materialise(anova_scores(weights(spark, sf), truth), "scores")
+    found = materialise(anova_scores(labeled_weights(spark, sf), truth), "scores")
     best = rank_features(top_percentile(found, 10))
     return best.select("feature", "score", f_p_value(F.col("score"), truth.count()).alias("p"))
 
@@ -239,14 +246,15 @@ def families(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def matrix_with_label(spark: SparkSession, sf: str) -> DataFrame:
-    both = union_features({"text": weights(spark, sf), "record": records(spark, sf)}, prefix=True)
+    both = union_features({"text": labeled_weights(spark, sf), "record": records(spark, sf)}, prefix=True)
     return rounded(both.join(labels(spark, sf), "id"), "value")
 
 
 def text_model_cv(spark: SparkSession, sf: str) -> DataFrame:
     """AUC over ten folds of a linear classifier on selected text features."""
     truth = labels(spark, sf)
-    kept = materialise(select_features(stored_weights(spark, sf), truth, 12), "kept")
+    features = materialise(labeled_weights(spark, sf), "tfidf")
+    kept = materialise(select_features(features, truth, 12), "kept")
     rows = to_vectors(kept.join(truth.select("id"), "id"), feature_index(kept))
     folded = stratified_folds(rows.join(truth, "id"), 10, 1).select("features", "y", "fold")
     mean, spread = models.cross_validate(models.hinge(), folded, 10)
