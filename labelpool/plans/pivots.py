@@ -11,9 +11,13 @@ hand the k-th nearest row of x is not farther than the k-th nearest in x's own b
 the k-th nearest pivot, since pivots are rows too. A pair of blocks whose gap is larger than the
 largest such distance in its left block is left out.
 
-*Work.* Block summaries meet in groups; surviving pairs are gathered into tiles of BUNCH by BUNCH
-blocks, so a task holds a bounded number of rows and a block is copied once for each tile it is
-needed in. Inside a tile the bounds are applied again, block by block and with what was found so far.
+*Work.* Block summaries meet in groups; blocks grow with the rows, up to BLOCK_BYTES, so that there
+are about SUMMARIES of them where that is enough. Surviving pairs are gathered into tiles of up to
+TILE_BYTES a side, so a task holds a bounded number of rows and a block is copied once for each tile
+it is needed in. Inside a tile a block meets many others at once, the likeliest first; the bounds are
+applied again with what was found so far, and a row leaves with its k nearest of the tile only.
+Where nothing can be left out (isotropic rows) the work is quadratic: one product of matrices and one
+comparison for a pair of rows.
 """
 
 from __future__ import annotations
@@ -31,8 +35,10 @@ from labelpool.session import materialise
 # Distances of these obey the triangle inequality for all vectors.
 METRICS = frozenset({"euclidean", "cityblock", "chebyshev", "minkowski", "hamming", "matching"})
 PIVOTS = 32
-# Bytes of a block; blocks on each side of a tile; summaries that meet at once.
+# Bytes of a block; least blocks on each side of a tile; summaries that meet at once.
 BLOCK_BYTES, BUNCH, SUMMARIES = 256 << 10, 32, 2048
+# Bytes of a side of a tile; rows that look together, and rows that they meet at once.
+TILE_BYTES, GROUP, STRIP = 16 << 20, 256, 2048
 # Distances are rounded to this many digits before they are ordered; bounds leave room for it.
 DIGITS, ROOM = 12, 1e-9
 
@@ -59,15 +65,99 @@ def _checked(metric: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return d
 
 
-def nearest_of(ids_a: np.ndarray, d: np.ndarray, ids_b: np.ndarray, k: int, bounds: np.ndarray):
-    """``(id, nbr, d)`` of the k nearest columns of each row within its bound, not the row itself."""
-    order = np.argsort(ids_b, kind="stable")
-    ids_b, d = ids_b[order], np.round(d[:, order], DIGITS)
-    d = np.where((ids_a[:, None] == ids_b[None, :]) | (d > bounds[:, None]), np.nan, d)
-    best = np.argsort(d, axis=1, kind="stable")[:, :k]
-    found = np.take_along_axis(d, best, axis=1)
-    ok = ~np.isnan(found)
-    return np.broadcast_to(ids_a[:, None], found.shape)[ok], ids_b[best][ok], found[ok]
+def nearest_of(
+    rows: np.ndarray, d: np.ndarray, ids: np.ndarray, k: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``(row, d, id, rank)`` of the k smallest pairs of each row, in order of row, distance and id."""
+    order = np.lexsort((ids, d, rows))
+    rows, d, ids = rows[order], d[order], ids[order]
+    rank = np.arange(len(rows)) - np.searchsorted(rows, rows)
+    first = rank < k
+    return rows[first], d[first], ids[first], rank[first]
+
+
+def _apart(metric: str, a: np.ndarray, b: np.ndarray, r: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Distances of the named pairs of rows, by difference."""
+    out, step = np.empty(len(r)), max(1, (8 << 20) // (8 * max(1, a.shape[1])))
+    for s in range(0, len(r), step):
+        gap = a[r[s : s + step]] - b[c[s : s + step]]
+        out[s : s + step] = np.abs(gap).sum(-1) if metric == "cityblock" else np.sqrt(np.einsum("ij,ij->i", gap, gap))
+    return out
+
+
+def _rough_sums(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """City block distances in single precision, component by component over what fits a cache."""
+    a, columns = a.astype(np.float32), np.ascontiguousarray(b.astype(np.float32).T)
+    out, step = np.zeros((len(a), len(b)), np.float32), max(1, (1 << 15) // max(1, len(b)))
+    for s in range(0, len(a), step):
+        rows, total = a[s : s + step], out[s : s + step]
+        gap = np.empty_like(total)
+        for at, column in enumerate(columns):
+            np.abs(np.subtract(rows[:, at, None], column, out=gap), out=gap)
+            total += gap
+    return out
+
+
+def within(metric: str, a: np.ndarray, b: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(row of a, row of b, distance)`` of the pairs that are within the bound of their row of ``a``.
+
+    Euclidean distances are cut by one matrix product, city block ones by sums in single precision, both
+    with room for their rounding; what is left is measured by difference in double precision.
+    """
+    near = None
+    if metric == "cityblock":
+        long_a, long_b = np.abs(a).sum(-1), np.abs(b).sum(-1)
+        if np.maximum(long_a.max(initial=0.0), long_b.max(initial=0.0)) < 1e30:  # not so for NaN
+            room = (a.shape[1] + 2) * (2.0**-22 * (long_a + long_b.max(initial=0.0)) + 1e-44)
+            near = np.flatnonzero(_rough_sums(a, b) <= (bounds + room)[:, None])
+    if metric == "euclidean":
+        sq_a, sq_b = np.einsum("ij,ij->i", a, a), np.einsum("ij,ij->i", b, b)
+        if np.isfinite(sq_a).all() and np.isfinite(sq_b).all():
+            squares, kind = sq_a + sq_b.max(initial=0.0), np.float64
+            room = 1e-9 * squares
+            # Single precision where its rounding is small beside every bound.
+            rough = (a.shape[1] + 4) * 2.0**-22 * squares
+            least = (bounds * bounds).min(initial=np.inf)
+            if rough.max(initial=0.0) <= 1e-2 * least and least > 1e-30 and squares.max(initial=0.0) < 1e30:
+                room, kind = rough, np.float32
+            # One more column adds the squares of b inside the product.
+            products = np.c_[a, np.ones(len(a))].astype(kind) @ np.c_[-2.0 * b, sq_b].astype(kind).T
+            cut = (bounds * bounds - sq_a + room).astype(kind)
+            near = np.flatnonzero(products <= cut[:, None])
+    if near is not None:
+        r, c = np.divmod(near, len(b))
+        return r, c, np.round(_apart(metric, a, b, r, c), DIGITS)
+    d = np.round(_checked(metric, a, b), DIGITS)
+    r, c = np.nonzero(d <= bounds[:, None])
+    return r, c, d[r, c]
+
+
+def nearest_in(
+    metric: str, ids: np.ndarray, x: np.ndarray, bounds: np.ndarray, others: list[tuple[np.ndarray, np.ndarray]],
+    gap: np.ndarray, k: int,
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(id, nbr, d)``: for some alike rows the k nearest rows of other blocks, which are ``gap`` away at least."""
+    order = np.argsort(gap, kind="stable")
+    rows, d, nbr = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+    # The first strips are short: what they find bounds the longer ones.
+    at, limit = 0, STRIP // 8
+    while at < len(order) and gap[order[at]] <= bounds.max():
+        strip, size, limit = [], 0, min(STRIP, 2 * limit)
+        while at < len(order) and gap[order[at]] <= bounds.max() and (not size or size + len(others[order[at]][0]) <= limit):
+            strip.append(others[order[at]])
+            size += len(strip[-1][0])
+            at += 1
+        ids_b, b = (np.concatenate(c) for c in zip(*strip))
+        r, c, near = within(metric, x, b, bounds)
+        other = ids[r] != ids_b[c]
+        rows, d, nbr, rank = nearest_of(
+            np.r_[rows, r[other]], np.r_[d, near[other]], np.r_[nbr, ids_b[c[other]]], k
+        )
+        # What was found here bounds what may still be found.
+        last = rank == k - 1
+        bounds = bounds.copy()
+        bounds[rows[last]] = np.minimum(bounds[rows[last]], d[last] * (1 + ROOM) + ROOM)
+    return ids[rows], nbr, d
 
 
 def kth(d: np.ndarray, k: int) -> np.ndarray:
@@ -189,51 +279,69 @@ def nearest(left: DataFrame, right: DataFrame, metric: str, k: int, block_bytes:
     # At least k + 1 pivots, so that each row has k other ones among them where there are so many.
     table = drawn.limit(max(PIVOTS, k + 1)).toArrow().combine_chunks()
     pivot_ids, pivots = table.column("id").to_numpy(), _matrix(table, "x", dim)
-    rows_in_block = max(16, block_bytes // (8 * dim))
-    blocks = make_blocks(right, metric, k, pivot_ids, pivots, rows_in_block, own=left is right)
+    counts = {"right": right.count()}
+    counts["left"] = counts["right"] if left is right else left.count()
+
+    def in_block(rows: int) -> int:
+        given = max(16, block_bytes // (8 * dim))
+        return max(given, min(-(-rows // SUMMARIES), BLOCK_BYTES // (8 * dim)))
+
+    blocks = make_blocks(right, metric, k, pivot_ids, pivots, in_block(counts["right"]), own=left is right)
     if left is right:
         asking = blocks.toDF(*blocks.columns)  # columns of their own, for the joins below
     else:
-        asking = make_blocks(left, metric, k, pivot_ids, pivots, rows_in_block, own=False)
+        asking = make_blocks(left, metric, k, pivot_ids, pivots, in_block(counts["left"]), own=False)
     pairs = surviving(asking, blocks)
-    # Consecutive blocks, which are alike, form a bunch.
-    number = F.row_number().over(Window.partitionBy(F.shiftright("block", 32)).orderBy("block")) - 1
-    part = lambda df, name: df.select(
-        "block", F.concat_ws("-", F.shiftright("block", 32), F.floor(number / BUNCH)).alias(name)
-    )
-    tiles = pairs.join(part(asking, "i"), "block").join(
-        part(blocks, "j").withColumnRenamed("block", "other"), "other"
+    # Consecutive blocks, which are alike, form a bunch: as many as a tile holds, if the cores have
+    # enough tiles then.
+    cores = spark.sparkContext.defaultParallelism
+
+    def bunches(df: DataFrame, rows: int) -> DataFrame:
+        bytes_of_block = 8 * dim * in_block(rows)
+        by_cores = -(-rows // (in_block(rows) * max(1, round((4 * cores) ** 0.5))))
+        per = max(BUNCH, min(TILE_BYTES // bytes_of_block, by_cores))
+        parts = df.groupBy(F.shiftright("block", 32).alias("part")).count().collect()
+        starts, start = [], 0
+        for part, n in sorted((r["part"], r["count"]) for r in parts):
+            starts.append((part, start))
+            start += n
+        named = df.select("block", F.shiftright("block", 32).alias("part"))
+        number = F.col("start") + F.col("block").bitwiseAND(F.lit((1 << 32) - 1))
+        return named.join(spark.createDataFrame(starts, "part bigint, start bigint"), "part").select(
+            "block", F.floor(number / per).alias("bunch")
+        )
+
+    mine_of = bunches(asking, counts["left"]).withColumnRenamed("bunch", "i")
+    theirs_of = bunches(blocks, counts["right"]).select(F.col("block").alias("other"), F.col("bunch").alias("j"))
+    tiles = materialise(
+        pairs.join(mine_of, "block").join(theirs_of, "other").select("i", "j", "block", "other"), "tiles"
     )
-    tiles = materialise(tiles, "tiles")
 
     def compare(a: pa.Table, b: pa.Table) -> pa.Table:
         parts = []
         if a.num_rows and b.num_rows:
+            a = a.sort_by("block")
             side = lambda t, c: np.array(t.column(c).to_pylist())
             gap = gaps(side(a, "low"), side(a, "high"), side(b, "low"), side(b, "high"))
             others = [(np.array(i), np.frombuffer(x).reshape(-1, dim))
                       for i, x in zip(b.column("ids").to_pylist(), b.column("x").to_pylist())]
-            for at, row in enumerate(a.to_pylist()):
-                ids, x = np.array(row["ids"]), np.frombuffer(row["x"]).reshape(-1, dim)
-                bounds, found = np.array(row["bounds"]), np.zeros((len(ids), 0))
-                for j in np.argsort(gap[at], kind="stable").tolist():
-                    if gap[at, j] > bounds.max():
-                        break
-                    d = _checked(metric, x, others[j][1])
-                    parts.append(nearest_of(ids, d, others[j][0], k, bounds))
-                    # What was found here bounds what may still be found.
-                    d = np.where(ids[:, None] == others[j][0][None, :], np.inf, d)
-                    d = np.c_[found, d]
-                    found = np.partition(d, k - 1, axis=1)[:, :k] if d.shape[1] > k else d
-                    bounds = np.minimum(bounds, kth(found, k) * (1 + ROOM) + ROOM)
+            # Blocks of few rows look together.
+            several = max(1, GROUP * 8 * dim // max(len(x) for x in a.column("x").to_pylist()))
+            for at in range(0, a.num_rows, several):
+                rows = a.slice(at, several).to_pydict()
+                ids, bounds = np.concatenate(rows["ids"]), np.concatenate(rows["bounds"])
+                x = np.frombuffer(b"".join(rows["x"])).reshape(-1, dim)
+                parts.append(nearest_in(metric, ids, x, bounds, others, gap[at : at + several].min(axis=0), k))
         columns = [np.concatenate(c) for c in zip(*parts)] if parts else [[], [], []]
         return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()),
                          pa.array(columns[2], pa.float64())], ["id", "nbr", "d"])
 
-    mine = tiles.select("i", "j", "block").distinct().join(asking, "block")
+    met = tiles.select("i", "j").distinct().count()
+    tasks = max(1, min(met, max(4 * cores, int(spark.conf.get("spark.sql.shuffle.partitions")), met // 2)))
+    mine = tiles.select("i", "j", "block").distinct().join(asking, "block").repartition(tasks, "i", "j")
     theirs = tiles.select("i", "j", F.col("other").alias("block")).distinct().join(
         blocks.select("block", "ids", "x", "low", "high"), "block"
-    )
+    ).repartition(tasks, "i", "j")
     theirs = theirs.toDF(*theirs.columns)
     hits = mine.groupBy("i", "j").cogroup(theirs.groupBy("i", "j")).applyInArrow(compare, HITS)
     order = Window.partitionBy("id").orderBy("d", "nbr")

@@ -100,3 +100,39 @@ def test_few_rows(spark):
     assert pivots.nearest(two, one, "euclidean", 2).count() == 0
     with pytest.raises(ValueError):
         pivots.nearest(one, one, "cosine", 2)
+
+
+def test_blocks_stay_few_and_rows_leave_with_k(spark, monkeypatch):
+    """Blocks of a large pool are bounded in number, and a tile gives a row k candidates at most."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3000, 4))
+    x[7:40] = x[6]  # equal rows
+    ids = rng.permutation(9000)[:3000]
+    df = frame(spark, ids, x)
+    monkeypatch.setattr(pivots, "SUMMARIES", 12)
+    counts, plain_surviving = [], pivots.surviving
+
+    def counting(left, right):
+        counts.append(left.count())
+        return plain_surviving(left, right)
+
+    monkeypatch.setattr(pivots, "surviving", counting)
+    got = got_of(pivots.nearest(df, df, "euclidean", 5, block_bytes=1 << 10))
+    assert got == plain(ids, x, ids, x, "euclidean", 5)
+    assert counts[0] <= 12 + 8  # a block more for every part of the ranges at most
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "cityblock", "chebyshev"])
+@pytest.mark.parametrize("scale, offset", [(1.0, 0.0), (1e-3, 1e3), (1e-20, 0.0), (1e25, 0.0)])
+def test_what_is_cut_roughly_is_exact(metric, scale, offset):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(300, 16)) * scale + offset
+    blocks = [(np.arange(i, i + 30), x[i : i + 30]) for i in range(0, 300, 30)]
+    ids, bounds = np.arange(20), np.full(20, np.inf)
+    got = pivots.nearest_in(metric, ids, x[:20], bounds, blocks, np.zeros(10), 4)
+    d = np.round(block_distances(metric, x[:20], x), 12)
+    want = [sorted((v, j) for j, v in enumerate(row) if j != i)[:4] for i, row in enumerate(d.tolist())]
+    assert got[0].tolist() == np.repeat(ids, 4).tolist()
+    if scale > 1e-12:  # smaller distances are all equal after rounding
+        assert got[1].tolist() == [j for row in want for _, j in row]
+    assert np.allclose(got[2], [v for row in want for v, _ in row], rtol=1e-9, atol=1e-12)
