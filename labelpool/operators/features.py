@@ -16,6 +16,9 @@ from labelpool.plans.cuts import numbered
 from labelpool.plans.lookup import skew_lookup, split_lookup
 from labelpool.session import materialise, new_table_dir
 
+# Documents whose lengths are broadcast at most, two numbers each.
+MAX_IDS = 4_000_000
+
 
 def one_hot(
     df: DataFrame, strings: Sequence[str] = (), numbers: Sequence[str] = (), id_col: str = "id"
@@ -98,11 +101,27 @@ class TfIdfModel:
             counts = materialise(self.spec.term_counts(docs), "term-counts")
         if ids is not None:
             counts = counts.join(ids.select("id"), "id", "left_semi")
+        n, known, lone = docs.count(), self.idf, None
+        if docs is self.docs:
+            # Every term is known, so one that is not looked up stands in one document only.
+            known, lone = known.where("df > 1"), {"idf": F.ln((1 + F.lit(n)) / (1 + F.lit(1))) + 1}
+        found = split_lookup(counts, known.select("feature", "df", "idf"), "feature", F.col("df"), "id", absent=lone)
+        found = found.select("id", "feature", "tf", "idf")
+        if n > MAX_IDS:
+            return self._by_window(found)
+        # Only a length for each document travels; the rows of its terms stay where they are, and
+        # both readings of the rare terms share one exchange.
+        named = found.where(F.col("id").isNotNull())
+        w = F.col("tf") * F.col("idf")
+        lengths = named.groupBy("id").agg(F.sqrt(F.sum(w * w)).alias("length"))
+        near = named.join(F.broadcast(lengths), "id").select("id", "feature", (w / F.col("length")).alias("value"))
+        return near.unionByName(self._by_window(found.where(F.col("id").isNull())))
+
+    @staticmethod
+    def _by_window(found: DataFrame) -> DataFrame:
+        """Every document's terms in one place, for documents too many to broadcast their lengths."""
         # Counts and idf travel, not the weights: they repeat and so take little room.
-        found = split_lookup(counts, self.idf, "feature", F.col("df"), "id")
-        weighed = found.select("id", "feature", "tf", "idf").repartition("id").withColumn(
-            "w", F.col("tf") * F.col("idf")
-        )
+        weighed = found.repartition("id").withColumn("w", F.col("tf") * F.col("idf"))
         length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))
         return weighed.select("id", "feature", (F.col("w") / length).alias("value"))
 

@@ -60,7 +60,8 @@ def skew_lookup(
 
 
 def split_lookup(
-    facts: DataFrame, dim: DataFrame, key: str, weight: Column, spread: str, part_rows: int = 1_000_000
+    facts: DataFrame, dim: DataFrame, key: str, weight: Column, spread: str, part_rows: int = 1_000_000,
+    absent: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Inner join of a written table ``facts`` to ``dim`` on ``key`` that leaves most rows in place.
 
@@ -68,15 +69,18 @@ def split_lookup(
     weight, MAX_HOT at most, are broadcast, and their fact rows are not moved; in texts they hold
     nearly all of them. Only the other rows are dealt by key, with as many salts from ``spread``
     that none brings more than about ``part_rows`` rows to one place. ``facts`` is read twice if
-    ``dim`` has more than MAX_HOT keys.
+    ``dim`` has more than MAX_HOT keys. With ``absent`` facts whose key ``dim`` lacks stay, with those
+    values (the others are NULL); such keys should be rare.
     """
+    values, how = [c for c in dim.columns if c != key], "inner" if absent is None else "left"
+    filled = [F.coalesce(c, (absent or {}).get(c, F.lit(None))).alias(c) for c in values]
     sizes = dim.groupBy(F.floor(F.log2(weight) * 8).alias("s")).agg(F.count(F.lit(1)).alias("n"), F.max(weight).alias("top"))
     found = sorted((r["s"] if r["s"] is not None else -1, r["n"], r["top"] or 0) for r in sizes.collect())
     room = MAX_HOT
     while found and found[-1][1] <= room:
         room -= found.pop()[1]
     if not found:
-        return facts.join(F.broadcast(dim), key).select(*facts.columns, *[c for c in dim.columns if c != key])
+        return facts.join(F.broadcast(dim), key, how).select(*facts.columns, *filled)
     top = found[-1][2]
     is_hot = F.coalesce(weight > top, F.lit(False))
     hot, cold = dim.where(is_hot), dim.where(~is_hot)
@@ -86,8 +90,8 @@ def split_lookup(
         rest = rest.withColumn("_s", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
         cold = cold.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         on = [key, "_s"]
-    out = [*facts.columns, *[c for c in dim.columns if c != key]]
-    return facts.join(F.broadcast(hot), key).select(*out).unionByName(rest.join(cold, on).select(*out))
+    out, looked_up = [*facts.columns, *values], rest.join(cold, on, how)
+    return facts.join(F.broadcast(hot), key).select(*out).unionByName(looked_up.select(*facts.columns, *filled))
 
 
 def salted_join(

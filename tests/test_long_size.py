@@ -1,9 +1,11 @@
 """Features of any number: counts stay in place, frequent keys are not moved, folds copy no rows."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
-from labelpool.operators import select
+from labelpool.operators import features, select
 from labelpool.operators.features import TfIdf, union_features
 from labelpool.plans import lookup
 from labelpool.plans.lookup import split_lookup
@@ -76,3 +78,44 @@ def test_combined_within_fold_writes_no_row_for_each_fold(matrix, monkeypatch):
     )
     assert rows_of(got.select("fold", "id", "feature", "value")) == want and want
     assert not any("value" in columns for columns in written)
+
+
+def weights_of(spark, docs, **options):
+    spec = TfIdf(pattern="[a-z]+", min_length=1, **options)
+    return spec.fit(docs).transform(docs)
+
+
+@pytest.mark.parametrize("max_hot", [0, 2, 100_000])
+@pytest.mark.parametrize("max_ids", [1, 4_000_000])
+def test_weights_with_and_without_a_window(spark, monkeypatch, max_hot, max_ids):
+    """Terms of one document are not looked up; documents without an id are one document."""
+    docs = spark.createDataFrame(
+        [(1, "b a b once"), (2, "a a c"), (None, "a only"), (None, "b"), (3, None), (4, "!"), (5, "c a last")],
+        "id long, text string",
+    )
+    monkeypatch.setattr(lookup, "MAX_HOT", max_hot)
+    monkeypatch.setattr(features, "MAX_IDS", max_ids)
+    got = {(r["id"], r["feature"]): r["value"] for r in weights_of(spark, docs).collect()}
+    counts = {1: {"b": 2, "a": 1, "once": 1}, 2: {"a": 2, "c": 1}, None: {"a": 1, "only": 1, "b": 1},
+              5: {"c": 1, "a": 1, "last": 1}}
+    want = {}
+    for i, terms in counts.items():
+        w = {t: n * (math.log(8 / (1 + sum(t in c for c in counts.values()))) + 1) for t, n in terms.items()}
+        length = math.sqrt(sum(v * v for v in w.values()))
+        want |= {(i, t): pytest.approx(v / length) for t, v in w.items()}
+    assert got == want
+
+
+def test_only_documents_without_an_id_are_gathered(spark):
+    docs = spark.range(300).select("id", F.concat_ws(" ", F.lit("aa bb"), F.concat(F.lit("w"), F.col("id") % 7)).alias("text"))
+    plan = plan_of(weights_of(spark, docs))
+    assert plan.count("REPARTITION_BY_COL") == 1 and "isnull(id" in plan
+
+
+def test_keys_the_lookup_lacks_stay(spark, monkeypatch):
+    facts = spark.range(30).select("id", F.concat(F.lit("k"), F.col("id") % 6).alias("k"))
+    dim = facts.where("k <> 'k3'").groupBy("k").agg(F.count("*").alias("n"))
+    for max_hot in (0, 2, 100):
+        monkeypatch.setattr(lookup, "MAX_HOT", max_hot)
+        got = split_lookup(facts, dim, "k", F.col("n"), "id", absent={"n": F.lit(-1).cast("bigint")})
+        assert rows_of(got) == rows_of(facts.withColumn("n", F.when(F.col("k") == "k3", -1).otherwise(5)))
