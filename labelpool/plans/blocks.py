@@ -21,7 +21,7 @@ from labelpool.plans.kernels import block_distances
 
 # Two blocks and their copies fit in a worker; a larger block means fewer copies in the shuffle.
 BLOCK_BYTES = 32 << 20
-TILE_CELLS = 1 << 22
+TILE_CELLS = 1 << 20
 BROADCAST_BYTES = 64 << 20
 
 # kernel(distances, ids of their rows, ids of their columns) -> columns of partial results

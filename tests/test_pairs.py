@@ -110,3 +110,20 @@ def test_kcenter_batch_avoids_copies(rows):
     ids = [r.id for r in batch.orderBy("draw").collect()]
     assert not [i for i in ids if 30 <= i < 40 and i + 10 in ids]
     assert next_batch(u, labeled, KCenter(), 200).count() == 60
+
+
+def test_a_tile_holds_few_distances():
+    """8 MB of distances at a time, whatever the sides are."""
+    import numpy as np
+
+    from labelpool.plans import blocks
+
+    sizes = []
+
+    def kernel(d, rows, cols):
+        sizes.append(d.nbytes)
+        return {"id": rows}
+
+    a, b = np.zeros((3000, 2)), np.ones((2000, 2))
+    parts = blocks._tiles("euclidean", kernel, np.arange(3000), a, np.arange(2000), b)
+    assert max(sizes) <= 8 << 20 and sum(len(p["id"]) for p in parts) == 3000
