@@ -15,6 +15,7 @@ from labelpool.operators.features import (
     union_features,
 )
 from labelpool.operators.long_model import LongDiscriminant, fold_model_auc
+from labelpool.operators.long_svm import cross_validate_hinge
 from labelpool.operators.pool import next_batch
 from labelpool.operators.select import (
     anova_scores,
@@ -257,7 +258,7 @@ def text_model_cv(spark: SparkSession, sf: str) -> DataFrame:
     kept = materialise(select_features(features, truth, 12), "kept")
     rows = to_vectors(kept.join(truth.select("id"), "id"), feature_index(kept))
     folded = stratified_folds(rows.join(truth, "id"), 10, 1).select("features", "y", "fold")
-    mean, spread = models.cross_validate(models.hinge(), folded, 10)
+    mean, spread = cross_validate_hinge(models.hinge(), folded, 10)
     return spark.createDataFrame([(mean, spread)], "auc double, spread double")
 
 
