@@ -268,6 +268,8 @@ def _by_key(part: Iterable) -> Iterator[tuple[int, dict]]:
 def _entries(vector) -> tuple[np.ndarray, np.ndarray]:
     """Indices and values other than zero."""
     if isinstance(vector, SparseVector):
+        if (np.diff(vector.indices) <= 0).any():
+            raise ValueError("a row names a feature twice")
         used = vector.values != 0
         return vector.indices[used], vector.values[used]
     used = np.flatnonzero(vector.toArray())

@@ -7,7 +7,7 @@ from pyspark.ml.classification import LinearSVC
 from pyspark.ml.linalg import Vectors
 
 from labelpool.operators import models
-from labelpool.operators.long_svm import cross_validate_hinge
+from labelpool.operators.long_svm import _entries, cross_validate_hinge
 from labelpool.queries import text
 
 
@@ -38,6 +38,14 @@ def test_folds_without_rows_are_refused(spark):
         cross_validate_hinge(models.hinge(), table(spark), 3)
 
 
+def test_a_feature_twice_in_a_row_is_refused():
+    # A vector as it comes from a written table: nothing has looked at its indices.
+    vector = Vectors.sparse(4, [1, 2], [0.5, 0.5])
+    vector.indices[1] = 1
+    with pytest.raises(ValueError, match="names a feature twice"):
+        _entries(vector)
+
+
 def test_query_sends_no_gradient_through_the_driver(spark, tmp_path, monkeypatch):
     draw, words = random.Random(7), [f"word{i}" for i in range(60)]
     docs = [(i, " ".join(draw.choices(words, k=12)), "en", "web", 70) for i in range(40)]
