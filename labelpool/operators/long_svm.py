@@ -5,15 +5,25 @@ of ten and a backtracking search), so margins agree but for the order of summati
 evaluation sends a gradient of all features to the driver. Here the weights, gradients and
 history of all folds lie in blocks of features, beside the values of these features; a
 step exchanges sums of margins by row and one bit a row, and the driver sees dot products only.
+
+A task holds one number a fold for the features of its block, and besides that passes over records of
+bounded size: tiles of values, each of one block of features and one block of rows, and strips of
+the state.
 """
 
 from __future__ import annotations
 
+import gc
+import os
+import pickle
+import tempfile
 from collections.abc import Iterable, Iterator
 from functools import reduce
+from itertools import groupby
 
 import numpy as np
 from pyspark import RDD, StorageLevel
+from pyspark.accumulators import AccumulatorParam
 from pyspark.ml.classification import LinearSVC
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.linalg import SparseVector
@@ -23,11 +33,17 @@ from pyspark.sql import functions as F
 from labelpool.session import materialise, shared_dir
 
 MEMORY = 10
-# Values in a block of features and rows in a block of rows, at most.
-BLOCK_VALUES, BLOCK_ROWS = 1 << 24, 1 << 16
+# Features in a block and in a strip of its state, rows in a block of rows, at most. Java keeps the last
+# hundred records of a stream that it reads or writes, so that strips and pieces of tiles are short.
+BLOCK_FEATURES, STRIP, BLOCK_ROWS = 1 << 18, 1 << 8, 1 << 16
+# Values in a tile, in a record of one, and in a piece that one task adds to it, on average.
+TILE_VALUES, RECORD_VALUES, PIECE_VALUES = 1 << 19, 1 << 15, 1 << 12
+# Numbers that come together for a block of rows, and in one record on the way there.
+ROW_NUMBERS, RECORD = 1 << 22, 1 << 12
 # Steps after which the state is written to the shared folder, which cuts its lineage.
-WRITE_EVERY = 16
-KEPT = StorageLevel.MEMORY_AND_DISK
+WRITE_EVERY = 8
+# Tiles and state are passed over record by record; no executor needs to hold them in memory.
+KEPT = StorageLevel.DISK_ONLY
 
 
 def cross_validate_hinge(estimator: LinearSVC, rows: DataFrame, k: int) -> tuple[float, float]:
@@ -194,75 +210,107 @@ class _Search:
 
 
 class _Blocks:
-    """Blocks of features with their values and the state of all folds; blocks of rows with labels.
-
-    The state's ``found`` holds what a block adds to a fold's value and dot products.
-    """
+    """Blocks of features with their values in tiles and the state of all folds in strips; blocks of
+    rows with labels."""
 
     def __init__(self, rows: DataFrame, sizes: np.ndarray, penalty: float):
-        sc = rows.sparkSession.sparkContext
+        self.sc = sc = rows.sparkSession.sparkContext
         if sc.getCheckpointDir() is None:
             sc.setCheckpointDir(shared_dir(rows.sparkSession))
         numbered = rows.rdd.zipWithIndex()
-        n, total = numbered.mapPartitions(_count).reduce(lambda a, b: (a[0] + b[0], a[1] + b[1]))
+        n, total, d = numbered.mapPartitions(_count).reduce(lambda a, b: (a[0] + b[0], a[1] + b[1], max(a[2], b[2])))
         cores = max(sc.defaultParallelism, 1)
-        self.parts = parts = max(cores, -(-total // BLOCK_VALUES))
-        size = min(BLOCK_ROWS, -(-n // cores))
-        self.row_parts = -(-n // size)
-        truth = numbered.map(lambda r: (r[1] // size, (r[1], r[0]["y"], r[0]["fold"])))
-        self.truth = truth.groupByKey(self.row_parts).mapValues(_row_block).persist(KEPT)
-        self.blocks = (
-            numbered.mapPartitions(lambda part: _split(part, parts))
-            .groupByKey(parts)
-            .map(lambda b: (b[0], ("block", _feature_block(b[0], b[1], sizes, n, size))), preservesPartitioning=True)
-            .persist(KEPT)
+        self.parts = parts = cores * max(-(-d // (cores * BLOCK_FEATURES)), 1)
+        # Block 0 holds the intercept and is never left out.
+        self.used = min(parts, max(d, 1))
+        size = min(
+            BLOCK_ROWS, -(-n // cores), ROW_NUMBERS // (parts * len(sizes)), TILE_VALUES * parts * n // max(total, 1)
         )
-        self.state = self.blocks.mapValues(lambda block: ("state", [_start(block[1])] * len(sizes)))
-        self.sizes, self.penalty, self.rounds = sizes, penalty, 0
+        self.size = size = max(size, 1)
+        self.row_parts = -(-n // size)
+        truth = numbered.mapPartitions(lambda part: _truths(part, size)).partitionBy(self.row_parts)
+        self.truth = truth.mapPartitions(_row_block, preservesPartitioning=True).persist(KEPT)
+        pieces = numbered.mapPartitions(lambda part: _split(part, parts, size)).partitionBy(parts)
+        self.tiles = pieces.mapPartitions(_tiles, preservesPartitioning=True).persist(KEPT)
+        none = sc.parallelize([(k, ("none", None)) for k in range(self.used)], 1)
+        self.state = _beside(parts, none, self.tiles).mapPartitions(
+            lambda part: _start(part, sizes, d, parts), preservesPartitioning=True
+        ).persist(KEPT)
+        self.d, self.sizes, self.penalty, self.rounds, self.written = d, sizes, penalty, 0, None
 
     def _margins(self, orders: list[dict]) -> RDD:
-        """``(row block, its labels and the parts of its margins)``."""
-        sums = _met(self.parts, self.blocks, self.state).flatMap(lambda b: _partial_margins(*b, orders))
-        return _met(self.row_parts, self.truth, sums)
+        """``(kind, value)`` for each block of rows: its labels, then the parts of its margins."""
+        d, parts, size, row_parts = self.d, self.parts, self.size, self.row_parts
+        sums = _beside(parts, self.state, self.tiles).mapPartitions(
+            lambda part: _partial_margins(part, orders, d, parts, row_parts)
+        )
+        return _beside(row_parts, self.truth, sums)
 
     def evaluate(self, orders: list[dict]) -> dict[int, dict]:
         """Per fold with an ``alpha`` the value, slope and dot products of its trial."""
-        parts, sizes, penalty = self.parts, self.sizes, self.penalty
-        hits = self._margins(orders).flatMap(lambda r: _hits(*r, orders, parts))
-        # Where there are few features, some numbers have no block.
-        met = _met(parts, self.blocks, self.state, hits).filter(lambda b: "block" in b[1])
-        state = met.mapValues(lambda b: ("state", _trial(b, orders, sizes, penalty))).persist(KEPT)
+        d, parts, sizes, penalty = self.d, self.parts, self.sizes, self.penalty
+        hits = self._margins(orders).mapPartitions(lambda part: _hits(part, orders, parts))
+        # Told by the tasks that make the state, so that nobody reads it for a few sums.
+        sums = self.sc.accumulator({}, _ByBlock())
+        state = _beside(parts, hits, self.tiles, self.state).mapPartitions(
+            lambda part: _trial(part, orders, sizes, penalty, d, parts, sums), preservesPartitioning=True
+        ).persist(KEPT)
         self.rounds += 1
-        if self.rounds % WRITE_EVERY == 0:
+        write = self.rounds % WRITE_EVERY == 0
+        if write:
             state.checkpoint()
-        made = state.mapValues(lambda state: [fold["found"] for fold in state[1]]).collect()
-        if self.rounds > 1:
-            self.state.unpersist()
+        # Counted where it is kept; no Python worker reads it.
+        state._jrdd.count()
+        made, sums.value = sums.value, {}
+        if len(made) != self.used:
+            raise RuntimeError(f"{len(made)} blocks of {self.used} told their sums")
+        self.state.unpersist()
         self.state = state
+        if write:
+            self._forget(state.getCheckpointFile())
         out = {}
         for fold, order in enumerate(orders):
             if order["alpha"] is not None:
-                own = [found[fold] for _, found in sorted(made, key=lambda m: m[0])]
+                own = [made[k][fold] for k in sorted(made)]
                 out[fold] = {name: sum(f[name] for f in own) for name in own[0]}
         return out
 
+    def _forget(self, written: str) -> None:
+        """Let go of the state written before and of the shuffle files of the steps since."""
+        if self.written is not None:
+            path = self.sc._jvm.org.apache.hadoop.fs.Path(self.written)
+            path.getFileSystem(self.sc._jsc.hadoopConfiguration()).delete(path, True)
+        self.written = written
+        # Spark deletes shuffle files when the driver collects what refers to them.
+        gc.collect()
+        self.sc._jvm.System.gc()
+
     def held_out(self, orders: list[dict]) -> RDD:
         """``(fold, y, margin)`` at the weights themselves."""
         orders = [order | {"alpha": 0.0, "turn": None, "stay": True} for order in orders]
-        return self._margins(orders).flatMap(lambda r: _own_margins(r[1]))
+        return self._margins(orders).mapPartitions(_own_margins)
 
 
-def _met(parts: int, *sides: RDD) -> RDD:
-    """``(key, {kind: values})`` of pairs ``(key, (kind, value))``; what is dealt already stays."""
-    dealt = [side.partitionBy(parts) for side in sides]
-    return reduce(RDD.union, dealt).partitionBy(parts).mapPartitions(_by_key, preservesPartitioning=True)
+class _ByBlock(AccumulatorParam):
+    """Values by block; a block that is made again says the same again."""
 
+    def zero(self, value: dict) -> dict:
+        return {}
 
-def _by_key(part: Iterable) -> Iterator[tuple[int, dict]]:
-    found: dict[int, dict] = {}
-    for key, (kind, value) in part:
-        found.setdefault(key, {}).setdefault(kind, []).append(value)
-    yield from found.items()
+    def addInPlace(self, one: dict, other: dict) -> dict:
+        return one | other
+
+
+def _beside(parts: int, *sides: RDD) -> RDD:
+    """The pairs ``(key, (kind, value))`` of every key, side after side; what is dealt already stays."""
+    dealt = [side.partitionBy(parts) for side in sides]
+    for side in dealt:
+        # Batches of any size are read alike; else one more Python worker a task would write them anew.
+        side._jrdd_deserializer = side.ctx.serializer
+    out = reduce(RDD.union, dealt)
+    if out.partitioner != dealt[0].partitioner:
+        raise RuntimeError("the sides are dealt in different ways")
+    return out
 
 
 def _entries(vector) -> tuple[np.ndarray, np.ndarray]:
@@ -276,90 +324,168 @@ def _entries(vector) -> tuple[np.ndarray, np.ndarray]:
     return used, vector.toArray()[used]
 
 
-def _count(part: Iterable) -> Iterator[tuple[int, int]]:
-    rows = values = 0
+def _count(part: Iterable) -> Iterator[tuple[int, int, int]]:
+    rows = values = top = 0
     for row, _ in part:
-        rows, values = rows + 1, values + len(_entries(row["features"])[0])
-    yield rows, values
+        idx = _entries(row["features"])[0]
+        rows, values = rows + 1, values + len(idx)
+        if len(idx):
+            top = max(top, int(idx[-1]) + 1)
+    yield rows, values, top
 
 
-def _row_block(rows: Iterable[tuple]) -> tuple:
-    """Labels and folds in row order."""
-    rows = sorted(rows)
-    return "truth", (np.array([r[1] for r in rows]), np.array([r[2] for r in rows], "int32"))
+def _truths(part: Iterable, size: int) -> Iterator[tuple[int, tuple]]:
+    """Labels and folds of runs of rows, dealt to the blocks of their rows."""
+    held: list = []
+    for row, i in part:
+        if held and (i // size != held[0][0] // size or len(held) >= RECORD):
+            yield _run(held, size)
+            held = []
+        held.append((i, row["y"], row["fold"]))
+    if held:
+        yield _run(held, size)
 
 
-def _split(part: Iterable, parts: int) -> Iterator[tuple[int, tuple]]:
-    """The values of some rows, dealt to the blocks of their features."""
-    held, size = [], 0
-    for row, i in part:
-        idx, values = _entries(row["features"])
-        held.append((i, idx, values, row["y"], row["fold"]))
-        size += len(idx)
-        if size >= 1 << 20:
-            yield from _pieces(held, parts)
-            held, size = [], 0
-    yield from _pieces(held, parts)
+def _run(held: list, size: int) -> tuple[int, tuple]:
+    first = held[0][0]
+    return first // size, (first, np.array([h[1] for h in held]), np.array([h[2] for h in held], "int32"))
 
 
-def _pieces(held: list, parts: int) -> Iterator[tuple[int, tuple]]:
-    if not held:
+def _row_block(part: Iterable) -> Iterator[tuple[int, tuple]]:
+    """Labels and folds in row order."""
+    runs = sorted(part, key=lambda p: p[1][0])
+    if runs:
+        yield runs[0][0], ("truth", tuple(np.concatenate([run[i] for _, run in runs]) for i in (1, 2)))
+
+
+def _split(part: Iterable, parts: int, size: int) -> Iterator[tuple[int, tuple]]:
+    """The values of some rows of one block, dealt to the blocks of their features."""
+    held, values = [], 0
+    for row, i in part:
+        if held and (i // size != held[0][0] // size or values >= PIECE_VALUES * parts):
+            yield from _pieces(held, parts, size)
+            held, values = [], 0
+        found = _entries(row["features"])
+        held.append((i, *found, row["y"], row["fold"]))
+        values += len(found[0])
+    if held:
+        yield from _pieces(held, parts, size)
+
+
+def _pieces(held: list, parts: int, size: int) -> Iterator[tuple[int, tuple]]:
+    idx, value = np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held])
+    at = np.repeat(np.arange(len(held)), [len(h[1]) for h in held])
+    row = np.array([h[0] % size for h in held], "int32")
+    sign, fold = np.array([2 * h[3] - 1 for h in held], "int8"), np.array([h[4] for h in held], "int32")
+    order = np.argsort(idx % parts, kind="stable")
+    ends = np.cumsum(np.bincount(idx % parts, minlength=parts))
+    for k in np.unique(idx % parts).tolist():
+        here = order[ends[k - 1] if k else 0 : ends[k]]
+        rows, lengths = np.unique(at[here], return_counts=True)
+        piece = row[rows], lengths, sign[rows], fold[rows], (idx[here] // parts).astype("int32"), value[here]
+        yield k, (held[0][0] // size, piece)
+
+
+def _tiles(part: Iterable) -> Iterator[tuple[int, tuple]]:
+    """The values of a block of features in tiles, one for each block of rows, and these in records, all in row
+    order. Pieces come as they come; they wait in a file."""
+    places: dict[int, list[tuple[int, int]]] = {}
+    k = None
+    with tempfile.TemporaryFile(dir=os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0] or None) as file:
+        for k, (r, piece) in part:
+            places.setdefault(r, []).append((int(piece[0][0]), file.tell()))
+            pickle.dump(piece, file, protocol=5)
+        for r in sorted(places):
+            held: list = []
+            for _, place in sorted(places[r]):
+                if sum(len(piece[-1]) for piece in held) >= RECORD_VALUES:
+                    yield k, ("tile", (r, _joined(held)))
+                    held = []
+                file.seek(place)
+                held.append(pickle.load(file))
+            yield k, ("tile", (r, _joined(held)))
+
+
+def _joined(pieces: list) -> tuple:
+    return tuple(np.concatenate(x) for x in zip(*pieces, strict=True))
+
+
+def _whole_tiles(part: Iterable) -> Iterator[tuple[int, tuple]]:
+    """The records of a tile as one, with names; all others as they are."""
+    for (k, kind, r), records in groupby(part, lambda p: (p[0], p[1][0], p[1][0] == "tile" and p[1][1][0])):
+        if kind == "tile":
+            names = "row", "lengths", "sign", "fold", "col", "value"
+            tile = dict(zip(names, _joined([held[1] for _, (_, held) in records]), strict=True))
+            yield k, (kind, tile | {"r": r, "col": tile["col"].astype(np.intp)})
+        else:
+            for record in records:
+                yield record
+
+
+def _width(k: int, d: int, parts: int) -> int:
+    """Features of a block."""
+    return len(range(k, d, parts))
+
+
+def _start(part: Iterable, sizes: np.ndarray, d: int, parts: int) -> Iterator[tuple[int, tuple]]:
+    """The first state, in strips: per fold the scale and scaled mean of each feature among its training
+    rows, and no weights yet. The last strip of block 0 has the intercept as its last weight."""
+    folds, k, moments = len(sizes), None, None
+    for k, (kind, tile) in _whole_tiles(part):
+        if moments is None:
+            width = _width(k, d, parts)
+            moments = np.zeros((3, folds, width))
+        if kind == "tile":
+            _add_moments(moments.reshape(3, -1), tile, width)
+    if moments is None:
         return
-    lengths = [len(h[1]) for h in held]
-    idx, values = np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held])
-    row = np.repeat(np.array([h[0] for h in held], "int64"), lengths)
-    sign = np.repeat(np.array([2 * h[3] - 1 for h in held], "int8"), lengths)
-    fold = np.repeat(np.array([h[4] for h in held], "int32"), lengths)
-    for k in range(parts):
-        here = idx % parts == k
-        # Block 0 holds the intercept and is never left out.
-        if k == 0 or here.any():
-            yield k, (row[here], (idx[here] // parts).astype("int32"), values[here], sign[here], fold[here])
-
-
-def _feature_block(k: int, pieces: Iterable[tuple], sizes: np.ndarray, n: int, size: int) -> dict:
-    """Values in row order, and per fold the scale and scaled mean of each feature among its training
-    rows. Block 0 has the intercept as its last weight."""
-    row, col, value, sign, fold = (np.concatenate(x) for x in zip(*pieces, strict=True))
-    order = np.argsort(row, kind="stable")
-    row, col, value, sign, fold = row[order], col[order], value[order], sign[order], fold[order]
-    d = int(col.max()) + 1 if len(col) else 0
-    scale, mean = np.zeros((len(sizes), d + (k == 0))), np.zeros((len(sizes), d + (k == 0)))
+    for lo in range(0, max(width, 1), STRIP):
+        scale, mean = _scales(moments[:, :, lo : lo + STRIP], sizes)
+        extra = int(k == 0 and lo + STRIP >= width)
+        zero = np.zeros(scale.shape[1] + extra)
+        first = {"x": zero, "g": zero, "s": [], "y": [], "dir": zero, "xt": zero, "gt": zero}
+        yield k, ("state", {"lo": lo, "extra": extra, "scale": scale, "mean": mean, "folds": [first] * folds})
+
+
+def _add_moments(moments: np.ndarray, tile: dict, width: int) -> None:
+    """Add a tile to the counts, means and squared deviations of each fold's own rows."""
+    cell = np.repeat(tile["fold"].astype(np.intp) * width, tile["lengths"]) + tile["col"]
+    cells, at = np.unique(cell, return_inverse=True)
+    count = np.bincount(at)
+    mean = np.bincount(at, tile["value"]) / count
+    spread = np.bincount(at, (tile["value"] - mean[at]) ** 2)
+    before, middle, so_far = moments[:, cells]
+    both, gap = before + count, mean - middle
+    moments[0, cells] = both
+    moments[1, cells] = middle + gap * count / both
+    moments[2, cells] = so_far + spread + gap**2 * before * count / both
+
+
+def _scales(moments: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    scale, mean = np.zeros(moments.shape[1:]), np.zeros(moments.shape[1:])
     for f, total in enumerate(sizes):
-        used = fold != f
-        c, v = col[used], value[used]
-        count = np.bincount(c, minlength=d)
-        middle = np.bincount(c, v, d) / np.maximum(count, 1)
-        spread = np.bincount(c, (v - middle[c]) ** 2, d)
+        counts, means, spreads = np.delete(moments, f, axis=1)
+        count = counts.sum(axis=0)
+        middle = (counts * means).sum(axis=0) / np.maximum(count, 1)
+        spread = (spreads + counts * (means - middle) ** 2).sum(axis=0)
         # Rounding must not give a feature that never varies a scale.
         spread[spread <= count * (1e-14 * middle) ** 2] = 0.0
         square = spread + middle**2 * count * np.maximum(total - count, 0) / total
-        deviation = np.sqrt(square / (total - 1)) if total > 1 else np.zeros(d)
-        scale[f, :d] = np.divide(1.0, deviation, out=np.zeros(d), where=deviation != 0)
-        mean[f, :d] = middle * count / total * scale[f, :d]
-    weight = scale**2
-    if k == 0:
-        scale[:, d] = 1.0
-    starts = np.arange(0, n, size)
-    cuts = np.searchsorted(row, np.append(starts, n))
-    return {
-        "k": k, "d": d, "size": size, "n": n, "cuts": cuts, "row": (row % size).astype("int32"), "col": col,
-        "value": value, "sign": sign, "scale": scale, "mean": mean, "weight": weight,
-    }
-
-
-def _start(block: dict) -> dict:
-    zero = np.zeros(block["scale"].shape[1])
-    return {"x": zero, "g": zero, "s": [], "y": [], "dir": zero, "xt": zero, "gt": zero}
+        deviation = np.sqrt(square / (total - 1)) if total > 1 else np.zeros(len(count))
+        scale[f] = np.divide(1.0, deviation, out=np.zeros(len(count)), where=deviation != 0)
+        mean[f] = middle * count / total * scale[f]
+    return scale, mean
 
 
 def _moved(state: dict, order: dict) -> dict:
-    """The state of a fold after its order, with the next trial ``xt``."""
+    """The state of a fold after its order, with the next trial ``xt``; of a fold that has ended, its weights."""
     x, g, s, y, direction = (state[name] for name in ("x", "g", "s", "y", "dir"))
     if order["accept"]:
         if order["accept"] == "step":
             s, y = [state["xt"] - x, *s][:MEMORY], [state["gt"] - g, *y][:MEMORY]
         x, g = state["xt"], state["gt"]
+    if order["alpha"] is None:
+        return {"x": x, "g": None, "s": [], "y": [], "dir": None, "xt": None, "gt": None}
     if order["turn"] is not None:
         first, scale, second = order["turn"]
         s, y = s[: len(first)], y[: len(first)]
@@ -379,68 +505,115 @@ def _moved(state: dict, order: dict) -> dict:
     return {"x": x, "g": g, "s": s, "y": y, "dir": direction, "xt": trial, "gt": state["gt"]}
 
 
-def _partial_margins(k: int, held: dict, orders: list[dict]) -> Iterator[tuple]:
-    """What the block's features add to the margins of every row block, for each fold at work."""
-    (block,), (folds,) = held["block"], held["state"]
-    weights = []
-    for f, (state, order) in enumerate(zip(folds, orders, strict=True)):
-        if order["alpha"] is not None:
-            trial = _moved(state, order)["xt"]
-            shift = -(trial @ block["mean"][f]) + (trial[-1] if k == 0 else 0.0)
-            weights.append((trial * block["scale"][f], shift))
-    cuts, size = block["cuts"], block["size"]
-    for r in range(len(cuts) - 1):
-        here = slice(cuts[r], cuts[r + 1])
-        row, col, value = block["row"][here].astype(np.intp), block["col"][here], block["value"][here]
-        rows = min(size, block["n"] - r * size)
-        yield r, ("part", (k, np.stack([np.bincount(row, value * w[col], rows) + shift for w, shift in weights])))
-
-
-def _whole(parts: Iterable[tuple]) -> np.ndarray:
-    """Margins by fold and row, added in the order of the blocks."""
-    return sum(part for _, part in sorted(parts, key=lambda p: p[0]))
+def _at_work(orders: list[dict]) -> list[int]:
+    return [f for f, order in enumerate(orders) if order["alpha"] is not None]
+
+
+def _partial_margins(part: Iterable, orders: list[dict], d: int, parts: int, row_parts: int) -> Iterator[tuple]:
+    """What a block's features add to the margins of every row block, for each fold at work. The
+    state comes first."""
+    at_work, k, weights = _at_work(orders), None, None
+    step = max(RECORD // max(len(at_work), 1), 1)
+    for k, (kind, held) in _whole_tiles(part):
+        if weights is None:
+            weights, shift = np.zeros((len(at_work), _width(k, d, parts))), np.zeros(len(at_work))
+        if kind == "state":
+            here = slice(held["lo"], held["lo"] + held["scale"].shape[1])
+            for a, f in enumerate(at_work):
+                trial = _moved(held["folds"][f], orders[f])["xt"]
+                if held["extra"]:
+                    shift[a], trial = shift[a] + trial[-1], trial[:-1]
+                weights[a, here] = trial * held["scale"][f]
+                shift[a] -= trial @ held["mean"][f]
+            continue
+        starts = np.cumsum(held["lengths"]) - held["lengths"]
+        col = held["col"]
+        margins, terms = np.empty((len(at_work), len(starts))), np.empty(len(col))
+        for own, out in zip(weights, margins, strict=True):
+            # Indices are in range; clip spares their check.
+            np.take(own, col, mode="clip", out=terms)
+            np.add.reduceat(np.multiply(terms, held["value"], out=terms), starts, out=out)
+        for lo in range(0, len(starts), step):
+            here = slice(lo, lo + step)
+            yield held["r"], ("part", (k, lo, held["row"][here], np.ascontiguousarray(margins[:, here])))
+    if weights is not None:
+        for r in range(row_parts):
+            yield r, ("shift", (k, shift))
+
+
+def _whole(part: Iterable) -> tuple | None:
+    """Of a block of rows the number, labels, folds, and margins by fold and row. The labels come
+    first; the parts are added in the order of the blocks."""
+    r, truth, parts, shifts = None, None, [], []
+    for r, (kind, held) in part:
+        if kind == "truth":
+            truth = held
+        else:
+            (parts if kind == "part" else shifts).append(held)
+    if truth is None:
+        return None
+    margins = sum(shift for _, shift in sorted(shifts, key=lambda s: s[0]))[:, None] * np.ones(len(truth[0]))
+    for _, _, row, found in sorted(parts, key=lambda p: p[:2]):
+        margins[:, row] += found
+    return r, *truth, margins
 
 
-def _hits(r: int, held: dict, orders: list[dict], blocks: int) -> Iterator[tuple]:
+def _hits(part: Iterable, orders: list[dict], blocks: int) -> Iterator[tuple]:
     """Which training rows have a loss, one bit each, with the sums of losses and of their signs."""
-    ((y, own),) = held["truth"]
-    sign, margins = 2 * y - 1, _whole(held["part"])
-    at_work = np.array([f for f, order in enumerate(orders) if order["alpha"] is not None])
+    whole = _whole(part)
+    if whole is None:
+        return
+    r, y, own, margins = whole
+    sign = 2 * y - 1
     loss = 1 - sign * margins
-    hit = (loss > 0) & (own != at_work[:, None])
+    hit = (loss > 0) & (own != np.array(_at_work(orders))[:, None])
     sums = np.where(hit, loss, 0.0).sum(axis=1), np.where(hit, -sign, 0.0).sum(axis=1)
     bits = np.packbits(hit, axis=1)
     for k in range(blocks):
         yield k, ("hits", (r, bits, *sums))
 
 
-def _trial(held: dict, orders: list[dict], sizes: np.ndarray, penalty: float) -> list[dict]:
-    """The state with the gradient of each trial, and what the block adds to the sums over features."""
-    (block,), (folds,) = held["block"], held["state"]
-    hits, cuts, d, k = sorted(held["hits"], key=lambda h: h[0]), block["cuts"], block["d"], block["k"]
-    at_work = [f for f, order in enumerate(orders) if order["alpha"] is not None]
-    gradients = np.zeros((len(at_work), d))
-    for r, bits, _, _ in hits:
-        here = slice(cuts[r], cuts[r + 1])
-        row, col = block["row"][here].astype(np.intp), block["col"][here].astype(np.intp)
-        signed = -block["value"][here] * block["sign"][here]
-        for a, hit in enumerate(np.unpackbits(bits, axis=1)):
-            gradients[a] += np.bincount(col, signed * hit[row], d)
-    losses, signs = sum(h[2] for h in hits), sum(h[3] for h in hits)
-    out = []
-    for f, (state, order) in enumerate(zip(folds, orders, strict=True)):
-        now = _moved(state, order) | {"found": None}
-        if order["alpha"] is not None:
-            a, trial, weight = at_work.index(f), now["xt"], block["weight"][f]
-            gradient = np.zeros(len(trial))
-            gradient[:d] = gradients[a] * block["scale"][f, :d] - block["mean"][f, :d] * signs[a]
-            if k == 0:
-                gradient[d] = signs[a]
-            gradient = gradient / sizes[f] + penalty * trial * weight
-            now["gt"] = gradient
-            now["found"] = _found(now, gradient, losses[a] / sizes[f] if k == 0 else 0.0, penalty * weight)
-        out.append(now)
-    return out
+def _trial(
+    part: Iterable, orders: list[dict], sizes: np.ndarray, penalty: float, d: int, parts: int, sums
+) -> Iterator[tuple[int, tuple]]:
+    """The state with the gradient of each trial, strip by strip; ``sums`` gets what the block adds to the
+    sums over features. The hits come first, then the tiles, then the state."""
+    at_work, hits, found, gradients = _at_work(orders), {}, {}, None
+    k = None
+    for k, (kind, held) in _whole_tiles(part):
+        if kind == "hits":
+            hits[held[0]] = held[1:]
+            continue
+        if gradients is None:
+            gradients = np.zeros((len(at_work), _width(k, d, parts)))
+            losses, signs = (sum(hits[r][i] for r in sorted(hits)) for i in (1, 2))
+        if kind == "tile":
+            bits = np.unpackbits(hits[held["r"]][0], axis=1)
+            for a, hit in enumerate(bits):
+                terms = np.repeat(-1.0 * held["sign"] * hit[held["row"]], held["lengths"])
+                terms *= held["value"]
+                gradients[a] += np.bincount(held["col"], terms, gradients.shape[1])
+            continue
+        folds, lo, hi = [], held["lo"], held["lo"] + held["scale"].shape[1]
+        for f, (state, order) in enumerate(zip(held["folds"], orders, strict=True)):
+            now = _moved(state, order)
+            if order["alpha"] is not None:
+                a, trial, scale = at_work.index(f), now["xt"], held["scale"][f]
+                gradient = np.zeros(len(trial))
+                gradient[: hi - lo] = gradients[a, lo:hi] * scale - held["mean"][f] * signs[a]
+                weight = np.zeros(len(trial))
+                weight[: hi - lo] = scale**2
+                if held["extra"]:
+                    gradient[-1] = signs[a]
+                now["gt"] = gradient = gradient / sizes[f] + penalty * trial * weight
+                # The losses go with the intercept.
+                loss = losses[a] / sizes[f] if held["extra"] else 0.0
+                own = _found(now, gradient, loss, penalty * weight)
+                found[f] = {name: own[name] + found[f][name] for name in own} if f in found else own
+            folds.append(now)
+        yield k, ("state", held | {"folds": folds})
+    if gradients is not None:
+        sums.add({k: found})
 
 
 def _found(now: dict, gradient: np.ndarray, loss: float, penalty: np.ndarray) -> dict:
@@ -456,7 +629,8 @@ def _found(now: dict, gradient: np.ndarray, loss: float, penalty: np.ndarray) ->
     }
 
 
-def _own_margins(held: dict) -> Iterator[tuple[int, float, float]]:
-    ((y, own),) = held["truth"]
-    margins = _whole(held["part"])[own, np.arange(len(own))]
-    yield from zip(own.tolist(), y.tolist(), margins.tolist(), strict=True)
+def _own_margins(part: Iterable) -> Iterator[tuple[int, float, float]]:
+    whole = _whole(part)
+    if whole is not None:
+        _, y, own, margins = whole
+        yield from zip(own.tolist(), y.tolist(), margins[own, np.arange(len(own))].tolist(), strict=True)
