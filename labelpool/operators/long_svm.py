@@ -6,9 +6,9 @@ evaluation sends a gradient of all features to the driver. Here the weights, gra
 history of all folds lie in blocks of features, beside the values of these features; a
 step exchanges sums of margins by row and one bit a row, and the driver sees dot products only.
 
-A task holds one number a fold for the features of its block, and besides that passes over records of
-bounded size: tiles of values, each of one block of features and one block of rows, and strips of
-the state.
+A task holds up to three numbers a fold for the features of its block, and besides that passes over
+records of bounded size: tiles of values, each of one block of features and one block of rows, and
+strips of the state.
 """
 
 from __future__ import annotations
